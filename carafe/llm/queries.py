@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, sharding, simhash, substring
+from . import chat, embed_dedup, line_dedup, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "n_lines_dropped")
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +48,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
+    return {"op1_line_dedup": op1_line_dedup, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
