@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, line_dedup, sharding, simhash, substring
+from . import chat, embed_dedup, line_dedup, packing, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "n_lines_dropped")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -48,7 +52,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
+    return {"op1_line_dedup": op1_line_dedup, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
