@@ -8,6 +8,8 @@ import pyarrow as pa
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits: separators of terms.
+_NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _Q = U(0x9E3779B97F4A7C15)
@@ -42,9 +44,12 @@ def slices(limits: np.ndarray, size: int = SLICE_BYTES):
         at = to
 
 
-def word_spans(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of words (runs without white space 09-0D, 20) and the number of words before each row."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, limits: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of words (runs without white space 09-0D, 20) and the number of words before each row.
+
+    With ``terms``, words are runs of ASCII letters and digits and of any other characters beyond ASCII.
+    """
+    solid = ~(_NO_TERM if terms else _SPACE)[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[limits] = True
     begins, ends = solid.copy(), solid.copy()
