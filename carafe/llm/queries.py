@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, line_dedup, packing, sharding, simhash, substring, toxicity
+from . import chat, decontam, embed_dedup, line_dedup, packing, sharding, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +61,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
+    return {"op1_line_dedup": op1_line_dedup, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
