@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, line_dedup, packing, sharding, simhash, substring, toxicity
+from . import chat, decontam, embed_dedup, line_dedup, packing, secrets, sharding, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "n_lines_dropped")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
+    return {"op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
