@@ -3,7 +3,7 @@
 Texts are sequences of lower-cased terms. Windows start at content-defined places (the least-hashed of every ``ANCHOR`` successive
 words), so a passage has the same starts in an item and in a document. From a start, CGK random walks (Chakraborty, Goldenberg,
 Koucky, 2016) write a bit a step and move on or stay by a random bit of the word there; few edits leave few differing bits.
-``SAMPLES`` random samples of the first bits, from all walks, are looked up among the items' samples; pairs whose known bits differ in
+``SAMPLES`` random samples of the first bits, from all walks, and the very first bits whole, are looked up among the items'; pairs whose known bits differ in
 ``MAX_DIFFER`` or less are candidates. The item-sized window around each candidate is verified by exact word-level edit distance
 (bit-parallel, any place and length in the window): a hit has at most (1 - ``similarity``) edits per item word.
 
@@ -30,18 +30,21 @@ from .runtime import one_row_per_document, union_all
 from .wordhash import slices, utf8, word_hashes, word_spans
 
 U = np.uint64
-ANCHOR = 8
+ANCHOR = 4  # a power of two
 WALKS = 3
 STEPS = 32
 SAMPLED_STEPS = 16
 SAMPLES = 8
 SAMPLE_BITS = 18
 MAX_DIFFER = 0.25
-MIN_ITEM_WORDS = 8
+SHORT_STEPS = 8
+MIN_ITEM_WORDS = ANCHOR + SHORT_STEPS - 1  # so that the first start has its short bits inside the item
 ITEMS_PER_BLOCK = 20_000
 _RNG = random.Random(11)
 _STEP = [[U(_RNG.getrandbits(64) | 1) for _ in range(STEPS)] for _ in range(WALKS)]
 _MASKS = [U(sum(1 << b for b in _RNG.sample(range(WALKS * SAMPLED_STEPS), SAMPLE_BITS))) for _ in range(SAMPLES)]
+#: The bits of the first steps of all walks: one more sample, which short items have too.
+_SHORT = U(sum(1 << (SAMPLED_STEPS * w + j) for w in range(WALKS) for j in range(SHORT_STEPS)))
 _ORDER = U(_RNG.getrandbits(64) | 1)
 
 
@@ -115,7 +118,7 @@ class Index:
     offset: np.ndarray
     bits: np.ndarray  # walks x entries
     known: np.ndarray  # walks x entries: mask of bits written inside the item
-    samples: list[tuple[np.ndarray, np.ndarray]]  # sorted keys, entries
+    samples: list[tuple[np.uint64, np.ndarray, np.ndarray]]  # mask, sorted keys, entries
 
 
 def build_index(items: list[tuple[int, str | None]]) -> Index:
@@ -132,9 +135,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         b = np.concatenate([p[0] for p in parts], axis=1)
         steps = np.concatenate([(p[1] < len(own)).sum(axis=1) for p in parts], axis=1)  # bits written while inside
         steps = np.minimum(steps + 1, STEPS)
-        good = (steps >= SAMPLED_STEPS).all(axis=0)
-        if not good.any():
-            good[0] = True
+        good = (steps >= SHORT_STEPS).all(axis=0)
         ids.append(ident)
         words.append(own.tolist())
         item.append(np.full(int(good.sum()), len(ids) - 1))
@@ -145,9 +146,10 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         return Index([], [], np.zeros(0, int), np.zeros(0, int), np.zeros((WALKS, 0), U), np.zeros((WALKS, 0), U), [])
     item, offset, bits, known = np.concatenate(item), np.concatenate(offset), np.concatenate(bits, axis=1), np.concatenate(known, axis=1)
     keys, samples = sampled(bits), []
-    for mask in _MASKS:
-        order = np.argsort(keys & mask, kind="stable")
-        samples.append(((keys & mask)[order], order))
+    long = np.flatnonzero((known >> U(SAMPLED_STEPS - 1) & U(1) > 0).all(axis=0))
+    for mask, some in [(_SHORT, np.arange(len(keys))), *((m, long) for m in _MASKS)]:
+        order = some[np.argsort(keys[some] & mask, kind="stable")]
+        samples.append((mask, keys[order] & mask, order))
     return Index(ids, words, item, offset, bits, known, samples)
 
 
@@ -159,7 +161,7 @@ def candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]
         return places[0], entries[0]
     bits, _ = embed(words, starts)
     keys = sampled(bits)
-    for mask, (sorted_keys, order) in zip(_MASKS, index.samples):
+    for mask, sorted_keys, order in index.samples:
         mine = keys & mask
         low, high = np.searchsorted(sorted_keys, mine), np.searchsorted(sorted_keys, mine, side="right")
         n = high - low
