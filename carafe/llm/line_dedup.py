@@ -3,12 +3,13 @@
 A line is parsed to a fixed depth: token count, then ``lead`` leading tokens, then the other tokens in ``SEGMENTS`` equal runs.
 Tokens with a digit are variable fields (``<*>``). A leaf is the whole path; in lines of ``MIN_WILD`` tokens or more each
 path also has one variant for each run with that run as ``<*>``, so lines that differ in one field region (a
-quarter of the tokens at most) meet in one template. Templates that occur in two documents or more recur; all their lines but
-the first (least id, then place) are dropped from the text, or all with ``keep_first=False``.
+quarter of the tokens at most) meet in one template. Templates in ``min_docs`` or more documents recur (documents with equal
+texts count once, so that copies are left to document-level dedup); all their lines but the first (least id, then place)
+are dropped from the text, or all with ``keep_first=False``.
 
-Scale. Lines become 64-bit template keys; one partial aggregation by key gives each template's first place and whether it
-recurs, so a line in a third of all documents is one row a task. The join of recurring templates back to places is one that
-adaptive execution can split. The text itself is shuffled once, to meet its dropped places.
+Scale. Lines become 64-bit template keys; a partial aggregation by key leaves those that occur often enough, so a line in a third
+of all documents is one row a task. Only their places are kept (in a join that adaptive execution can split), and the exact count of
+documents and the first place are taken from these. The text itself is shuffled once, to meet its dropped places.
 
 Defined results: a null text stays null, an empty one empty. Lines with fewer than ``min_tokens`` tokens stay. White space around and runs
 of it inside lines don't count for templates; kept lines stay as they are. Rows equal in id and text are one document to the
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import durable
+
 SEGMENTS = 4
 MIN_WILD = 8
 WILD = "<*>"
@@ -46,7 +49,7 @@ def with_template_keys(lines: DataFrame, line: str, lead: int, min_tokens: int)
     return out.withColumn("_keys", F.when(n >= max(MIN_WILD, min_tokens), F.array(own, *wild)).when(n >= min_tokens, F.array(own)))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 2, min_tokens: int = 3, keep_first: bool = True) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 2, min_tokens: int = 3, min_docs: int = 10, keep_first: bool = True) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and a last column ``n_lines_dropped`` (long)."""
     names = docs.columns
     ident, text = F.col(id_col), F.col(text_col).cast("string")
@@ -55,10 +58,12 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parsed = with_template_keys(places, "_line", lead, min_tokens)
     # the outer form, because a filter on the keys would be pushed below and parse each line again
     keyed = parsed.select("_id", "_t", "_pos", F.explode_outer("_keys").alias("_key")).where("_key is not null")
+    often = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    often = often.where((F.col("_n") >= min_docs) & ((F.col("_low") < F.col("_high")) | F.lit(min_docs < 2))).select("_key")
+    again = durable(keyed.join(often, "_key"))
     place = F.struct("_id", "_t", "_pos")
-    doc = F.struct("_id", "_t")
-    recurring = keyed.groupBy("_key").agg(F.min(place).alias("_first"), F.min(doc).alias("_low"), F.max(doc).alias("_high")).where(~F.col("_low").eqNullSafe(F.col("_high"))).select("_key", "_first")
-    again = keyed.join(recurring, "_key")
+    recurring = again.groupBy("_key").agg(F.count_distinct("_t").alias("_docs"), F.min(place).alias("_first")).where(F.col("_docs") >= min_docs)
+    again = again.join(recurring.select("_key", "_first"), "_key")
     if keep_first:
         again = again.where(~place.eqNullSafe(F.col("_first")))
     dropped = again.groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
