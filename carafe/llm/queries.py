@@ -65,8 +65,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(stored.unionByName(forged)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
+    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,10 @@ Scale. Texts are read once. Equal fingerprints collapse before the index (with p
 costs one entry. A posting list is walked breadth first: each step compares one fingerprint with those not
 reached yet, so a tight group of m takes about m steps and emits at most m - 1 links, never all pairs.
 
+``near_classes`` serves near-duplicates at a shingle similarity: fingerprints of 256 bits, posted under positional byte pairs, compared
+in the same way. A similarity of 0.8 is about 39 differing bits; no number of equal bytes is then guaranteed, so the minimum of
+``WIDE_SHARED`` positional bytes is chosen by measured recall (tests), and pairs are verified by Hamming distance.
+
 Defined results: null and empty texts and texts of white space have fingerprint 0 and link like any other. Repeated rows
 each come out. A null id is left out. An empty table gives an empty result. Other columns are not read by ``fingerprints``
 and are passed through by ``keep_one``.
@@ -25,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, one_row_per_document, shuffle_width
-from .wordhash import slices, utf8, word_spans
+from .runtime import components, durable, one_row_per_document, shuffle_width
+from .wordhash import gram_hashes, mix, slices, utf8, word_hashes, word_spans
 
 BYTES = 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -159,8 +163,6 @@ def links(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable through links): one row per row of ``docs``."""
-    from .runtime import durable
-
     prints = durable(fingerprints(docs, id_col, text_col, shingle))
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(distinct.select("fp"), max_bits))
@@ -170,6 +172,95 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+WIDE_WORDS = 4
+WIDE_BYTES = 8 * WIDE_WORDS
+WIDE_STEPS = (1, 5, 11)
+WIDE_SHARED = 3
+#: Added to the expected bits for each root of the words, about one standard deviation, so that most pairs at the similarity itself are found.
+MARGIN = 3.0
+
+
+def _hash_wide(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """256-bit fingerprints of lower-cased shingles; a text of fewer words is one shingle, one without words all zeros."""
+    for batch in batches:
+        data, limits = utf8(batch.column(1))
+        out = [bytes(WIDE_BYTES)] * len(batch)
+        for a, b in slices(limits):
+            part, lim = data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]
+            starts, ends, first = word_spans(part, lim)
+            words = word_hashes(part, starts, ends, lower=True)
+            grams = gram_hashes(words, shingle)
+            for row in range(b - a):
+                i, j = int(first[row]), int(first[row + 1])
+                if i == j:
+                    continue
+                own = grams[i : j - shingle + 1] if j - i >= shingle else gram_hashes(words[i:j], j - i)
+                bits = np.unpackbits(np.stack([mix(own, s) for s in range(WIDE_WORDS)], axis=1).view(np.uint8), axis=1)
+                out[a + row] = np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(own)).tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "fp"])
+
+
+def _post_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under its positional byte pairs (place and bytes in one number)."""
+    for batch in batches:
+        least = batch.column(0).to_numpy()
+        octets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int32)
+        keys = np.concatenate([(octets << 8 | np.roll(octets, -step, axis=1)) + ((np.arange(WIDE_BYTES) + k * WIDE_BYTES) << 16) for k, step in enumerate(WIDE_STEPS)], axis=1)
+        n = keys.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(least, n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(least)), n)))], names=["posting", "least", "fp"])
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each posting list of a partition, breadth first."""
+    got = [b for b in batches if len(b)]
+    if not got:
+        return
+    table = pa.Table.from_batches(got).combine_chunks()
+    keys, ids = table.column("posting").to_numpy(), table.column("least").to_numpy()
+    prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+    order = np.argsort(keys, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
+    pairs: set[tuple[int, int]] = set()
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        rest = order[i:j]
+        while len(rest) > 1:
+            frontier, rest = [rest[0]], rest[1:]
+            while frontier and len(rest):
+                x = frontier.pop()
+                differ = prints[rest] ^ prints[x]
+                near = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= max_bits)
+                if len(near):
+                    near = near[(differ[near].view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= WIDE_SHARED]
+                if len(near):
+                    found = rest[near]
+                    pairs.update((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))) for y in found)
+                    frontier += list(found)
+                    rest = np.delete(rest, near)
+    out = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    for i in range(0, len(out), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 65536, 0]), pa.array(out[i : i + 65536, 1])], names=["a", "b"])
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id over texts of about ``similarity`` (Jaccard of shingles) or more."""
+    cosine = 2 * similarity / (1 + similarity)
+    max_bits = int(64 * WIDE_WORDS * np.arccos(cosine) / np.pi + MARGIN * WIDE_WORDS**0.5)
+    picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = durable(picked.mapInArrow(lambda it: _hash_wide(it, shingle), "doc_id long, fp binary"))
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    posted = distinct.select("least", "fp").mapInArrow(_post_wide, "posting int, least long, fp binary")
+    links = posted.repartition(shuffle_width(docs.sparkSession), "posting").mapInArrow(lambda it: _wide_links(it, max_bits), "a long, b long")
+    found = components(links)
+    members = distinct.join(found, distinct.least == found.id, "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    return prints.join(members, "fp").select("doc_id", "component_id")
+
+
+def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs``, all columns, that are the least id of their class by ``near_classes``, and rows without an id."""
+    gone = near_classes(docs, id_col, text_col, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """Rows of ``docs``, all columns, that are the least id of their class; of rows with the same id all stay."""
     chosen = classes(docs, id_col, text_col, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
