@@ -50,6 +50,7 @@ def status_of(score: Column) -> Column:
     return F.when(score >= 0.82, "matched").when(score >= 0.65, "low-confidence").otherwise("unmatched")
 
 
-def match_scale(identity: Column) -> Column:
-    """An identity on the scale of ``status_of``: 0.72 and 0.6 there are 0.82 and 0.65 here."""
-    return F.when(identity >= 0.72, 0.82 + (identity - 0.72) / 0.28 * 0.18).when(identity >= 0.6, 0.65 + (identity - 0.6) / 0.12 * 0.17).otherwise(identity)
+def match_scale(identity: Column, confident: float = 0.75, least: float = 0.6) -> Column:
+    """An identity on the scale of ``status_of``: a confident one is 0.82 or more, the least that counts 0.65."""
+    high, low = 0.82 + (identity - confident) * 0.72, 0.65 + (identity - least) * (0.16 / (confident - least))
+    return F.when(identity >= confident, F.least(F.lit(1.0), high)).otherwise(F.greatest(F.lit(0.0), low))
