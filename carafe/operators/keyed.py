@@ -50,11 +50,11 @@ def gap_bands(df: DataFrame, keys: list[str], start: Column, end: Column, wanted
     return cut.withColumn(out, F.when(wanted, F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_break")
 
 
-def first_accepted(results: DataFrame, keys: list[str], provider_rank: Column, score: Column, matched: Column) -> DataFrame:
-    """A chain of providers: of those up to the first match, the best score, the earlier provider on ties."""
+def first_accepted(results: DataFrame, keys: list[str], provider_rank: Column, score: Column, matched: Column, *ties: Column) -> DataFrame:
+    """A chain of providers: of those up to the first match, the best score, the earlier provider on ties, then the largest ``ties``."""
     stop = results.where(matched).groupBy(*keys).agg(F.min(provider_rank).alias("_stop"))
     tried = results.join(stop, keys, "left").where(F.col("_stop").isNull() | (provider_rank <= F.col("_stop"))).drop("_stop")
-    return best_per_key(tried, keys, F.struct(score, -provider_rank), True)
+    return best_per_key(tried, keys, F.struct(score, -provider_rank, *ties), True)
 
 
 def ordered_fold_best(df: DataFrame, keys: list[str], pos: Column, rank: Column, score: Column, payload: Column) -> DataFrame:
