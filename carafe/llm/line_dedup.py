@@ -8,8 +8,8 @@ texts count once, so that copies are left to document-level dedup); all their li
 are dropped from the text, or all with ``keep_first=False``.
 
 Scale. Lines become 64-bit template keys; a partial aggregation by key leaves those that occur often enough, so a line in a third
-of all documents is one row a task. Only their places are kept (in a join that adaptive execution can split), and the exact count of
-documents and the first place are taken from these. The text itself is shuffled once, to meet its dropped places.
+of all documents is one row a task. Only their places are kept (in joins over written tables, which adaptive execution can split), and the
+exact count of documents and the first place are taken from these, by key and text before by key. The text itself is shuffled once, to meet its dropped places.
 
 Defined results: a null text stays null, an empty one empty. Lines with fewer than ``min_tokens`` tokens stay. White space around and runs
 of it inside lines don't count for templates; kept lines stay as they are. Rows equal in id and text are one document to the
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import durable
+from .runtime import written
 
 SEGMENTS = 4
 MIN_WILD = 8
@@ -59,11 +59,13 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the outer form, because a filter on the keys would be pushed below and parse each line again
     keyed = parsed.select("_id", "_t", "_pos", F.explode_outer("_keys").alias("_key")).where("_key is not null")
     often = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_low"), F.max("_t").alias("_high"))
-    often = often.where((F.col("_n") >= min_docs) & ((F.col("_low") < F.col("_high")) | F.lit(min_docs < 2))).select("_key")
-    again = durable(keyed.join(often, "_key"))
+    often = written(often.where((F.col("_n") >= min_docs) & ((F.col("_low") < F.col("_high")) | F.lit(min_docs < 2))).select("_key"))
+    again = written(keyed.join(often, "_key"))
     place = F.struct("_id", "_t", "_pos")
-    recurring = again.groupBy("_key").agg(F.count_distinct("_t").alias("_docs"), F.min(place).alias("_first")).where(F.col("_docs") >= min_docs)
-    again = again.join(recurring.select("_key", "_first"), "_key")
+    # by key and text first, so that the rows of one key are spread over many tasks
+    by_text = again.groupBy("_key", "_t").agg(F.min(place).alias("_first"))
+    recurring = by_text.groupBy("_key").agg(F.count(F.lit(1)).alias("_docs"), F.min("_first").alias("_first")).where(F.col("_docs") >= min_docs)
+    again = again.join(written(recurring.select("_key", "_first")), "_key")
     if keep_first:
         again = again.where(~place.eqNullSafe(F.col("_first")))
     dropped = again.groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
