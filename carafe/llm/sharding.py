@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bucket_rank, durable, one_row_per_document
+from .runtime import bucket_rank, durable, one_row_per_document, written
 
 ROWS_PER_SALT = 4096
 LEAST_ROOM = 0.05
@@ -50,15 +50,15 @@ def propagate(rows: DataFrame, n_shards: int, share: float, step: int) -> tuple[
     best = linked.join(sizes, "grp").where((space >= F.least(F.col("members"), F.lit(max(1.0, share * LEAST_ROOM))))).groupBy("grp").agg(F.max(rank).alias("best"))
     wish = linked.join(best, "grp").where(F.col("best") > rank).select("grp", "shard", F.col("best.shard").alias("to"), "n")
     whole = F.col("n") <= _number(room, F.col("to")) / 8
-    asked = {r[0]: (r[1], r[2]) for r in wish.groupBy("to").agg(F.sum(F.when(whole, F.col("n")).otherwise(0)), F.sum(F.when(whole, 0).otherwise(F.col("n")))).collect()}
+    wish = written(wish.withColumn("whole", whole))
+    asked = {r[0]: (r[1], r[2]) for r in wish.groupBy("to").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n")))).collect()}
     if not asked:
         return rows, 0
     small, large = ([asked.get(s, (0, 0))[i] for s in range(n_shards)] for i in (0, 1))
     small_ratio = [min(1.0, r / max(1, w)) for r, w in zip(room, small)]
     large_ratio = [min(1.0, max(0.0, r - w) / max(1, x)) for r, w, x in zip(room, small, large)]
-    wish = wish.withColumn("whole", whole).drop("n")
     chance = lambda *of: F.pmod(F.xxhash64(*of, F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    moved = rows.join(wish, ["grp", "shard"], "left")
+    moved = rows.join(wish.drop("n"), ["grp", "shard"], "left")
     taken = F.col("to").isNotNull() & F.when(F.col("whole"), chance("grp") < _number(small_ratio, F.col("to"))).otherwise(chance("doc_id") < _number(large_ratio, F.col("to")))
     out = durable(moved.select("doc_id", "size", "text_crc32", "grp", "linked", F.when(taken, F.col("to")).otherwise(F.col("shard")).alias("shard"), F.coalesce(taken, F.lit(False)).alias("moved")))
     return out.drop("moved"), out.where("moved").count()
@@ -91,8 +91,8 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("grp"))
     rows = durable(rows)
-    groups = rows.groupBy("grp").agg((F.count(F.lit(1)) > 1).alias("linked"))
-    rows = rows.join(groups, "grp").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
+    groups = written(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.lit(True).alias("linked")))
+    rows = rows.join(groups, "grp", "left").withColumn("linked", F.col("linked").isNotNull()).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
     rows = durable(rows.select("doc_id", "size", "text_crc32", "grp", "linked", "shard"))
     total = rows.count()
     for step in range(rounds):
