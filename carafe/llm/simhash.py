@@ -9,9 +9,12 @@ Scale. Texts are read once. Equal fingerprints collapse before the index (with p
 costs one entry. A posting list is walked breadth first: each step compares one fingerprint with those not
 reached yet, so a tight group of m takes about m steps and emits at most m - 1 links, never all pairs.
 
-``near_classes`` serves near-duplicates at a shingle similarity: fingerprints of 256 bits, posted under positional byte pairs, compared
-in the same way. A similarity of 0.8 is about 39 differing bits; no number of equal bytes is then guaranteed, so the minimum of
-``WIDE_SHARED`` positional bytes is chosen by measured recall (tests), and pairs are verified by Hamming distance.
+``near_classes`` serves near-duplicates at a shingle similarity: the distinct shingles of a text give 256 bits, posted under positional byte
+pairs. A similarity of 0.8 is about 39 differing bits and the threshold lies three standard deviations above, so bits only propose pairs
+(about 0.98 of those at 0.8 itself, nearly all from 0.85 up); a link is a pair whose shingle sets, shuffled to it, have that Jaccard similarity.
+Equal sets collapse before the index. In a posting list every pair within the threshold is proposed, but a text reached from another at two
+standard deviations below 39 bits is not paired again with those reached before it, so a hot group of m texts proposes a few pairs a text, not
+m * m. About one pair in fifty at 0.8 is so near without being similar enough; only then, and if no other list or text links it, is a link missed.
 
 Defined results: null and empty texts and texts of white space have fingerprint 0 and link like any other. Repeated rows
 each come out. A null id is left out. An empty table gives an empty result. Other columns are not read by ``fingerprints``
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, durable, one_row_per_document, shuffle_width
+from .runtime import components, durable, one_row_per_document, shuffle_width, written
 from .wordhash import gram_hashes, mix, slices, utf8, word_hashes, word_spans
 
 BYTES = 8
@@ -175,84 +178,129 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 WIDE_WORDS = 4
 WIDE_BYTES = 8 * WIDE_WORDS
 WIDE_STEPS = (1, 5, 11)
-WIDE_SHARED = 3
-#: Added to the expected bits for each root of the words, about one standard deviation, so that most pairs at the similarity itself are found.
-MARGIN = 3.0
+#: Added to the expected bits for each root of the words, about three standard deviations, so that nearly all pairs at the similarity itself are proposed.
+MARGIN = 9.0
+#: Taken from the expected bits in the same way, about two standard deviations, for pairs that are hardly ever below the similarity.
+TIGHT_MARGIN = 6.0
+PAIRS_AT_ONCE = 1_000_000
+
+
+def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and sorted distinct shingles (lower-cased) of each text with words; a text of fewer words than a shingle is one shingle."""
+    data, limits = utf8(column)
+    for a, b in slices(limits):
+        part, lim = data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]
+        starts, ends, first = word_spans(part, lim)
+        words = word_hashes(part, starts, ends, lower=True)
+        grams = gram_hashes(words, shingle)
+        for row in range(b - a):
+            i, j = int(first[row]), int(first[row + 1])
+            if i < j:
+                yield a + row, np.unique(grams[i : j - shingle + 1] if j - i >= shingle else gram_hashes(words[i:j], j - i))
+
+
+def _set_key(own: np.ndarray) -> np.uint64:
+    """One number for a whole set of shingles."""
+    return mix(mix(own, WIDE_WORDS).sum(dtype=np.uint64, keepdims=True), len(own))[0]
 
 
 def _hash_wide(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """256-bit fingerprints of lower-cased shingles; a text of fewer words is one shingle, one without words all zeros."""
+    """The key and the 256-bit fingerprint of each text's set of shingles; zeros for a text without words."""
     for batch in batches:
-        data, limits = utf8(batch.column(1))
-        out = [bytes(WIDE_BYTES)] * len(batch)
-        for a, b in slices(limits):
-            part, lim = data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]
-            starts, ends, first = word_spans(part, lim)
-            words = word_hashes(part, starts, ends, lower=True)
-            grams = gram_hashes(words, shingle)
-            for row in range(b - a):
-                i, j = int(first[row]), int(first[row + 1])
-                if i == j:
-                    continue
-                own = grams[i : j - shingle + 1] if j - i >= shingle else gram_hashes(words[i:j], j - i)
-                bits = np.unpackbits(np.stack([mix(own, s) for s in range(WIDE_WORDS)], axis=1).view(np.uint8), axis=1)
-                out[a + row] = np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(own)).tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "fp"])
+        keys, out = np.zeros(len(batch), np.uint64), [bytes(WIDE_BYTES)] * len(batch)
+        for row, own in _shingle_sets(batch.column(1), shingle):
+            bits = np.unpackbits(np.stack([mix(own, s) for s in range(WIDE_WORDS)], axis=1).view(np.uint8), axis=1)
+            keys[row], out[row] = _set_key(own), np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(own)).tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.view(np.int64)), pa.array(out, pa.binary())], names=["doc_id", "node", "fp"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The key and the shingles of each text with words."""
+    for batch in batches:
+        rows = [own for _, own in _shingle_sets(batch.column(0), shingle)]
+        for i in range(0, len(rows), 512):
+            some = rows[i : i + 512]
+            keys = pa.array(np.array([_set_key(own) for own in some], np.uint64).view(np.int64))
+            grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(np.concatenate(some).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([keys, grams], names=["node", "grams"])
 
 
 def _post_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint under its positional byte pairs (place and bytes in one number)."""
     for batch in batches:
-        least = batch.column(0).to_numpy()
+        node = batch.column(0).to_numpy()
         octets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int32)
         keys = np.concatenate([(octets << 8 | np.roll(octets, -step, axis=1)) + ((np.arange(WIDE_BYTES) + k * WIDE_BYTES) << 16) for k, step in enumerate(WIDE_STEPS)], axis=1)
         n = keys.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(least, n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(least)), n)))], names=["posting", "least", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(node, n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(node)), n)))], names=["posting", "node", "fp"])
 
 
-def _wide_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each posting list of a partition, breadth first."""
+def _wide_pairs(batches: Iterator[pa.RecordBatch], max_bits: int, tight_bits: int) -> Iterator[pa.RecordBatch]:
+    """Pairs to verify of each posting list of a partition: all within ``max_bits``, but of tight groups only a spanning part."""
     got = [b for b in batches if len(b)]
     if not got:
         return
     table = pa.Table.from_batches(got).combine_chunks()
-    keys, ids = table.column("posting").to_numpy(), table.column("least").to_numpy()
+    keys, ids = table.column("posting").to_numpy(), table.column("node").to_numpy()
     prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort([ids, keys])  # the same texts come first in all lists, so that lists propose the same pairs
     edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
-    pairs: set[tuple[int, int]] = set()
+    pairs, waiting = [np.zeros((0, 2), np.int64)], 0
     for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
         rest = order[i:j]
         while len(rest) > 1:
             frontier, rest = [rest[0]], rest[1:]
             while frontier and len(rest):
                 x = frontier.pop()
-                differ = prints[rest] ^ prints[x]
-                near = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= max_bits)
-                if len(near):
-                    near = near[(differ[near].view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= WIDE_SHARED]
-                if len(near):
-                    found = rest[near]
-                    pairs.update((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))) for y in found)
-                    frontier += list(found)
-                    rest = np.delete(rest, near)
-    out = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+                bits = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1)
+                near = rest[bits <= max_bits]
+                if not len(near):
+                    continue
+                pairs.append(np.sort(np.stack([np.full(len(near), ids[x]), ids[near]], axis=1), axis=1))
+                waiting += len(near)
+                # those not tight stay, to be paired with the rest of the group too: x's link to them may fail where another's holds
+                tight = bits <= tight_bits
+                if tight.any():
+                    frontier += list(rest[tight])
+                    rest = rest[~tight]
+                if waiting >= PAIRS_AT_ONCE:
+                    yield from _pair_batches(pairs)
+                    pairs, waiting = [np.zeros((0, 2), np.int64)], 0
+    yield from _pair_batches(pairs)
+
+
+def _pair_batches(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    out = np.unique(np.concatenate(pairs), axis=0)
     for i in range(0, len(out), 65536):
         yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 65536, 0]), pa.array(out[i : i + 65536, 1])], names=["a", "b"])
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id over texts of about ``similarity`` (Jaccard of shingles) or more."""
+    """doc_id, component_id over links of ``similarity`` (exact Jaccard of the sets of shingles) or more."""
     cosine = 2 * similarity / (1 + similarity)
-    max_bits = int(64 * WIDE_WORDS * np.arccos(cosine) / np.pi + MARGIN * WIDE_WORDS**0.5)
+    expected, root = 64 * WIDE_WORDS * np.arccos(cosine) / np.pi, WIDE_WORDS**0.5
+    max_bits, tight_bits = int(expected + MARGIN * root), int(expected - TIGHT_MARGIN * root)
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = durable(picked.mapInArrow(lambda it: _hash_wide(it, shingle), "doc_id long, fp binary"))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    posted = distinct.select("least", "fp").mapInArrow(_post_wide, "posting int, least long, fp binary")
-    links = posted.repartition(shuffle_width(docs.sparkSession), "posting").mapInArrow(lambda it: _wide_links(it, max_bits), "a long, b long")
-    found = components(links)
-    members = distinct.join(found, distinct.least == found.id, "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(members, "fp").select("doc_id", "component_id")
+    prints = durable(picked.mapInArrow(lambda it: _hash_wide(it, shingle), "doc_id long, node long, fp binary"))
+    distinct = durable(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    posted = distinct.select("node", "fp").mapInArrow(_post_wide, "posting int, node long, fp binary")
+    proposed = written(posted.repartition(shuffle_width(docs.sparkSession), "posting").mapInArrow(lambda it: _wide_pairs(it, max_bits, tight_bits), "a long, b long").distinct())
+    found = components(_verified(picked, distinct, proposed, shingle, similarity))
+    members = distinct.join(found, distinct.node == found.id, "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(members.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def _verified(picked: DataFrame, distinct: DataFrame, proposed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The proposed pairs (a, b) whose sets of shingles have the Jaccard ``similarity`` or more."""
+    wanted = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
+    readers = distinct.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    # one set a key, though rows with the same id may repeat
+    sets = picked.join(readers, "doc_id", "left_semi").select("text").mapInArrow(lambda it: _sets(it, shingle), "node long, grams array<long>")
+    sets = written(sets.groupBy("node").agg(F.first("grams").alias("grams")))
+    both = proposed.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("_b")), "b")
+    shared = both.withColumn("_shared", F.size(F.array_intersect("_a", "_b")))
+    return shared.where(F.col("_shared") / (F.size("_a") + F.size("_b") - F.col("_shared")) >= similarity).select("a", "b")
 
 
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -107,6 +107,42 @@ def test_wide_simhash_finds_similar_texts(frame):
     assert all(c // 10 == i // 10 for i, c in got.items())
 
 
+def test_wide_simhash_links_only_at_the_similarity(frame):
+    """Pairs on both sides of the similarity, groups of close copies and a chain whose ends are far apart."""
+    r = random.Random(12)
+    rows, sets = [], {}
+
+    def put(words):
+        rows.append((len(rows), " ".join(f"w{x}" for x in words)))
+        sets[len(rows) - 1] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    def edited(words, n):
+        out = list(words)
+        for at in r.sample(range(len(out)), n):
+            out[at] = r.getrandbits(40)
+        return out
+
+    fresh = lambda: [r.getrandbits(40) for _ in range(r.randint(150, 300))]
+    for k in range(300):
+        words = fresh()
+        put(words)
+        put(edited(words, max(1, round(len(words) * r.uniform(0.005, 0.06)))))
+    for _ in range(4):
+        words = fresh()
+        for _ in range(12):
+            put(words)
+            words = edited(words, 3)
+    put([1, 2, 3, 4, 5] * 200 + (words := fresh()))  # a shingle that outweighs all others says nothing of the set
+    put([1, 2, 3, 4, 5] * 200 + fresh())
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = simple_components(list(sets), near)
+    got = {x.doc_id: x.component_id for x in simhash.near_classes(frame(rows, "doc_id long, text string")).collect()}
+    linked = [k for k in range(0, 600, 2) if want[k + 1] == k]
+    assert 60 < len(linked) < 240 and sum(got[k + 1] == k for k in linked) >= 0.97 * len(linked)
+    assert all(want[c] == want[i] for i, c in got.items())
+    assert sum(got[i] == want[i] for i in range(600, len(rows))) >= len(rows) - 602
+
+
 def removed(rows, window):
     seen, out = set(), {}
     for i, text in rows:
