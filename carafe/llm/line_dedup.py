@@ -3,7 +3,7 @@
 A line is parsed to a fixed depth: token count, then ``lead`` leading tokens, then the other tokens in ``SEGMENTS`` equal runs.
 Tokens with a digit are variable fields (``<*>``). A leaf is the whole path; in lines of ``MIN_WILD`` tokens or more each
 path also has one variant for each run with that run as ``<*>``, so lines that differ in one field region (a
-quarter of the tokens at most) meet in one template. Templates in ``min_docs`` or more documents recur (documents with equal
+quarter of the tokens at most) meet in one template. In shorter lines only fields with a digit are generalised. Templates in ``min_docs`` or more documents recur (documents with equal
 texts count once, so that copies are left to document-level dedup); all their lines but the first (least id, then place)
 are dropped from the text, or all with ``keep_first=False``.
 
@@ -49,7 +49,7 @@ def with_template_keys(lines: DataFrame, line: str, lead: int, min_tokens: int)
     return out.withColumn("_keys", F.when(n >= max(MIN_WILD, min_tokens), F.array(own, *wild)).when(n >= min_tokens, F.array(own)))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 2, min_tokens: int = 3, min_docs: int = 10, keep_first: bool = True) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 2, min_tokens: int = 3, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and a last column ``n_lines_dropped`` (long)."""
     names = docs.columns
     ident, text = F.col(id_col), F.col(text_col).cast("string")

@@ -203,6 +203,15 @@ def test_line_dedup_against_brute_force(frame, min_docs):
     assert {r.doc_id: r.text for r in got} == want and sum(r.n_lines_dropped for r in got) == sum(map(len, gone.values())) > 0
 
 
+def test_line_dedup_by_default_drops_what_two_texts_share(frame):
+    line = "Subscribe to our free newsletter"
+    rows = [(i, f"{w} is here alone\n{line}") for i, w in enumerate(["one", "two", "two", "one"])] + [(9, "another line by itself")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring(frame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[9] == rows[4][1] and not any(line in got[i] for i in (1, 2, 3))
+    copies = [(i, line) for i in range(20)]
+    assert all(r.text == line for r in line_dedup.drop_recurring(frame(copies, "doc_id long, text string")).collect())
+
+
 def test_line_dedup_edge_cases(frame):
     out = line_dedup.drop_recurring(frame(ODD, DOCS), min_docs=2)
     assert out.columns == ["doc_id", "text", "_id", "lang", "n_lines_dropped"] and out.count() == len(ODD)
