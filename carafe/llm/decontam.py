@@ -7,10 +7,14 @@ Koucky, 2016) write a bit a step and move on or stay by a random bit of the word
 ``MAX_DIFFER`` or less are candidates. The item-sized window around each candidate is verified by exact word-level edit distance
 (bit-parallel, any place and length in the window): a hit has at most (1 - ``similarity``) edits per item word.
 
+Items of fewer than ``BLOCKED_BELOW`` words are too short for walks to be sure and are found by blocks, without loss: an item with e edits
+allowed is cut into e + 1 blocks, of which e edits leave one as it is. A place with a block of an item is a candidate if all but e of the
+item's words lie within e words of where the block puts them (which e edits can't prevent), and is verified in the same way.
+
 Scale. Documents are read once, in numpy over Arrow batches; nothing is shuffled. Items are taken in blocks of ``ITEMS_PER_BLOCK``,
 so what is broadcast is bounded.
 
-Defined results: null texts are empty; items with fewer than ``MIN_ITEM_WORDS`` words are not looked for. Repeated document rows come out
+Defined results: null texts are empty; items without words are not looked for. Items of one to four words allow no edit. Repeated document rows come out
 each. Null document or item ids are left out of ``matches``; ``drop_contaminated`` keeps rows without an id. Empty tables give
 an empty result, or all documents. Extra columns pass through ``drop_contaminated``.
 """
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import one_row_per_document, union_all
-from .wordhash import slices, utf8, word_hashes, word_spans
+from .wordhash import gram_hashes, slices, utf8, word_hashes, word_spans
 
 U = np.uint64
 ANCHOR = 4  # a power of two
@@ -38,7 +42,9 @@ SAMPLES = 8
 SAMPLE_BITS = 18
 MAX_DIFFER = 0.25
 SHORT_STEPS = 8
-MIN_ITEM_WORDS = ANCHOR + SHORT_STEPS - 1  # so that the first start has its short bits inside the item
+BLOCKED_BELOW = 30
+PLACES_AT_ONCE = 20_000
+LEADING_BITS = 20
 ITEMS_PER_BLOCK = 20_000
 _RNG = random.Random(11)
 _STEP = [[U(_RNG.getrandbits(64) | 1) for _ in range(STEPS)] for _ in range(WALKS)]
@@ -119,16 +125,38 @@ class Index:
     bits: np.ndarray  # walks x entries
     known: np.ndarray  # walks x entries: mask of bits written inside the item
     samples: list[tuple[np.uint64, np.ndarray, np.ndarray]]  # mask, sorted keys, entries
+    blocks: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # words a block, leading bits that occur, sorted keys, entries
+    short: np.ndarray  # words of each short item, filled up with zeros (a row of zeros for other items)
+    similarity: float
+
+
+def edits(n_words: int, similarity: float) -> int:
+    return int((1 - similarity) * n_words + 1e-9)
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
+def block_starts(n_words: int, most: int) -> tuple[list[int], int]:
+    """Starts and the common length of ``most`` + 1 successive blocks of an item."""
+    size = n_words // (most + 1)
+    return [size * k for k in range(most + 1)], size
+
+
+def build_index(items: list[tuple[int, str | None]], similarity: float = 0.8) -> Index:
     data, limits = utf8(pa.array([t for _, t in items], pa.string()))
     starts, ends, first = word_spans(data, limits, terms=True)
     hashes = word_hashes(data, starts, ends, lower=True)
-    ids, words, item, offset, bits, known = [], [], [], [], [], []
+    ids, words, item, offset = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    bits, known = [np.zeros((WALKS, 0), U)], [np.zeros((WALKS, 0), U)]
+    by_size: dict[int, list[tuple[np.uint64, int, int]]] = {}
     for k, (ident, _) in enumerate(items):
         own = hashes[first[k] : first[k + 1]]
-        if len(own) < MIN_ITEM_WORDS:
+        if not len(own):
+            continue
+        ids.append(ident)
+        words.append(own.tolist())
+        if len(own) < BLOCKED_BELOW and (most := edits(len(own), similarity)) < len(own):
+            places, size = block_starts(len(own), most)
+            grams = gram_hashes(own, size)
+            by_size.setdefault(size, []).extend((grams[at], len(ids) - 1, at) for at in places)
             continue
         at = anchors(own)
         parts = [embed(own, at[c : c + 4000]) for c in range(0, len(at), 4000)]
@@ -136,25 +164,74 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         steps = np.concatenate([(p[1] < len(own)).sum(axis=1) for p in parts], axis=1)  # bits written while inside
         steps = np.minimum(steps + 1, STEPS)
         good = (steps >= SHORT_STEPS).all(axis=0)
-        ids.append(ident)
-        words.append(own.tolist())
         item.append(np.full(int(good.sum()), len(ids) - 1))
         offset.append(at[good])
         bits.append(b[:, good])
         known.append(((U(1) << steps[:, good].astype(U)) - U(1)))
-    if not ids:
-        return Index([], [], np.zeros(0, int), np.zeros(0, int), np.zeros((WALKS, 0), U), np.zeros((WALKS, 0), U), [])
-    item, offset, bits, known = np.concatenate(item), np.concatenate(offset), np.concatenate(bits, axis=1), np.concatenate(known, axis=1)
+    bits, known = np.concatenate(bits, axis=1), np.concatenate(known, axis=1)
     keys, samples = sampled(bits), []
     long = np.flatnonzero((known >> U(SAMPLED_STEPS - 1) & U(1) > 0).all(axis=0))
-    for mask, some in [(_SHORT, np.arange(len(keys))), *((m, long) for m in _MASKS)]:
+    for mask, some in [(_SHORT, np.arange(len(keys))), *((m, long) for m in _MASKS)] if len(keys) else []:
         order = some[np.argsort(keys[some] & mask, kind="stable")]
         samples.append((mask, keys[order] & mask, order))
-    return Index(ids, words, item, offset, bits, known, samples)
+    blocks, entry = [], len(keys)  # the entries of blocks follow those of walks
+    for size, found in sorted(by_size.items()):
+        found.sort()
+        block_keys = np.array([key for key, _, _ in found], U)
+        occurs = np.zeros(1 << LEADING_BITS, bool)
+        occurs[block_keys >> U(64 - LEADING_BITS)] = True
+        blocks.append((size, occurs, block_keys, np.arange(entry, entry + len(found))))
+        item.append(np.array([i for _, i, _ in found]))
+        offset.append(np.array([at for _, _, at in found]))
+        entry += len(found)
+    short = np.zeros((len(ids), BLOCKED_BELOW), U)
+    for i, own in enumerate(words):
+        if len(own) < BLOCKED_BELOW:
+            short[i, : len(own)] = own
+    return Index(ids, words, np.concatenate(item), np.concatenate(offset), bits, known, samples, blocks, short, similarity)
+
+
+def block_candidates(words: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place of a block, index entry) around which enough of the item's words lie near their places."""
+    lengths = np.array([len(own) for own in index.words])
+    for size, occurs, block_keys, block_entries in index.blocks:
+        grams = gram_hashes(words, size)
+        at = np.flatnonzero(occurs[grams >> U(64 - LEADING_BITS)])
+        low, high = np.searchsorted(block_keys, grams[at]), np.searchsorted(block_keys, grams[at], side="right")
+        at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+        ends = np.cumsum(n)
+        done = 0
+        while done < len(at):
+            # as many places as make PLACES_AT_ONCE pairs, one at least
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PLACES_AT_ONCE, side="right")))
+            m = n[done:to]
+            place = np.repeat(at[done:to], m)
+            entry = block_entries[np.repeat(low[done:to] - np.cumsum(m) + m, m) + np.arange(len(place))]
+            done = to
+            of_length = lengths[index.item[entry]]
+            for length in np.unique(of_length).tolist():
+                some = np.flatnonzero(of_length == length)
+                own, most = index.short[index.item[entry[some]], :length], edits(length, index.similarity)
+                expected = (place[some] - index.offset[entry[some]])[:, None] + np.arange(length)
+                there = np.zeros(own.shape, bool)
+                for shift in range(-most, most + 1):
+                    there |= words[np.clip(expected + shift, 0, len(words) - 1)] == own
+                some = some[there.sum(axis=1) >= length - most]
+                if len(some):
+                    yield place[some], entry[some]
 
 
 def candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place of a start, index entry) that share a sample and differ in few known bits."""
+    """Pairs (place, index entry): starts that share a sample and differ in few known bits, and blocks of short items."""
+    places, entries = zip(*[walk_candidates(words, index), *block_candidates(words, index)])
+    places, entries = np.concatenate(places), np.concatenate(entries)
+    if len(places):
+        places, entries = np.unique(np.stack([places, entries]), axis=1)
+    return places, entries
+
+
+def walk_candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of a start, index entry) that share a sample and differ in few known bits; a pair may come more than once."""
     starts = anchors(words)
     places, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if not len(starts) or not index.samples:
@@ -173,10 +250,7 @@ def candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]
         near = differ <= MAX_DIFFER * total
         places.append(starts[s[near]])
         entries.append(e[near])
-    places, entries = np.concatenate(places), np.concatenate(entries)
-    if len(places):
-        places, entries = np.unique(np.stack([places, entries]), axis=1)
-    return places, entries
+    return np.concatenate(places), np.concatenate(entries)
 
 
 _MATCH = "doc_id long, item_id long, distance int, item_words int, end_word long"
@@ -196,7 +270,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, similarity: float)
             for doc, place, entry in zip((np.searchsorted(first, places, side="right") - 1).tolist(), places.tolist(), entries.tolist()):
                 item = int(index.item[entry])
                 own = index.words[item]
-                most = int((1 - similarity) * len(own) + 1e-9)
+                most = edits(len(own), similarity)
                 begin = place - int(index.offset[entry])
                 if (doc, item, begin) in tried:
                     continue
@@ -218,7 +292,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = []
     for k in range(blocks):
-        index = spark.sparkContext.broadcast(build_index(sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()), key=lambda r: (r[0], r[1] or ""))))
+        index = spark.sparkContext.broadcast(build_index(sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()), key=lambda r: (r[0], r[1] or "")), similarity))
         found.append(picked.mapInArrow(lambda it, index=index: _search(it, index.value, similarity), _MATCH))
     return union_all(found)
 

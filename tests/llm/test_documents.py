@@ -328,6 +328,34 @@ def test_decontamination_recall_and_precision(frame):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_decontamination_at_the_full_edit_rate(frame):
+    """Items of every length with as many substitutions, insertions and deletions as the similarity allows."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    lengths = [n for n in [*range(1, 30), 30, 32, 35, 40, 50, 60] for _ in range(6)]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(lengths)]
+    rows, want = [], set()
+    for k, text in items:
+        own = text.split()
+        most = int(0.2 * len(own) + 1e-9)
+        for variant in range(3):
+            put = list(own)
+            for at in sorted(r.sample(range(len(own)), most), reverse=True):
+                put[at : at + 1] = [[word()], [], [put[at], word()]][r.randrange(3) if variant else 0]
+            rows.append((1000 * variant + k, " ".join([word() for _ in range(r.randint(0, 30))] + put + [word() for _ in range(r.randint(0, 30))])))
+    docs = {i: t.split() for i, t in rows}
+    for k, text in items:
+        own = text.split()
+        known = set(own)
+        for i, words in docs.items():
+            if sum(w in known for w in words) >= len(own) - int(0.2 * len(own) + 1e-9) and edit_distance_to_part(own, words) <= int(0.2 * len(own) + 1e-9):
+                want.add((i, k))
+    got = {(x.doc_id, x.item_id) for x in decontam.matches(frame(rows, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    short = {w for w in want if lengths[w[1]] < 30}
+    assert got <= want and len(want) >= len(rows) and short <= got
+    assert len(got - short) >= 0.95 * len(want - short)
+
+
 def test_decontamination_edge_cases(frame):
     items = frame([(1, None), (2, "too short"), (None, "no id at all here but words enough to look for")], "item_id long, text string")
     assert decontam.matches(frame(ODD, DOCS), items).count() == 0
