@@ -43,8 +43,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """What is left, packed into sequences of 1024 tokens; each piece with its token ids."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", lines), ("simhash near-dedup", near_copies), ("decontamination", benchmark), ("packing", pack)]

@@ -105,6 +105,18 @@ def test_pipeline_stages(spark, sf):
     assert c.run(spark, sf).count() == counts[-1]
 
 
+def test_pipeline_gives_the_packed_tokens(spark, frame):
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    from carafe.llm import packing
+
+    out = c.pack(spark, frame([(1, "some words"), (2, "and others")], "doc_id long, text string"), "")
+    encode = Tokenizer.from_file(packing.tokenizer_path()).encode
+    assert {r.doc_id: r.ids for r in out.collect()} == {i: encode(t, add_special_tokens=False).ids + [2] for i, t in ((1, "some words"), (2, "and others"))}
+    assert {len(r.ids) for r in packing.sequences(out).collect()} == {sum(r.length for r in out.collect())}
+
+
 def test_every_query_runs(spark, sf):
     import __spark_entry__ as entry
 
