@@ -14,7 +14,8 @@ exact count of documents and the first place are taken from these, by key and te
 Defined results: a null text stays null, an empty one empty. Lines with fewer than ``min_tokens`` tokens stay. White space around and runs
 of it inside lines don't count for templates; kept lines stay as they are. Rows equal in id and text are one document to the
 counts, and each comes out. Null ids take part as an id of their own, before all others. An empty table gives an empty result.
-All other columns pass through, whatever their names.
+All other
+columns pass through, whatever their names; one called ``n_lines_dropped`` is replaced by the count.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .runtime import written
 
+COUNT = "n_lines_dropped"
 SEGMENTS = 4
 MIN_WILD = 8
 WILD = "<*>"
@@ -51,9 +53,10 @@ def with_template_keys(lines: DataFrame, line: str, lead: int, min_tokens: int)
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 2, min_tokens: int = 3, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and a last column ``n_lines_dropped`` (long)."""
-    names = docs.columns
-    ident, text = F.col(id_col), F.col(text_col).cast("string")
-    places = docs.where(text.isNotNull()).select(ident.alias("_id"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
+    wide = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    ident, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    as_string = text.cast("string")
+    places = wide.where(text.isNotNull()).select(ident.alias("_id"), F.xxhash64(as_string).alias("_t"), F.posexplode(F.split(as_string, "\n")).alias("_pos", "_line"))
     # a document is its id and text, so that nothing depends on the order in which rows are read
     parsed = with_template_keys(places, "_line", lead, min_tokens)
     # the outer form, because a filter on the keys would be pushed below and parse each line again
@@ -69,9 +72,12 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if keep_first:
         again = again.where(~place.eqNullSafe(F.col("_first")))
     dropped = again.groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
-    left, right = docs.withColumn("_t", F.xxhash64(text)).alias("l"), dropped.alias("r")
-    both = left.join(right, F.col(f"l.{id_col}").eqNullSafe(F.col("r._id")) & F.col("l._t").eqNullSafe(F.col("r._t")), "left")
-    gone = F.col("r._gone")
-    lines = F.split(F.col(f"l.{text_col}").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
-    return both.select(*[(F.when(gone.isNull(), F.col(f"l.`{c}`")).otherwise(kept) if c == text_col else F.col(f"l.`{c}`")).alias(c) for c in names], F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("n_lines_dropped"))
+    both = wide.withColumn("_t", F.xxhash64(as_string)).join(dropped.withColumnRenamed("_t", "_text"), ident.eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text")), "left")
+    # places left over, by hash, then their lines; the lines are bound once
+    left = F.array_except(F.sequence(F.lit(0), F.col("_size") - 1), F.col("_gone"))
+    kept = F.transform(F.array(F.split(as_string, "\n")), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))[0]
+    both = both.withColumn("_size", F.when(F.col("_gone").isNotNull(), F.size(F.split(as_string, "\n"))))
+    new = F.when(F.col("_gone").isNull(), text).otherwise(kept)
+    n_dropped = F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias(COUNT)
+    named = [(new if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns) if c != COUNT]
+    return both.select(*named, n_dropped)

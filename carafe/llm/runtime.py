@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -18,10 +17,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, else the context's checkpoint folder; one of our own if neither is set (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names, else the context's checkpoint folder; one of our own if neither is set in local mode."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="carafe-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -49,13 +50,20 @@ def one_row_per_document(df: DataFrame, id_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull())
 
 
-def bucket_rank(df: DataFrame, keys: list[str], salt: Column, buckets: int, order: list[Column], out: str) -> DataFrame:
+def rows_by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Rows of ``docs``, all columns whatever their names, whose id is ("left_semi") or isn't ("left_anti") in the one column of ``ids``."""
+    wide = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    ident = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    return wide.join(ids.toDF("wanted"), ident == F.col("wanted"), how).toDF(*docs.columns)
+
+
+def bucket_rank(df: DataFrame, keys: list[str], salt: Column, order: list[Column], out: str) -> DataFrame:
     """Gapless 0-based rank of rows in each key, without ever sorting one key in one task.
 
-    Rows of a key are dealt to ``buckets`` salts; counts by (key, salt) give each salt its first rank and a window in
-    (key, salt) the rest. The order is by salt, then by ``order``.
+    Counts by (key, salt) give each salt its first rank and a window in (key, salt) the rest, so the rows of one salt bound a task. The
+    order is by salt, then by ``order``.
     """
-    salted = df.withColumn("_salt", F.pmod(salt, F.lit(buckets)).cast("int"))
+    salted = df.withColumn("_salt", salt)
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
@@ -68,26 +76,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) for every id in an edge, component the least id.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) as joins and partial aggregations. Nothing is
-    gathered on the driver but two numbers a round; every round is checkpointed. Self links and repeated links are
-    harmless. Empty input gives an empty result.
+    gathered on the driver but two numbers a round. Both sides of each join are written tables, so that adaptive execution can split the rows of
+    an id with very many links, or broadcast a side it knows to be small. Self links and repeated links are harmless. Empty input gives an
+    empty result.
     """
-    links = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        links = durable(small)
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(state) == seen:
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if state == seen:
             break
-        seen = tuple(state)
+        seen = state
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-LONG = T.LongType()

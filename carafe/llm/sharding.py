@@ -9,7 +9,7 @@ where a group exceeds a share.
 
 Scale. The text is read once, into size, checksum and group; rounds shuffle five short columns. Counts by (group, shard) are
 pre-aggregated, so a group with a third of all rows is at most ``n_shards`` rows; the join back to its documents is
-one that adaptive execution can split. Ranks are dealt by (shard, salt). The driver sees n_shards numbers a round.
+one that adaptive execution can split. Ranks are dealt by (shard, salt), a large group over several salts. The driver sees n_shards numbers a round.
 
 Law: ``rows``, counts differ by one at most. Defined results: a null text is empty (0 bytes, checksum of nothing) and linked to
 other empty texts. Repeated rows come out each and are linked. A null id is left out. An empty table gives an empty result.
@@ -60,7 +60,7 @@ def propagate(rows: DataFrame, n_shards: int, share: float, step: int) -> tuple[
     chance = lambda *of: F.pmod(F.xxhash64(*of, F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     moved = rows.join(wish.drop("n"), ["grp", "shard"], "left")
     taken = F.col("to").isNotNull() & F.when(F.col("whole"), chance("grp") < _number(small_ratio, F.col("to"))).otherwise(chance("doc_id") < _number(large_ratio, F.col("to")))
-    out = durable(moved.select("doc_id", "size", "text_crc32", "grp", "linked", F.when(taken, F.col("to")).otherwise(F.col("shard")).alias("shard"), F.coalesce(taken, F.lit(False)).alias("moved")))
+    out = durable(moved.select("doc_id", "size", "text_crc32", "grp", "linked", "part", F.when(taken, F.col("to")).otherwise(F.col("shard")).alias("shard"), F.coalesce(taken, F.lit(False)).alias("moved")))
     return out.drop("moved"), out.where("moved").count()
 
 
@@ -76,7 +76,9 @@ def settle(rows: DataFrame, n_shards: int) -> DataFrame:
     if not sum(over):
         return rows
     salts = max(1, -(-total // (n_shards * ROWS_PER_SALT)))
-    ranked = bucket_rank(rows, ["shard", "linked"], F.xxhash64("grp"), salts, [F.col("grp"), F.col("doc_id")], "place")
+    # a group's rows follow each other, those of a large group over salts of their own
+    salt = F.pmod(F.xxhash64("grp"), F.lit(salts)) * (1 << 32) + F.col("part")
+    ranked = bucket_rank(rows, ["shard", "linked"], salt, [F.col("grp"), F.col("doc_id")], "place")
     # rows given away are numbered through: first the unlinked of each shard, then the linked
     from_free, from_tied = ([0, *accumulate(x)][:-1] for x in (give_free, give_tied))
     gives = F.col("place") < F.when(F.col("linked"), _number(give_tied, F.col("shard"))).otherwise(_number(give_free, F.col("shard")))
@@ -91,9 +93,10 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("grp"))
     rows = durable(rows)
-    groups = written(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.lit(True).alias("linked")))
-    rows = rows.join(groups, "grp", "left").withColumn("linked", F.col("linked").isNotNull()).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    rows = durable(rows.select("doc_id", "size", "text_crc32", "grp", "linked", "shard"))
+    groups = written(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(ROWS_PER_SALT))
+    rows = rows.join(groups, "grp", "left").withColumn("linked", F.col("n").isNotNull()).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), parts).cast("int")).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
+    rows = durable(rows.select("doc_id", "size", "text_crc32", "grp", "linked", "part", "shard"))
     total = rows.count()
     for step in range(rounds):
         rows, moves = propagate(rows, n_shards, total / n_shards, step)
@@ -101,5 +104,5 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
             break
     rows = durable(settle(rows, n_shards))
     salts = max(1, -(-total // (n_shards * ROWS_PER_SALT)))
-    placed = bucket_rank(rows, ["shard"], F.xxhash64("doc_id"), salts, [F.col("doc_id")], "slot")
+    placed = bucket_rank(rows, ["shard"], F.pmod(F.xxhash64("doc_id"), F.lit(salts)), [F.col("doc_id")], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -2,15 +2,17 @@
 
 A fingerprint is 8 bytes. Two fingerprints at ``max_bits`` = 4 or fewer differing bits share at least 8 - 4 = 4 bytes at the
 same positions, and any 4 positions contain one of the ``TRIPLES`` below. So each distinct fingerprint is posted
-under its positional byte triples; fingerprints of one posting list are compared, the shared positional bytes of a pair are
-tallied, pairs below the guaranteed minimum are discarded, and the rest are verified by Hamming distance. The result is exact.
+under its positional byte triples. Pairs of one posting list share three bytes; all their shared positional bytes are tallied, pairs
+below the guaranteed minimum of four are discarded, and the rest are verified by Hamming distance. The result is exact.
 
 Scale. Texts are read once. Equal fingerprints collapse before the index (with partial aggregation), so a group of copies
 costs one entry. A posting list is walked breadth first: each step compares one fingerprint with those not
-reached yet, so a tight group of m takes about m steps and emits at most m - 1 links, never all pairs.
+reached yet, so a tight group of m takes about m steps and emits at most m - 1 links, never all pairs. Lists arrive sorted and one is
+held at a time, so memory is that of the longest list.
 
-``near_classes`` serves near-duplicates at a shingle similarity: the distinct shingles of a text give 256 bits, posted under positional byte
-pairs. A similarity of 0.8 is about 39 differing bits and the threshold lies three standard deviations above, so bits only propose pairs
+``near_classes`` serves near-duplicates at a shingle similarity: the distinct shingles of a text give 256 bits, posted under positional bytes:
+two a key while that leaves ``LIST_LENGTH`` texts in a list or less, three or more beyond (lists keep their length as the corpus grows), and as
+many keys as ``TARGET_RECALL`` takes at the similarity itself (``key_places``). A similarity of 0.8 is about 39 differing bits and the threshold lies three standard deviations above, so bits only propose pairs
 (about 0.98 of those at 0.8 itself, nearly all from 0.85 up); a link is a pair whose shingle sets, shuffled to it, have that Jaccard similarity.
 Equal sets collapse before the index. In a posting list every pair within the threshold is proposed, but a text reached from another at two
 standard deviations below 39 bits is not paired again with those reached before it, so a hot group of m texts proposes a few pairs a text, not
@@ -23,6 +25,7 @@ and are passed through by ``keep_one``.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, durable, one_row_per_document, shuffle_width, written
+from .runtime import components, one_row_per_document, rows_by_id, shuffle_width, written
 from .wordhash import gram_hashes, mix, slices, utf8, word_hashes, word_spans
 
 BYTES = 8
@@ -109,6 +112,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(lambda it: _hash_documents(it, shingle), "doc_id long, fp long")
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column, cut into batches of whole runs of it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[0].column(0)[0].as_py() != keys[0]):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _near(differ: np.ndarray, max_bits: int) -> np.ndarray:
+    """Places of differences that leave the guaranteed number of positional bytes shared, and are of ``max_bits`` or less."""
+    shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+    some = np.flatnonzero(shared >= BYTES - max_bits)
+    return some[np.bitwise_count(differ[some]) <= max_bits]
+
+
 def _walk(run: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that span the components of one posting list."""
     rest, links = run, []
@@ -116,41 +144,31 @@ def _walk(run: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            differ = rest ^ x
-            shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)  # tally of shared positional bytes
-            near = (shared >= BYTES - max_bits) & (np.bitwise_count(differ) <= max_bits)
-            if near.any():
-                found = rest[near]
-                links += [(int(x), int(y)) for y in found.view(np.int64)] if x.dtype == np.int64 else [(int(x.view(np.int64)), int(y)) for y in found.view(np.int64)]
-                frontier += list(found)
-                rest = rest[~near]
+            near = _near(rest ^ x, max_bits)
+            if len(near):
+                links += [(int(x.view(np.int64)), int(y)) for y in rest[near].view(np.int64)]
+                frontier += list(rest[near])
+                rest = np.delete(rest, near)
     return links
 
 
 def _posting_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """All posting lists of one partition: those of two at once by numpy, longer ones by ``_walk``."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
-    if not got:
-        return
-    keys, fps = (np.concatenate(x) for x in zip(*got))
-    order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order].view(np.uint64)
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    sizes = np.diff(edge)
-    two = edge[:-1][sizes == 2]
-    differ = fps[two] ^ fps[two + 1]
-    shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    near = two[(shared >= BYTES - max_bits) & (np.bitwise_count(differ) <= max_bits)]
-    a, b = [fps[near].view(np.int64)], [fps[near + 1].view(np.int64)]
-    for i, n in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        if links := _walk(fps[i : i + n], max_bits):
-            x, y = np.array(links, dtype=np.int64).T
-            a.append(x)
-            b.append(y)
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    for i in range(0, len(pairs), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 65536, 0]), pa.array(pairs[i : i + 65536, 1])], names=["a", "b"])
+    """The posting lists of one partition, which come in order: those of two at once by numpy, longer ones by ``_walk``."""
+    for batch in _whole_lists(batches):
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        sizes = np.diff(edge)
+        two = edge[:-1][sizes == 2]
+        near = two[_near(fps[two] ^ fps[two + 1], max_bits)]
+        a, b = [fps[near].view(np.int64)], [fps[near + 1].view(np.int64)]
+        for i, n in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            if links := _walk(fps[i : i + n], max_bits):
+                x, y = np.array(links, dtype=np.int64).T
+                a.append(x)
+                b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield from _pair_batches([np.sort(np.stack([a, b], axis=1), axis=1)])
 
 
 def links(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -161,23 +179,33 @@ def links(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
     keys = [F.lit(n << 24).cast("long").bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]) for n, (i, j, k) in enumerate(TRIPLES)]
     posted = distinct_fps.select(F.explode(F.array(*keys)).alias("posting"), "fp")
     width = shuffle_width(distinct_fps.sparkSession)
-    return posted.repartition(width, "posting").mapInArrow(lambda it: _posting_links(it, max_bits), "a long, b long")
+    return posted.repartition(width, "posting").sortWithinPartitions("posting").mapInArrow(lambda it: _posting_links(it, max_bits), "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable through links): one row per row of ``docs``."""
-    prints = durable(fingerprints(docs, id_col, text_col, shingle))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"), max_bits))
-    members = distinct.join(found, distinct.fp == found.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = members.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    prints = written(fingerprints(docs, id_col, text_col, shingle))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return prints.join(_least_ids(distinct, "fp", components(links(distinct.select("fp"), max_bits))), "fp").select("doc_id", "fp", "component_id")
+
+
+def _least_ids(distinct: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Each key of ``distinct`` with the least document id of its component; keys without links are by themselves.
+
+    Every side of a join is a written table, so that a component with very many texts is split or broadcast.
+    """
+    linked = written(found.withColumnRenamed("id", key).join(distinct, key))
+    smallest = written(linked.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = written(linked.join(smallest, "component").select(key, "component_id"))
+    return written(distinct.join(named, key, "left").select(key, F.coalesce("component_id", "least").alias("component_id")))
 
 
 WIDE_WORDS = 4
 WIDE_BYTES = 8 * WIDE_WORDS
-WIDE_STEPS = (1, 5, 11)
+#: The average posting list of unlike texts is no longer than this.
+LIST_LENGTH = 64
+#: Of pairs at the similarity itself, the share that meets in some list.
+TARGET_RECALL = 0.995
 #: Added to the expected bits for each root of the words, about three standard deviations, so that nearly all pairs at the similarity itself are proposed.
 MARGIN = 9.0
 #: Taken from the expected bits in the same way, about two standard deviations, for pairs that are hardly ever below the similarity.
@@ -225,47 +253,59 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([keys, grams], names=["node", "grams"])
 
 
-def _post_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its positional byte pairs (place and bytes in one number)."""
-    for batch in batches:
-        node = batch.column(0).to_numpy()
-        octets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int32)
-        keys = np.concatenate([(octets << 8 | np.roll(octets, -step, axis=1)) + ((np.arange(WIDE_BYTES) + k * WIDE_BYTES) << 16) for k, step in enumerate(WIDE_STEPS)], axis=1)
-        n = keys.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(node, n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(node)), n)))], names=["posting", "node", "fp"])
+def key_places(n_texts: int, agree: float) -> np.ndarray:
+    """The byte places of each posting key (keys x bytes of a key) for so many texts, whose like pairs have bits equal by the chance ``agree``."""
+    n_bytes = 2
+    while n_texts > LIST_LENGTH << 8 * n_bytes:
+        n_bytes += 1
+    turns = -(-np.log(1 - TARGET_RECALL) // np.log(1 - agree ** (8 * n_bytes)) // WIDE_BYTES)
+    rng, steps = random.Random(n_bytes), set()
+    while len(steps) < turns:  # steps below half the bytes, so that no two keys are of the same places
+        steps.add((0, *sorted(rng.sample(range(1, WIDE_BYTES // 2), n_bytes - 1))))
+    return (np.arange(WIDE_BYTES)[:, None] + np.array(sorted(steps))[:, None, :]).reshape(-1, n_bytes) % WIDE_BYTES
+
+
+def _post_wide(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under its positional bytes (the key's number and its bytes in one number)."""
+    n, n_bytes = places.shape
+    for whole in batches:
+        for batch in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
+            node = batch.column(0).to_numpy()
+            octets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
+            keys = np.arange(n, dtype=np.int64)[None, :].repeat(len(node), axis=0)
+            for k in range(n_bytes):
+                keys = keys << 8 | octets[:, places[:, k]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(node, n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(node)), n)))], names=["posting", "node", "fp"])
 
 
 def _wide_pairs(batches: Iterator[pa.RecordBatch], max_bits: int, tight_bits: int) -> Iterator[pa.RecordBatch]:
     """Pairs to verify of each posting list of a partition: all within ``max_bits``, but of tight groups only a spanning part."""
-    got = [b for b in batches if len(b)]
-    if not got:
-        return
-    table = pa.Table.from_batches(got).combine_chunks()
-    keys, ids = table.column("posting").to_numpy(), table.column("node").to_numpy()
-    prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-    order = np.lexsort([ids, keys])  # the same texts come first in all lists, so that lists propose the same pairs
-    edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
     pairs, waiting = [np.zeros((0, 2), np.int64)], 0
-    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        rest = order[i:j]
-        while len(rest) > 1:
-            frontier, rest = [rest[0]], rest[1:]
-            while frontier and len(rest):
-                x = frontier.pop()
-                bits = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1)
-                near = rest[bits <= max_bits]
-                if not len(near):
-                    continue
-                pairs.append(np.sort(np.stack([np.full(len(near), ids[x]), ids[near]], axis=1), axis=1))
-                waiting += len(near)
-                # those not tight stay, to be paired with the rest of the group too: x's link to them may fail where another's holds
-                tight = bits <= tight_bits
-                if tight.any():
-                    frontier += list(rest[tight])
-                    rest = rest[~tight]
-                if waiting >= PAIRS_AT_ONCE:
-                    yield from _pair_batches(pairs)
-                    pairs, waiting = [np.zeros((0, 2), np.int64)], 0
+    for batch in _whole_lists(batches):
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+        order = np.lexsort([ids, keys])  # the same texts come first in all lists, so that lists propose the same pairs
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for i, j in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
+            rest = order[i:j]
+            while len(rest) > 1:
+                frontier, rest = [rest[0]], rest[1:]
+                while frontier and len(rest):
+                    x = frontier.pop()
+                    bits = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1)
+                    near = rest[bits <= max_bits]
+                    if not len(near):
+                        continue
+                    pairs.append(np.sort(np.stack([np.full(len(near), ids[x]), ids[near]], axis=1), axis=1))
+                    waiting += len(near)
+                    # those not tight stay, to be paired with the rest of the group too: x's link to them may fail where another's holds
+                    tight = bits <= tight_bits
+                    if tight.any():
+                        frontier += list(rest[tight])
+                        rest = rest[~tight]
+                    if waiting >= PAIRS_AT_ONCE:
+                        yield from _pair_batches(pairs)
+                        pairs, waiting = [np.zeros((0, 2), np.int64)], 0
     yield from _pair_batches(pairs)
 
 
@@ -281,14 +321,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     expected, root = 64 * WIDE_WORDS * np.arccos(cosine) / np.pi, WIDE_WORDS**0.5
     max_bits, tight_bits = int(expected + MARGIN * root), int(expected - TIGHT_MARGIN * root)
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = durable(picked.mapInArrow(lambda it: _hash_wide(it, shingle), "doc_id long, node long, fp binary"))
-    distinct = durable(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
-    posted = distinct.select("node", "fp").mapInArrow(_post_wide, "posting int, node long, fp binary")
-    proposed = written(posted.repartition(shuffle_width(docs.sparkSession), "posting").mapInArrow(lambda it: _wide_pairs(it, max_bits, tight_bits), "a long, b long").distinct())
+    prints = written(picked.mapInArrow(lambda it: _hash_wide(it, shingle), "doc_id long, node long, fp binary"))
+    distinct = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    places = key_places(distinct.count(), 1 - np.arccos(cosine) / np.pi)
+    posted = distinct.select("node", "fp").mapInArrow(lambda it: _post_wide(it, places), "posting long, node long, fp binary")
+    lists = posted.repartition(shuffle_width(docs.sparkSession), "posting").sortWithinPartitions("posting")
+    proposed = written(lists.mapInArrow(lambda it: _wide_pairs(it, max_bits, tight_bits), "a long, b long").distinct())
     found = components(_verified(picked, distinct, proposed, shingle, similarity))
-    members = distinct.join(found, distinct.node == found.id, "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(members.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.join(_least_ids(distinct.select("node", "least"), "node", found), "node").select("doc_id", "component_id")
 
 
 def _verified(picked: DataFrame, distinct: DataFrame, proposed: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -305,11 +345,11 @@ def _verified(picked: DataFrame, distinct: DataFrame, proposed: DataFrame, shing
 
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, that are the least id of their class by ``near_classes``, and rows without an id."""
-    gone = near_classes(docs, id_col, text_col, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    gone = near_classes(docs, id_col, text_col, shingle, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return rows_by_id(docs, gone, id_col, "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """Rows of ``docs``, all columns, that are the least id of their class; of rows with the same id all stay."""
-    chosen = classes(docs, id_col, text_col, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(chosen, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
+    chosen = classes(docs, id_col, text_col, shingle, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    return rows_by_id(docs, chosen, id_col, "left_semi")
