@@ -124,12 +124,12 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
         m = _TURN.match(formatted, at)
         if not m:
             raise ValueError(f"not in this template at {at}")
-        pieces, end = [], 0
-        for p in re.finditer(r"\\.|<(?:image|audio|document) \d+>", m[2], re.S):
-            pieces.append(m[2][end : p.start()])
+        pieces, end, body = [], 0, m[2]
+        for p in re.finditer(r"\\.|<(?:image|audio|document) \d+>", body, re.S):
+            pieces.append(body[end : p.start()])
             pieces.append(p[0][1:] if p[0][0] == "\\" else p[0])
             end = p.end()
-        turns.append((unescape(m[1]), "".join(pieces) + m[2][end:]))
+        turns.append((unescape(m[1]), "".join(pieces) + body[end:]))
         at = m.end()
     return turns
 

@@ -11,8 +11,9 @@ Items of fewer than ``BLOCKED_BELOW`` words are too short for walks to be sure a
 allowed is cut into e + 1 blocks, of which e edits leave one as it is. A place with a block of an item is a candidate if all but e of the
 item's words lie within e words of where the block puts them (which e edits can't prevent), and is verified in the same way.
 
-Scale. Documents are read once, in numpy over Arrow batches; nothing is shuffled. Items are taken in blocks of ``ITEMS_PER_BLOCK``,
-so what is broadcast is bounded.
+Scale. Documents are read once for each ``BLOCKS_PER_PASS`` * ``ITEMS_PER_BLOCK`` = 160,000 items, in numpy over Arrow batches; nothing is
+shuffled. Items come to the driver a block at a time and leave it as a broadcast index, so neither the driver nor an executor holds more than
+the blocks of a pass, however large the benchmark is.
 
 Defined results: null texts are empty; items without words are not looked for. Items of one to four words allow no edit. Repeated document rows come out
 each. Null document or item ids are left out of ``matches``; ``drop_contaminated`` keeps rows without an id. Empty tables give
@@ -24,13 +25,14 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import one_row_per_document, union_all
+from .runtime import one_row_per_document, rows_by_id, union_all
 from .wordhash import gram_hashes, slices, utf8, word_hashes, word_spans
 
 U = np.uint64
@@ -38,7 +40,8 @@ ANCHOR = 4  # a power of two
 WALKS = 3
 STEPS = 32
 SAMPLED_STEPS = 16
-SAMPLES = 8
+TARGET_RECALL = 0.99
+MOST_SAMPLES = 64
 SAMPLE_BITS = 18
 MAX_DIFFER = 0.25
 SHORT_STEPS = 8
@@ -46,9 +49,10 @@ BLOCKED_BELOW = 30
 PLACES_AT_ONCE = 20_000
 LEADING_BITS = 20
 ITEMS_PER_BLOCK = 20_000
+BLOCKS_PER_PASS = 8
 _RNG = random.Random(11)
 _STEP = [[U(_RNG.getrandbits(64) | 1) for _ in range(STEPS)] for _ in range(WALKS)]
-_MASKS = [U(sum(1 << b for b in _RNG.sample(range(WALKS * SAMPLED_STEPS), SAMPLE_BITS))) for _ in range(SAMPLES)]
+_MASKS = [U(sum(1 << b for b in _RNG.sample(range(WALKS * SAMPLED_STEPS), SAMPLE_BITS))) for _ in range(MOST_SAMPLES)]
 #: The bits of the first steps of all walks: one more sample, which short items have too.
 _SHORT = U(sum(1 << (SAMPLED_STEPS * w + j) for w in range(WALKS) for j in range(SHORT_STEPS)))
 _ORDER = U(_RNG.getrandbits(64) | 1)
@@ -119,7 +123,8 @@ def best_match(item: list[int], words: list[int], most: int) -> tuple[int, int]
 @dataclass
 class Index:
     ids: list[int]
-    words: list[list[int]]
+    words: np.ndarray  # hashes of all items' words, one after the other
+    ends: np.ndarray  # where each item begins, and the end of the last
     item: np.ndarray  # of each entry
     offset: np.ndarray
     bits: np.ndarray  # walks x entries
@@ -129,6 +134,9 @@ class Index:
     short: np.ndarray  # words of each short item, filled up with zeros (a row of zeros for other items)
     similarity: float
 
+    def of(self, item: int) -> np.ndarray:
+        return self.words[self.ends[item] : self.ends[item + 1]]
+
 
 def edits(n_words: int, similarity: float) -> int:
     return int((1 - similarity) * n_words + 1e-9)
@@ -140,6 +148,46 @@ def block_starts(n_words: int, most: int) -> tuple[list[int], int]:
     return [size * k for k in range(most + 1)], size
 
 
+@lru_cache
+def samples_needed(similarity: float, target: float = TARGET_RECALL, trials: int = 400) -> int:
+    """How many samples find ``target`` of passages that are edited as much as the similarity allows, for the shortest items that walks look for.
+
+    Measured on random items with substitutions, insertions and deletions in equal parts, which is what the rest of the module then does.
+    """
+    rng = np.random.default_rng(17)
+    first = []
+    for _ in range(trials):
+        own = rng.integers(1, 1 << 63, BLOCKED_BELOW).astype(U)
+        put = own.tolist()
+        for at in sorted(rng.choice(BLOCKED_BELOW, edits(BLOCKED_BELOW, similarity), replace=False).tolist(), reverse=True):
+            new = int(rng.integers(1, 1 << 63))
+            put[at : at + 1] = [[new], [], [put[at], new]][rng.integers(3)]
+        index = _walks(own)
+        there = np.array(put, U)
+        bits, _ = embed(there, anchors(there))
+        differ = sum(np.bitwise_count((bits[w][:, None] ^ index[1][w]) & index[2][w]) for w in range(WALKS))
+        near = differ <= MAX_DIFFER * sum(np.bitwise_count(index[2][w]) for w in range(WALKS))
+        mine, its = sampled(bits)[:, None], sampled(index[1])
+        whole = (index[2] >> U(SAMPLED_STEPS - 1) & U(1) > 0).all(axis=0)
+        met = [bool((near & ((mine ^ its) & _SHORT == 0)).any())] + [bool((near & whole & ((mine ^ its) & m == 0)).any()) for m in _MASKS]
+        first.append(met.index(True) if any(met) else MOST_SAMPLES + 1)
+    n = int(np.sort(first)[-(-int(target * trials * 100) // 100) - 1])
+    if n > MOST_SAMPLES:
+        raise ValueError(f"the similarity {similarity} is too low for a recall of {target}")
+    return max(1, n)
+
+
+def _walks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of an item whose walks write enough bits, the bits, and the masks of those written inside the item."""
+    at = anchors(own)
+    parts = [embed(own, at[c : c + 4000]) for c in range(0, max(1, len(at)), 4000)]
+    bits = np.concatenate([p[0] for p in parts], axis=1)
+    steps = np.concatenate([(p[1] < len(own)).sum(axis=1) for p in parts], axis=1)
+    steps = np.minimum(steps + 1, STEPS)
+    good = (steps >= SHORT_STEPS).all(axis=0)
+    return at[good], bits[:, good], (U(1) << steps[:, good].astype(U)) - U(1)
+
+
 def build_index(items: list[tuple[int, str | None]], similarity: float = 0.8) -> Index:
     data, limits = utf8(pa.array([t for _, t in items], pa.string()))
     starts, ends, first = word_spans(data, limits, terms=True)
@@ -152,26 +200,21 @@ def build_index(items: list[tuple[int, str | None]], similarity: float = 0.8) ->
         if not len(own):
             continue
         ids.append(ident)
-        words.append(own.tolist())
+        words.append(own)
         if len(own) < BLOCKED_BELOW and (most := edits(len(own), similarity)) < len(own):
             places, size = block_starts(len(own), most)
             grams = gram_hashes(own, size)
             by_size.setdefault(size, []).extend((grams[at], len(ids) - 1, at) for at in places)
             continue
-        at = anchors(own)
-        parts = [embed(own, at[c : c + 4000]) for c in range(0, len(at), 4000)]
-        b = np.concatenate([p[0] for p in parts], axis=1)
-        steps = np.concatenate([(p[1] < len(own)).sum(axis=1) for p in parts], axis=1)  # bits written while inside
-        steps = np.minimum(steps + 1, STEPS)
-        good = (steps >= SHORT_STEPS).all(axis=0)
-        item.append(np.full(int(good.sum()), len(ids) - 1))
-        offset.append(at[good])
-        bits.append(b[:, good])
-        known.append(((U(1) << steps[:, good].astype(U)) - U(1)))
+        at, own_bits, own_known = _walks(own)
+        item.append(np.full(len(at), len(ids) - 1))
+        offset.append(at)
+        bits.append(own_bits)
+        known.append(own_known)
     bits, known = np.concatenate(bits, axis=1), np.concatenate(known, axis=1)
     keys, samples = sampled(bits), []
     long = np.flatnonzero((known >> U(SAMPLED_STEPS - 1) & U(1) > 0).all(axis=0))
-    for mask, some in [(_SHORT, np.arange(len(keys))), *((m, long) for m in _MASKS)] if len(keys) else []:
+    for mask, some in [(_SHORT, np.arange(len(keys))), *((m, long) for m in _MASKS[: samples_needed(similarity) if len(keys) else 0])] if len(keys) else []:
         order = some[np.argsort(keys[some] & mask, kind="stable")]
         samples.append((mask, keys[order] & mask, order))
     blocks, entry = [], len(keys)  # the entries of blocks follow those of walks
@@ -188,12 +231,13 @@ def build_index(items: list[tuple[int, str | None]], similarity: float = 0.8) ->
     for i, own in enumerate(words):
         if len(own) < BLOCKED_BELOW:
             short[i, : len(own)] = own
-    return Index(ids, words, np.concatenate(item), np.concatenate(offset), bits, known, samples, blocks, short, similarity)
+    flat, ends = np.concatenate([np.zeros(0, U), *words]), np.cumsum([0, *map(len, words)])
+    return Index(ids, flat, ends, np.concatenate(item), np.concatenate(offset), bits, known, samples, blocks, short, similarity)
 
 
 def block_candidates(words: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (place of a block, index entry) around which enough of the item's words lie near their places."""
-    lengths = np.array([len(own) for own in index.words])
+    lengths = np.diff(index.ends)
     for size, occurs, block_keys, block_entries in index.blocks:
         grams = gram_hashes(words, size)
         at = np.flatnonzero(occurs[grams >> U(64 - LEADING_BITS)])
@@ -256,7 +300,7 @@ def walk_candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.nda
 _MATCH = "doc_id long, item_id long, distance int, item_words int, end_word long"
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: Index, similarity: float) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], indexes: list, similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
         data, limits = utf8(batch.column(1))
@@ -264,26 +308,32 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, similarity: float)
             part, lim = data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]
             starts, ends, first = word_spans(part, lim, terms=True)
             words = word_hashes(part, starts, ends, lower=True)
-            places, entries = candidates(words, index)
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            tried: set[tuple[int, int, int]] = set()
-            for doc, place, entry in zip((np.searchsorted(first, places, side="right") - 1).tolist(), places.tolist(), entries.tolist()):
-                item = int(index.item[entry])
-                own = index.words[item]
-                most = edits(len(own), similarity)
-                begin = place - int(index.offset[entry])
-                if (doc, item, begin) in tried:
-                    continue
-                tried.add((doc, item, begin))
-                low = max(begin - 2 * most, int(first[doc]))
-                found = best_match(own, words[low : min(begin + len(own) + 2 * most, int(first[doc + 1]))].tolist(), most)
-                if found and (doc, item) not in best or found and (found[0], low + found[1]) < best[doc, item]:
-                    best[doc, item] = (found[0], low + found[1])
-            rows += [(doc_ids[a + doc], index.ids[item], distance, len(index.words[item]), end - int(first[doc])) for (doc, item), (distance, end) in sorted(best.items())]
+            for index in (shared.value for shared in indexes):
+                rows += [(doc_ids[a + doc], index.ids[item], distance, int(index.ends[item + 1] - index.ends[item]), end - int(first[doc])) for (doc, item), (distance, end) in sorted(_best_places(words, first, index, similarity).items())]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
 
+def _best_places(words: np.ndarray, first: np.ndarray, index: Index, similarity: float) -> dict[tuple[int, int], tuple[int, int]]:
+    """(document, item): the least distance and where it ends, of the candidates that hold an item."""
+    places, entries = candidates(words, index)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    tried: set[tuple[int, int, int]] = set()
+    for doc, place, entry in zip((np.searchsorted(first, places, side="right") - 1).tolist(), places.tolist(), entries.tolist()):
+        item = int(index.item[entry])
+        own = index.of(item).tolist()
+        most = edits(len(own), similarity)
+        begin = place - int(index.offset[entry])
+        if (doc, item, begin) in tried:
+            continue
+        tried.add((doc, item, begin))
+        low = max(begin - 2 * most, int(first[doc]))
+        found = best_match(own, words[low : min(begin + len(own) + 2 * most, int(first[doc + 1]))].tolist(), most)
+        if found and ((doc, item) not in best or (found[0], low + found[1]) < best[doc, item]):
+            best[doc, item] = (found[0], low + found[1])
+    return best
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, distance (word edits), item_words, end_word: the best place of each item in each document that holds it."""
     spark = docs.sparkSession
@@ -291,13 +341,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = []
-    for k in range(blocks):
-        index = spark.sparkContext.broadcast(build_index(sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()), key=lambda r: (r[0], r[1] or "")), similarity))
-        found.append(picked.mapInArrow(lambda it, index=index: _search(it, index.value, similarity), _MATCH))
+    for at in range(0, blocks, BLOCKS_PER_PASS):
+        shared = []
+        for k in range(at, min(at + BLOCKS_PER_PASS, blocks)):
+            block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+            shared.append(spark.sparkContext.broadcast(build_index(sorted((tuple(r) for r in block), key=lambda r: (r[0], r[1] or "")), similarity)))
+        found.append(picked.mapInArrow(lambda it, shared=shared: _search(it, shared, similarity), _MATCH))
     return union_all(found)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item."""
-    bad = matches(docs, benchmark, id_col, text_col, similarity=similarity).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad_id"), "left_anti")
+    bad = matches(docs, benchmark, id_col, text_col, similarity=similarity).select("doc_id").distinct()
+    return rows_by_id(docs, bad, id_col, "left_anti")

@@ -56,7 +56,9 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wide = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     ident, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
     as_string = text.cast("string")
-    places = wide.where(text.isNotNull()).select(ident.alias("_id"), F.xxhash64(as_string).alias("_t"), F.posexplode(F.split(as_string, "\n")).alias("_pos", "_line"))
+    # the hash first, or it would be taken of the whole text for each of its lines
+    hashed = wide.where(text.isNotNull()).select(ident.alias("_id"), F.xxhash64(as_string).alias("_t"), as_string.alias("_whole"))
+    places = hashed.select("_id", "_t", F.posexplode(F.split("_whole", "\n")).alias("_pos", "_line"))
     # a document is its id and text, so that nothing depends on the order in which rows are read
     parsed = with_template_keys(places, "_line", lead, min_tokens)
     # the outer form, because a filter on the keys would be pushed below and parse each line again

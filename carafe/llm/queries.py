@@ -71,9 +71,70 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def secret_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op2_secrets`` that SQL can say."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of ``op5_sharding`` fixes: each shard's rows, its last slot and the bytes of all."""
+    placed = op5_sharding(spark, sf_dir)
+    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("slots"))
+
+
+def _lines_sql() -> str:
+    """Template keys of lines as text, then the lines of keys that two texts share, but for the first."""
+    spaces = "[ \\t\\x0B\\f\\r]"
+    run = "array_to_string(list_slice(tokens, 3 + width * {0}, 2 + width * {0} + greatest(width, 1)), ' ')"
+    runs = [run.format(i) for i in range(line_dedup.SEGMENTS)]
+    path = "CAST(n AS VARCHAR) || chr(31) || array_to_string(list_slice(tokens, 1, 2), ' ')"
+    key = lambda wild: f"{path} || " + " || ".join(f"chr(31) || {'chr(30)' if i == wild else r}" for i, r in enumerate(runs))
+    split = "string_split(text, chr(10))"
+    return f"""WITH l AS (SELECT doc_id, text, unnest({split}) AS line, generate_subscripts({split}, 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+  t AS (SELECT doc_id, text, pos, list_transform(string_split(CASE WHEN regexp_matches(line, '{spaces}{{2}}|[\\t\\x0B\\f\\r]|^ | $') THEN trim(regexp_replace(line, '{spaces}+', ' ', 'g')) ELSE line END, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM l),
+  w AS (SELECT *, len(tokens) AS n, CAST(greatest(ceil((len(tokens) - 2) / 4.0), 0) AS BIGINT) AS width FROM t WHERE len(tokens) >= 3),
+  k AS (SELECT doc_id, text, pos, unnest(CASE WHEN n >= {line_dedup.MIN_WILD} THEN [{", ".join(key(j) for j in (None, *range(line_dedup.SEGMENTS)))}] ELSE [{key(None)}] END) AS key FROM w),
+  r AS (SELECT key, min({{'d': doc_id, 'p': pos}}) AS first FROM k GROUP BY key HAVING count(DISTINCT text) >= 2),
+  g AS (SELECT DISTINCT doc_id, pos FROM k JOIN r USING (key) WHERE NOT (doc_id = first.d AND pos = first.p)),
+  c AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept, count(g.pos) AS n FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+  SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n, 0) AS n_lines_dropped FROM documents LEFT JOIN c USING (doc_id)"""
+
+
+_ESCAPED = "(length({0}) + len(regexp_extract_all({0}, '[{1}]')))"
+
+SQL = {
+    "op1_line_dedup": _lines_sql(),
+    "op4_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+  u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v),
+  ok AS (SELECT * FROM u WHERE size > 0 AND isfinite(size)),
+  near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95e0),
+  reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)
+  SELECT vec_id, (SELECT count(*) FROM near WHERE near.a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id, vec_id = (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS kept FROM embeddings""",
+    "op9_substring": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'), 1) AS pos FROM documents),
+  s AS (SELECT doc_id, pos, word, count(*) OVER ahead AS n, md5(string_agg(word, ' ') OVER ahead) AS key FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+  f AS (SELECT *, CASE WHEN n = 20 AND row_number() OVER (PARTITION BY key, n ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS again FROM s),
+  c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+  k AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op10_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t, r, '{FORGED}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS forged(t, r)),
+  g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
+    sum({_ESCAPED.format('role', '#<:' + chr(92) * 2)} + {_ESCAPED.format('text', '#<' + chr(92) * 2)} + 14) AS formatted_chars FROM c GROUP BY conv_id)
+  SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+    "secret_pattern_counts": r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  p AS (SELECT * FROM (VALUES (0, 'assign', '((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?)([A-Za-z0-9+/_.=-]+)', 8), (1, 'access', '(AKIA)([A-Z0-9]+)', 12), (2, 'hex', '()([0-9a-f]+)', 32)) AS p(place, kind, pattern, least)),
+  m AS (SELECT doc_id, place, kind, least, regexp_extract_all(text, pattern, 0) AS whole, regexp_extract_all(text, pattern, 2) AS value, regexp_split_to_array(text, pattern) AS between FROM d, p WHERE len(regexp_extract_all(text, pattern, 0)) > 0),
+  x AS (SELECT *, generate_subscripts(whole, 1) AS i FROM m),
+  s AS (SELECT doc_id, place, kind, CAST(list_sum(list_transform(between[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda t: length(t))), 0) AS BIGINT) AS start, length(whole[i]) AS size FROM x WHERE length(value[i]) >= least),
+  j AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, place) AS spans FROM s GROUP BY doc_id)
+  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN j USING (doc_id)""",
+    "shard_loads": """SELECT CAST(s AS INTEGER) AS shard, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS n, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END - 1 AS last_slot, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS slots
+  FROM range(40) AS r(s), (SELECT count(*) AS n FROM documents WHERE doc_id IS NOT NULL)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat}
+    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "secret_pattern_counts": secret_pattern_counts, "shard_loads": shard_loads}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

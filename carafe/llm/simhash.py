@@ -11,8 +11,8 @@ reached yet, so a tight group of m takes about m steps and emits at most m - 1 l
 held at a time, so memory is that of the longest list.
 
 ``near_classes`` serves near-duplicates at a shingle similarity: the distinct shingles of a text give 256 bits, posted under positional bytes:
-two a key while that leaves ``LIST_LENGTH`` texts in a list or less, three or more beyond (lists keep their length as the corpus grows), and as
-many keys as ``TARGET_RECALL`` takes at the similarity itself (``key_places``). A similarity of 0.8 is about 39 differing bits and the threshold lies three standard deviations above, so bits only propose pairs
+two a key while that leaves ``LIST_LENGTH`` texts in a list or less, three or more beyond (lists keep their length as the corpus grows). The bits
+are dealt to bytes anew and posted again as often as ``TARGET_RECALL`` takes at the similarity itself (``posting_turns``). A similarity of 0.8 is about 39 differing bits and the threshold lies three standard deviations above, so bits only propose pairs
 (about 0.98 of those at 0.8 itself, nearly all from 0.85 up); a link is a pair whose shingle sets, shuffled to it, have that Jaccard similarity.
 Equal sets collapse before the index. In a posting list every pair within the threshold is proposed, but a text reached from another at two
 standard deviations below 39 bits is not paired again with those reached before it, so a hot group of m texts proposes a few pairs a text, not
@@ -25,8 +25,8 @@ and are passed through by ``keep_one``.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -203,9 +203,9 @@ def _least_ids(distinct: DataFrame, key: str, found: DataFrame) -> DataFrame:
 WIDE_WORDS = 4
 WIDE_BYTES = 8 * WIDE_WORDS
 #: The average posting list of unlike texts is no longer than this.
-LIST_LENGTH = 64
+LIST_LENGTH = 1024
 #: Of pairs at the similarity itself, the share that meets in some list.
-TARGET_RECALL = 0.995
+TARGET_RECALL = 0.99
 #: Added to the expected bits for each root of the words, about three standard deviations, so that nearly all pairs at the similarity itself are proposed.
 MARGIN = 9.0
 #: Taken from the expected bits in the same way, about two standard deviations, for pairs that are hardly ever below the similarity.
@@ -253,28 +253,46 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([keys, grams], names=["node", "grams"])
 
 
-def key_places(n_texts: int, agree: float) -> np.ndarray:
-    """The byte places of each posting key (keys x bytes of a key) for so many texts, whose like pairs have bits equal by the chance ``agree``."""
+@lru_cache
+def posting_turns(n_texts: int, agree: float) -> tuple[int, int]:
+    """Bytes of a posting key, and how often all bytes are posted, for so many texts whose like pairs have bits equal by the chance ``agree``.
+
+    As many turns as it takes for ``TARGET_RECALL`` of random pairs with such bits to meet in some list.
+    """
     n_bytes = 2
     while n_texts > LIST_LENGTH << 8 * n_bytes:
         n_bytes += 1
-    turns = -(-np.log(1 - TARGET_RECALL) // np.log(1 - agree ** (8 * n_bytes)) // WIDE_BYTES)
-    rng, steps = random.Random(n_bytes), set()
-    while len(steps) < turns:  # steps below half the bytes, so that no two keys are of the same places
-        steps.add((0, *sorted(rng.sample(range(1, WIDE_BYTES // 2), n_bytes - 1))))
-    return (np.arange(WIDE_BYTES)[:, None] + np.array(sorted(steps))[:, None, :]).reshape(-1, n_bytes) % WIDE_BYTES
-
-
-def _post_wide(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its positional bytes (the key's number and its bytes in one number)."""
-    n, n_bytes = places.shape
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (1000, 8 * WIDE_BYTES), dtype=np.uint8)
+    differ = np.packbits(rng.random(bits.shape) > agree, axis=1)
+    apart, turns = np.ones(len(bits), bool), 0
+    while apart.mean() > 1 - TARGET_RECALL:
+        octets = _dealt(differ[apart], turns)
+        equal = octets == 0
+        for k in range(1, n_bytes):
+            equal = equal & (np.roll(octets, -k, axis=1) == 0)
+        apart[np.flatnonzero(apart)[equal.any(axis=1)]] = False
+        turns += 1
+    return n_bytes, turns
+
+
+def _dealt(octets: np.ndarray, turn: int) -> np.ndarray:
+    """The fingerprints' bits dealt anew to bytes, in an order of the turn's own."""
+    order = np.random.default_rng(turn).permutation(8 * WIDE_BYTES) if turn else np.arange(8 * WIDE_BYTES)
+    return np.packbits(np.unpackbits(octets, axis=1)[:, order], axis=1)
+
+
+def _post_wide(batches: Iterator[pa.RecordBatch], n_bytes: int, turns: int) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under its positional bytes (turn, place and bytes in one number): each byte with those that follow it, in turns."""
+    n = turns * WIDE_BYTES
     for whole in batches:
         for batch in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
             node = batch.column(0).to_numpy()
-            octets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
-            keys = np.arange(n, dtype=np.int64)[None, :].repeat(len(node), axis=0)
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
+            octets = np.stack([_dealt(prints, t) for t in range(turns)], axis=1).astype(np.int64)
+            keys = np.arange(n, dtype=np.int64).reshape(1, turns, WIDE_BYTES)
             for k in range(n_bytes):
-                keys = keys << 8 | octets[:, places[:, k]]
+                keys = keys << 8 | np.roll(octets, -k, axis=2)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(node, n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(node)), n)))], names=["posting", "node", "fp"])
 
 
@@ -323,8 +341,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = written(picked.mapInArrow(lambda it: _hash_wide(it, shingle), "doc_id long, node long, fp binary"))
     distinct = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
-    places = key_places(distinct.count(), 1 - np.arccos(cosine) / np.pi)
-    posted = distinct.select("node", "fp").mapInArrow(lambda it: _post_wide(it, places), "posting long, node long, fp binary")
+    n_bytes, turns = posting_turns(distinct.count(), 1 - np.arccos(cosine) / np.pi)
+    posted = distinct.select("node", "fp").mapInArrow(lambda it: _post_wide(it, n_bytes, turns), "posting long, node long, fp binary")
     lists = posted.repartition(shuffle_width(docs.sparkSession), "posting").sortWithinPartitions("posting")
     proposed = written(lists.mapInArrow(lambda it: _wide_pairs(it, max_bits, tight_bits), "a long, b long").distinct())
     found = components(_verified(picked, distinct, proposed, shingle, similarity))

@@ -5,13 +5,14 @@ many words probes it. A repeat of ``window`` words holds a whole block of each o
 lie, so both occurrences get a hit from the other. Hits are extended on both sides to all windows of ``window`` words around
 them; those that occur earlier in the corpus are covered, and overlapping ones join into maximal exact repeats.
 
-Scale. The text is shuffled once, by chunks of neighbouring rows, and the three passes reuse that exchange. A chunk sends each of
-its distinct hashes once, packed by hash bucket, so a passage in a third of all rows costs one entry a chunk and no group
-grows with its count; pairs of occurrences are never formed. Buckets follow the session's shuffle partitions.
+Scale. The text is shuffled once, by chunks of documents (by a hash of the id), and the three passes reuse that exchange. A chunk sends each
+of its distinct hashes once, packed by hash bucket, so a passage in a third of all rows costs one entry a chunk and no group
+grows with its count; pairs of occurrences are never formed. The numbers of chunks and buckets follow the bytes of text, which are summed
+first: a task holds one chunk (``CHUNK_BYTES`` or the longest text) or the hashes of ``BUCKET_BYTES`` of text at a time.
 
 Block hits use 38 bits and a bucket (a false hit only costs a look); window equality uses 96 bits of two independent hashes.
 
-Defined results: null and empty texts have no words. Rows with one id count as documents in the order of their rows, each gets
+Defined results: null and empty texts have no words. Rows with one id count as documents in the order of a hash of their texts, each gets
 its own result. A null id is left out. An empty table gives an empty result. Only the id and the text are read; other columns are
 not in the result.
 """
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 from .runtime import one_row_per_document, shuffle_width
 from .wordhash import gram_hashes, utf8, word_hashes, word_spans
 
-CHUNK_BITS = 7
+CHUNK_BYTES = 1 << 18
+BUCKET_BYTES = 1 << 25
+#: Bytes of text in a chunk for each bucket, so that a chunk has some tens of hashes for each.
+CHUNK_BYTES_A_BUCKET = 400
 _KEY_BITS = 38
 _KEY = np.uint64((1 << _KEY_BITS) - 1)
 _PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
@@ -219,9 +223,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word is removed if a window of ``window`` consecutive words that covers it has the same words as a window that starts
     earlier: in a smaller id, or earlier in the same document. Windows are judged on the input.
     """
-    block, buckets = window // 2, 2 * shuffle_width(docs.sparkSession)
-    numbered = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    chunks = numbered.withColumn("chunk", F.shiftright("row", CHUNK_BITS)).groupBy("chunk")
+    picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block, buckets = window // 2, max(2 * shuffle_width(docs.sparkSession), -(-total // BUCKET_BYTES))
+    n_chunks = max(1, -(-total // max(CHUNK_BYTES, CHUNK_BYTES_A_BUCKET * buckets)))
+    # by values, not by row numbers, so that a part which is computed again deals its rows alike
+    chunks = picked.withColumn("row", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))).groupBy("chunk")
     hits = chunks.applyInArrow(lambda t: _probe(t, block, buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, _PACKED)
     around = chunks.cogroup(hits.groupBy("chunk")).applyInArrow(lambda t, h: _extend(t, h, block, window, buckets), _PACKED)
     flagged = around.groupBy("bucket").applyInArrow(_first, _PACKED)

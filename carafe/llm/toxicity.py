@@ -8,7 +8,8 @@ that best tell the classes apart in them. The model is a fixed size whatever the
 numpy over Arrow batches, without a shuffle.
 
 Defined results: null and empty texts get the score of the bias. Of several labels of one document the highest counts; null labels and
-ids aren't used. Without both classes among the labels the model is its bias. Repeated rows are scored each. A null id is left
+ids aren't used. Without both classes among the labels the model is its bias,
+and without any labels no document is toxic. Repeated rows are scored each. A null id is left
 out of ``score``; ``keep_clean`` passes it through, scored like others. An empty table gives an empty result. Labels,
 language, source and id are never inputs.
 """
@@ -76,7 +77,7 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, steps: int = 3000,
     """Screens features by their chi-square with the label, then about ``steps`` adaptive gradient steps on the logistic loss."""
     size, rng = 1 << BUCKET_BITS, np.random.default_rng(seed)
     n, positive = len(labels), int(labels.sum())
-    bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
+    bias = float(np.log((positive + 0.5) / (n - positive + 4.5)))  # one in ten if nothing is known
     empty = Machine(bias, np.full(size, -1, np.int32), np.zeros(1), np.zeros((1, FACTORS)))
     if not 0 < positive < n:
         return empty
