@@ -10,7 +10,7 @@ of its distinct hashes once, packed by hash bucket, so a passage in a third of a
 grows with its count; pairs of occurrences are never formed. The numbers of chunks and buckets follow the bytes of text, which are summed
 first: a task holds one chunk (``CHUNK_BYTES`` or the longest text) or the hashes of ``BUCKET_BYTES`` of text at a time.
 
-Block hits use 38 bits and a bucket (a false hit only costs a look); window equality uses 96 bits of two independent hashes.
+Block hits use 30 bits and a bucket (a false hit only costs a look); window equality uses 96 bits of two independent hashes.
 
 Defined results: null and empty texts have no words. Rows with one id count as documents in the order of a hash of their texts, each gets
 its own result. A null id is left out. An empty table gives an empty result. Only the id and the text are read; other columns are
@@ -32,7 +32,7 @@ CHUNK_BYTES = 1 << 18
 BUCKET_BYTES = 1 << 25
 #: Bytes of text in a chunk for each bucket, so that a chunk has some tens of hashes for each.
 CHUNK_BYTES_A_BUCKET = 400
-_KEY_BITS = 38
+_KEY_BITS = 30
 _KEY = np.uint64((1 << _KEY_BITS) - 1)
 _PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -60,13 +60,13 @@ class _Chunk:
         return doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :]
 
 
-def _planes(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """40-bit numbers as a plane of 4-byte and one of 1-byte parts."""
-    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (keys >> np.uint64(32)).astype(np.uint8).tobytes()
+def _packed(keys: np.ndarray) -> bytes:
+    """Numbers below 2**32 in four bytes each."""
+    return keys.astype("<u4").tobytes()
 
 
-def _unplanes(a: bytes, b: bytes) -> np.ndarray:
-    return np.frombuffer(a, "<u4").astype(np.uint64) | np.frombuffer(b, np.uint8).astype(np.uint64) << np.uint64(32)
+def _unpacked(a: bytes) -> np.ndarray:
+    return np.frombuffer(a, "<u4").astype(np.uint64)
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int):
@@ -98,7 +98,7 @@ def _probe(table: pa.Table, block: int, buckets: int) -> pa.Table:
     joint = joint[edge]
     flagged = (joint & _KEY) << np.uint64(2) | some_block.astype(np.uint64) << np.uint64(1) | many.astype(np.uint64)
     at = table.column("chunk")[0].as_py()
-    rows = [(k, at, 0, *_planes(flagged[i]), None, None) for k, i in _by_bucket((joint >> np.uint64(_KEY_BITS)).astype(np.int64), buckets)]
+    rows = [(k, at, 0, _packed(flagged[i]), None, None, None) for k, i in _by_bucket((joint >> np.uint64(_KEY_BITS)).astype(np.int64), buckets)]
     return _table(rows, _PACKED_ARROW)
 
 
@@ -108,7 +108,7 @@ def _code(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(table: pa.Table) -> pa.Table:
     """In one bucket: the hashes with a reference block and another occurrence, given back to each chunk that has them."""
-    cells = [_unplanes(a.as_py(), b.as_py()) for a, b in zip(table.column("a"), table.column("b"))]
+    cells = [_unpacked(a.as_py()) for a in table.column("a")]
     flagged = np.concatenate(cells)
     keys = flagged >> np.uint64(2)
     order = np.argsort(keys, kind="stable")
@@ -123,7 +123,7 @@ def _meet(table: pa.Table) -> pa.Table:
         mine = keys[at : at + len(cell)][hits[at : at + len(cell)]]
         at += len(cell)
         if len(mine):
-            rows.append((bucket, chunk, 0, *_planes(mine), None, None))
+            rows.append((bucket, chunk, 0, _packed(mine), None, None, None))
     return _table(rows, _PACKED_ARROW)
 
 
@@ -133,7 +133,7 @@ def _extend(table: pa.Table, hits: pa.Table, block: int, window: int, buckets: i
         return _table([], _PACKED_ARROW)
     chunk = _Chunk(table)
     bucket, key = _code(gram_hashes(chunk.words, block), buckets)
-    known = np.sort(np.concatenate([np.uint64(k) << np.uint64(_KEY_BITS) | _unplanes(a.as_py(), b.as_py()) for k, a, b in zip(hits.column("bucket").to_pylist(), hits.column("a"), hits.column("b"))]))
+    known = np.sort(np.concatenate([np.uint64(k) << np.uint64(_KEY_BITS) | _unpacked(a.as_py()) for k, a in zip(hits.column("bucket").to_pylist(), hits.column("a"))]))
     mine = bucket << np.uint64(_KEY_BITS) | key
     place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
     hit = np.flatnonzero((known[place] == mine) & chunk.inside(block))
