@@ -129,7 +129,7 @@ class Index:
     offset: np.ndarray
     bits: np.ndarray  # walks x entries
     known: np.ndarray  # walks x entries: mask of bits written inside the item
-    samples: list[tuple[np.uint64, np.ndarray, np.ndarray]]  # mask, sorted keys, entries
+    samples: list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]]  # mask, hashes of keys that occur, sorted keys, entries
     blocks: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # words a block, leading bits that occur, sorted keys, entries
     short: np.ndarray  # words of each short item, filled up with zeros (a row of zeros for other items)
     similarity: float
@@ -216,7 +216,7 @@ def build_index(items: list[tuple[int, str | None]], similarity: float = 0.8) ->
     long = np.flatnonzero((known >> U(SAMPLED_STEPS - 1) & U(1) > 0).all(axis=0))
     for mask, some in [(_SHORT, np.arange(len(keys))), *((m, long) for m in _MASKS[: samples_needed(similarity) if len(keys) else 0])] if len(keys) else []:
         order = some[np.argsort(keys[some] & mask, kind="stable")]
-        samples.append((mask, keys[order] & mask, order))
+        samples.append((mask, _occurring(keys[order] & mask), keys[order] & mask, order))
     blocks, entry = [], len(keys)  # the entries of blocks follow those of walks
     for size, found in sorted(by_size.items()):
         found.sort()
@@ -235,6 +235,19 @@ def build_index(items: list[tuple[int, str | None]], similarity: float = 0.8) ->
     return Index(ids, flat, ends, np.concatenate(item), np.concatenate(offset), bits, known, samples, blocks, short, similarity)
 
 
+def _leading(keys: np.ndarray) -> np.ndarray:
+    """A short hash of each key."""
+    with np.errstate(over="ignore"):
+        return (keys * _ORDER) >> U(64 - LEADING_BITS)
+
+
+def _occurring(keys: np.ndarray) -> np.ndarray:
+    """Which short hashes occur; most keys of documents are told apart by this one look."""
+    occurs = np.zeros(1 << LEADING_BITS, bool)
+    occurs[_leading(keys)] = True
+    return occurs
+
+
 def block_candidates(words: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (place of a block, index entry) around which enough of the item's words lie near their places."""
     lengths = np.diff(index.ends)
@@ -282,13 +295,13 @@ def walk_candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.nda
         return places[0], entries[0]
     bits, _ = embed(words, starts)
     keys = sampled(bits)
-    for mask, sorted_keys, order in index.samples:
+    for mask, occurs, sorted_keys, order in index.samples:
         mine = keys & mask
-        low, high = np.searchsorted(sorted_keys, mine), np.searchsorted(sorted_keys, mine, side="right")
+        some = np.flatnonzero(occurs[_leading(mine)])
+        low, high = np.searchsorted(sorted_keys, mine[some]), np.searchsorted(sorted_keys, mine[some], side="right")
         n = high - low
-        some = np.flatnonzero(n)
-        s = np.repeat(some, n[some])
-        e = order[np.repeat(low[some] - np.cumsum(n[some]) + n[some], n[some]) + np.arange(len(s))]
+        s = np.repeat(some, n)
+        e = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(s))]
         differ = sum(np.bitwise_count((bits[w][s] ^ index.bits[w][e]) & index.known[w][e]).astype(np.int64) for w in range(WALKS))
         total = sum(np.bitwise_count(index.known[w][e]).astype(np.int64) for w in range(WALKS))
         near = differ <= MAX_DIFFER * total

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import durable, one_row_per_document
+from .runtime import one_row_per_document, written
 
 #: Characters with which both libraries split texts alike for certain: printable ASCII, newline, Latin letters; and no special token.
 _OTHER = re.compile(r"[^ -~\n\u00c0-\u024f]|<\|")
@@ -54,6 +54,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        #: the shortest numbers that hold all ids
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         if ranks:
             import tiktoken
             from public_tokenizers import PATTERN
@@ -82,9 +84,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, cap
                 first = (n - 1) % capacity + 1
                 for piece, (a, b) in enumerate([(0, first)] + [(s, s + capacity) for s in range(first, n, capacity)]):
                     cut = ids[4 * a : 4 * b]
-                    rows.append((doc_id, piece, a, b - a, zlib.crc32(cut), part, seen[b - a], *([np.frombuffer(cut, "<i4")] if with_ids else [])))
+                    rows.append((doc_id, piece, a, b - a, zlib.crc32(cut), part, seen[b - a], *([np.frombuffer(cut, "<u4").astype(encode.kind).tobytes()] if with_ids else [])))
                     seen[b - a] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if with_ids else [])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -168,8 +170,19 @@ def _place(batches: Iterator[pa.RecordBatch], table: dict) -> Iterator[pa.Record
             ranks, numbers, offsets = table[x]
             at = np.searchsorted(ranks, rank[rows], side="right") - 1
             sequence[rows], offset[rows] = numbers[at] + rank[rows] - ranks[at], offsets[at]
-        keep = [n for n in batch.schema.names if n != "rank"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
+        columns = {n: batch.column(n) for n in batch.schema.names if n != "rank"}
+        if "ids" in columns:
+            columns["ids"] = _unpacked(columns["ids"], length)
+        yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+
+
+def _unpacked(packed: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """Lists of ids from their bytes; how many bytes an id has follows from the lengths."""
+    rows = packed.to_pylist()
+    if not rows:
+        return pa.array([], pa.list_(pa.int32()))
+    flat = np.frombuffer(b"".join(rows), f"<u{len(rows[0]) // int(lengths[0])}")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -177,17 +190,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     path = tokenizer or tokenizer_path()
     ranks = ranks or (None if tokenizer else tokenizer_path("byte_bpe_50k.tiktoken"))
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = ", ids array<int>" if with_ids else ""
+    ids = ", ids binary" if with_ids else ""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
-    pieces = durable(picked.mapInArrow(lambda it: _pieces(it, path, ranks, capacity, end_id, with_ids), schema + ids))
+    pieces = written(picked.mapInArrow(lambda it: _pieces(it, path, ranks, capacity, end_id, with_ids), schema + ids))
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(intervals(plan(counts, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(starts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    # written, so that Spark knows its size: broadcast while it is small, else pieces are shuffled to it
+    ranked = pieces.join(written(starts), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if with_ids else [])]
-    placed = "doc_id long, piece int, start long, length long, ids_crc32 long" + ids + ", sequence_id long, offset long"
+    placed = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
     return ranked.select(*columns).mapInArrow(lambda it: _place(it, table.value), placed)
 
 
