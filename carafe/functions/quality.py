@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import COLOURS, REGIONS, VARIETALS
 from .prices import YEAR
-from .text import QUOTES, alpha_tokens, first_hint, let, quality_text, to_fixed
+from .text import QUOTES, first_hint, let, quality_text, to_fixed
 
 ACCEPTED = 0.55
 
@@ -16,29 +16,55 @@ def unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(0.99), to_fixed(x)))
 
 
+def _base(plain: Column) -> Column:
+    """What a text's words are worth; ``plain`` is its ``quality_text``. Words are counted in the string, by patterns for a whole word."""
+    low = lambda p: F.lower(p)
+    begin, end = r"(?<!\S)", r"(?!\S)"
+
+    def of(q: Column) -> Column:
+        count = lambda pattern: F.regexp_count(q, F.lit(pattern))
+        lettered = r"[^a-z\s]*+[a-z]\S*+"
+        return F.struct(
+            count(begin + lettered).alias("n"), count(begin + r"(?=\S{3})" + lettered).alias("strong"), q.rlike(begin + r"(?=\S{5})" + lettered).alias("long"), count(begin + r"[^aeiouy\s]*+[aeiouy]\S*+").alias("vowels"),
+            count(begin + r"(?=\S{1,2}(?!\S))" + lettered).alias("short"), count(begin + r"([a-z])\1+" + end).alias("same"), q.rlike(begin + r"(?=\S{1,3}(?!\S))(?=\S*[a-z])[^aeiouy\s]++" + end).alias("bare"),
+            count("[a-z]").alias("letters"), F.length(F.replace(q, F.lit(" "), F.lit(""))).alias("size"),
+        )
+
+    def summed(x: Column) -> Column:
+        score = x["letters"] / F.greatest(F.lit(1), x["size"]) * 0.35 + F.when(x["strong"] >= 2, 0.25).when(x["strong"] == 1, 0.12).otherwise(0.0)
+        score = score + F.when(x["long"], 0.08).otherwise(0.0) + F.when(x["vowels"] >= F.least(F.lit(2), x["n"]), 0.12).otherwise(0.0)
+        score = score - F.least(F.lit(0.14), F.try_divide(x["short"], x["n"]) * 0.14) - F.least(F.lit(0.14), F.try_divide(x["same"], x["n"]) * 0.14)
+        return F.when(x["n"] > 0, score - F.when(x["bare"] & (x["vowels"] == 0), 0.18).otherwise(0.0))
+    return let(let(low(plain), of), summed)
+
+
+def _marks(text: Column) -> Column:
+    return F.when(text.rlike(f"[{QUOTES}]"), 0.08).otherwise(0.0) + F.when(text.rlike(",| - |:"), 0.05).otherwise(0.0)
+
+
+def _of_base(base: Column, text: Column) -> Column:
+    return F.when(base.isNotNull(), unit(base + _marks(text))).otherwise(F.lit(0.0))
+
+
+def _notes(base: Column, low: Column) -> Column:
+    add = lambda test, x: F.when(test, x).otherwise(0.0)
+    score = _of_base(base, low) * 0.8 + add(low.contains(","), 0.05) + add(first_hint(low, VARIETALS).isNotNull(), 0.08) + add(first_hint(low, REGIONS).isNotNull(), 0.08)
+    score = score + add(first_hint(low, COLOURS).isNotNull(), 0.05) + add(low.rlike(YEAR), 0.04)
+    return F.when(low != "", unit(score)).otherwise(F.lit(0.0))
+
+
 def text_quality(text: Column) -> Column:
-    def of(tokens: Column) -> Column:
-        share = lambda test: F.size(F.filter(tokens, test))
-        n, strong, vowels = F.size(tokens), share(lambda t: F.length(t) >= 3), share(lambda t: t.rlike("[aeiouy]"))
-        score = let(quality_text(text), lambda plain: F.length(F.regexp_replace(plain, "[^A-Za-z]", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(plain, r"\s+", "")))) * 0.35
-        score = score + F.when(strong >= 2, 0.25).when(strong == 1, 0.12).otherwise(0.0)
-        score = score + F.when(share(lambda t: F.length(t) >= 5) > 0, 0.08).otherwise(0.0)
-        score = score + F.when(vowels >= F.least(F.lit(2), n), 0.12).otherwise(0.0)
-        score = score + F.when(text.rlike(f"[{QUOTES}]"), 0.08).otherwise(0.0) + F.when(text.rlike(",| - |:"), 0.05).otherwise(0.0)
-        score = score - F.least(F.lit(0.14), share(lambda t: F.length(t) <= 2) / n * 0.14)
-        score = score - F.least(F.lit(0.14), share(lambda t: t.rlike(r"^(.)\1+$")) / n * 0.14)
-        score = score - F.when((share(lambda t: ~t.rlike("[aeiouy]") & (F.length(t) <= 3)) > 0) & (vowels == 0), 0.18).otherwise(0.0)
-        return F.when(n > 0, unit(score)).otherwise(F.lit(0.0))
-    return let(alpha_tokens(text), of)
+    return _of_base(_base(quality_text(text)), F.coalesce(text, F.lit("")))
 
 
 def notes_quality(text: Column) -> Column:
-    add = lambda test, x: F.when(test, x).otherwise(0.0)
-    def of(low: Column) -> Column:
-        score = text_quality(low) * 0.8 + add(low.contains(","), 0.05) + add(first_hint(low, VARIETALS).isNotNull(), 0.08) + add(first_hint(low, REGIONS).isNotNull(), 0.08)
-        score = score + add(first_hint(low, COLOURS).isNotNull(), 0.05) + add(low.rlike(YEAR), 0.04)
-        return F.when(low != "", unit(score)).otherwise(F.lit(0.0))
-    return let(F.lower(quality_text(text)), of)
+    return qualities(text)["notes_quality"]
+
+
+def qualities(text: Column) -> Column:
+    """struct(quality, notes_quality) of a text, which is folded and counted once for both."""
+    scored = lambda x: F.struct(_of_base(x["base"], F.coalesce(text, F.lit(""))).alias("quality"), _notes(x["base"], F.lower(x["plain"])).alias("notes_quality"))
+    return let(let(quality_text(text), lambda q: F.struct(q.alias("plain"), _base(q).alias("base"))), scored)
 
 
 def confidence(title_q: Column, label_q: Column, region_q: Column, notes_q: Column, price: Column, varietal: Column, color: Column, year: Column) -> Column:

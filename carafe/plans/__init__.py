@@ -1 +1,6 @@
-"""Whole analyses, and the registered queries."""
+"""The analysis API and the registered queries."""
+
+from . import lines  # noqa: F401
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prices, quality, taste, text, tokens
+from ..functions import prices, taste, text, tokens
 from ..operators import html, jobs, keyed, layout, menu, ranking
 from ..operators.ranking import recommended_order, top_in_each
 
@@ -270,12 +270,6 @@ def sibling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(many, ["p_brand", "p_type"]).select("p_partkey", F.when(F.col("many"), F.least(score, F.lit(0.58))).otherwise(score).alias("identity"))
 
 
-@query("text_quality")
-def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of whole texts; tests hold it against a plain version."""
-    return table(spark, sf_dir, "documents").select("doc_id", quality.text_quality(F.col("text")).alias("quality"), quality.notes_quality(F.col("text")).alias("notes_quality"))
-
-
 @query("folded_names", "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(strip_accents(c_name)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded FROM customer")
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.normal_field(F.col("c_name")).alias("folded"))

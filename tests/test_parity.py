@@ -1,7 +1,7 @@
 import pytest
 from parity import spark_rows, sql_rows
 
-from carafe.plans.queries import QUERIES, SQL
+from carafe.plans import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
