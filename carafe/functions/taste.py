@@ -14,7 +14,8 @@ DEFAULT_WEIGHTS = {"body": 0.1, "acidity": 0.4, "tannin": 0.1, "sweetness": 0.4}
 
 
 def clamped(x: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(5), rounded(x))).cast("int")
+    """From 1 to 5; null for null, which the least and greatest of a list would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), rounded(x)))).cast("int")
 
 
 def rescaled(x: Column) -> Column:

@@ -78,3 +78,27 @@ def backoff_ms(n: Column, base: int = 2_000) -> Column:
 
 def retry_delay_s(n: Column) -> Column:
     return 5 + F.least(F.lit(20), 5 * n)
+
+
+def pool_slot(seq: Column, size: int) -> Column:
+    """Workers of a pool in turn."""
+    return F.pmod(seq, F.lit(size))
+
+
+def worker_count(n_items: Column, most: int = 10) -> Column:
+    return F.least(n_items, F.lit(most))
+
+
+def hands_off(n_refusals: Column, most: int = 2) -> Column:
+    """Whether a refused job is handed on once more."""
+    return n_refusals < most
+
+
+def work_items(jobs: DataFrame, job: str, items: str) -> DataFrame:
+    """One queued row per item of each job, in order: job, item, place, status, attempts."""
+    return jobs.select(job, F.posexplode(items).alias("place", "item")).withColumns({"status": F.lit("queued"), "attempts": F.lit(0)})
+
+
+def swapped_if(current: Column, expected: Column, new: Column) -> Column:
+    """The new value if the current one is the expected; unset values are equal."""
+    return F.when(current.eqNullSafe(expected), new).otherwise(current)

@@ -83,3 +83,8 @@ def remembered(df: DataFrame, memory: DataFrame, key: str, value: str, fresh: Co
 
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
+
+
+def with_results(candidates: DataFrame, results: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Candidates that have a result, in their own order."""
+    return candidates.join(results, keys).orderBy(order)
