@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import identity_text, let, word
-
-# Words by what they tell.
-STOP = "a al and da dal dalla das de dei del della der des di do dos du e el en et il la las le les lo los of the und vom von y zu by from with cuvee vino vin vinho wein".split()
-PRODUCER_KINDS = "azienda agricola bodega bodegas cantina cantine castello cave caves cellar cellars chateau company domaine domaines estate estates famiglia famille family fattoria maison podere quinta tenuta tenute vigneti vignobles vina vinedos vineyard vineyards weingut winery wines wine co sons fils freres herederos casa clos and".split()
-CLASSES = "aoc aop ava doc docg doca dop igp igt vdp qualitatswein pradikatswein brut extra nature zero dosage sec demi dry trocken feinherb halbtrocken dolce reserve reserva riserva gran grand grande cru premier 1er classico superiore crianza joven roble selection selezione vieilles vignes old vine vines red white rose rosado rosato rosso bianco blanc blanco blanca rouge tinto tinta branco orange sparkling spumante cremant cava frizzante sweet dessert blend estate single vineyard lieu dit nv mv blancs noirs millesime vintage".split()
-ROSE = "rose rosado rosato rosat".split()
-GIVEN_NAMES = "jean marc pierre paul louis jacques michel philippe francois claude henri andre bernard alain daniel patrick christophe olivier nicolas marie anne luc yves rene joseph georges charles maurice lucien jo jm jl jp giuseppe giovanni francesco antonio luigi mario paolo jose juan john james david peter michael robert".split()
-PLACES = "france italy italia spain espana portugal germany deutschland austria osterreich usa us california ca oregon washington new zealand nz australia sa vic nsw wa argentina chile south africa greece hungary mexico uruguay lebanon england uk valley county coast hills mountains mountain region napa sonoma carneros willamette paso robles santa barbara cruz lucia monterey mendocino lodi edna russian river dundee columbia texas barossa eden mclaren vale clare adelaide yarra margaret hunter heathcote marlborough hawkes otago central mendoza uco colchagua maipo casablanca toscana tuscany piedmont piemonte veneto sicilia sicily puglia campania umbria lombardia friuli langhe alto adige bordeaux burgundy bourgogne rhone loire alsace champagne provence languedoc roussillon beaujolais rioja ribera duero priorat rias baixas jerez douro mosel rheingau pfalz wachau kamptal burgenland stellenbosch swartland zone northern southern cote cotes or nuits beaune".split()
-GRAPES = "cabernet sauvignon merlot pinot noir gris grigio blanc chardonnay syrah shiraz grenache garnacha tempranillo sangiovese nebbiolo barbera dolcetto malbec zinfandel primitivo riesling gewurztraminer viognier chenin semillon muscat moscato malvasia vermentino verdejo albarino godello gruner veltliner carmenere mourvedre monastrell petite sirah franc gamay aglianico nero avola montepulciano corvina trebbiano fiano greco falanghina refosco teroldego lagrein glera touriga nacional carignan cinsault marsanne roussanne torrontes tannat pinotage furmint assyrtiko xinomavro palomino pedro ximenez mencia bobal graciano macabeo xarello arneis cortese rebula ribolla loureira viura tibouren rolle nerello mascalese friulano sagrantino cannonau".split()
-GRAPE_PARTS = "blanc noir gris grigio franc petite sirah nero avola nacional pedro ximenez sauvignon veltliner".split()
-TASTING = "cherry cherries plum plums compote chocolate vanilla bean pineapple lemon verbena silky curd nutmeg rich lime peel almond flinty cassis currant currants toast tart mint sour dried herb herbs toasty spice spicy balsamic ripe fruit fruits crushed rind tar walnut shell apricot kiwi herbaceous milk berry berries blackberry raspberry strawberry citrus grapefruit peach pear apple honey floral violet leather tobacco earthy mineral minerality oak oaky smoky pepper jammy crisp bright fresh juicy bold smooth elegant velvety licorice cedar mocha coffee cocoa caramel butter buttery creamy zesty tropical melon saline notes hints aromas palate finish tannins acidity structured lush savory savoury zest blossom brioche baked stone fig figs olive graphite clove cinnamon ginger jasmine".split()
-NOISE = "ml cl l magnum half bottle glass btl gls carafe price".split()
+from .text import fold_accents, identity_text, let, word
+
+# Words by what they tell, other spellings, and how grapes are written.
+STOP = ["a", "al", "and", "da", "dal", "dalla", "das", "de", "dei", "del", "della", "der", "des", "di", "do", "dos", "du", "e", "el", "en", "et", "il", "la", "las", "le", "les", "lo", "los", "of", "the", "und", "vom", "von", "y", "zu", "by", "from", "with", "cuvee", "vino", "vin", "vinho", "wein"]
+PRODUCER_KINDS = ["azienda", "agricola", "bodega", "bodegas", "cantina", "cantine", "castello", "cave", "caves", "cellar", "cellars", "chateau", "company", "domaine", "domaines", "estate", "estates", "famiglia", "famille", "family", "fattoria", "maison", "podere", "quinta", "tenuta", "tenute", "vigneti", "vignobles", "vina", "vinedos", "vineyard", "vineyards", "weingut", "winery", "wines", "wine", "co", "sons", "fils", "freres", "herederos", "casa", "clos", "and"]
+CLASSES = ["aoc", "aop", "ava", "doc", "docg", "doca", "dop", "igp", "igt", "vdp", "qualitatswein", "pradikatswein", "brut", "extra", "nature", "zero", "dosage", "sec", "demi", "dry", "trocken", "feinherb", "halbtrocken", "dolce", "reserve", "reserva", "riserva", "gran", "grand", "grande", "cru", "premier", "1er", "classico", "superiore", "crianza", "joven", "roble", "selection", "selezione", "vieilles", "vignes", "old", "vine", "vines", "red", "white", "rose", "rosado", "rosato", "rosso", "bianco", "blanc", "blanco", "blanca", "rouge", "tinto", "tinta", "branco", "orange", "sparkling", "spumante", "cremant", "cava", "frizzante", "sweet", "dessert", "blend", "estate", "single", "vineyard", "lieu", "dit", "nv", "mv", "blancs", "noirs", "millesime", "vintage"]
+ROSE = ["rose", "rosado", "rosato", "rosat"]
+GIVEN_NAMES = ["jean", "marc", "pierre", "paul", "louis", "jacques", "michel", "philippe", "francois", "claude", "henri", "andre", "bernard", "alain", "daniel", "patrick", "christophe", "olivier", "nicolas", "marie", "anne", "luc", "yves", "rene", "joseph", "georges", "charles", "maurice", "lucien", "jo", "jm", "jl", "jp", "giuseppe", "giovanni", "francesco", "antonio", "luigi", "mario", "paolo", "jose", "juan", "john", "james", "david", "peter", "michael", "robert"]
+PLACES = ["france", "italy", "italia", "spain", "espana", "portugal", "germany", "deutschland", "austria", "osterreich", "usa", "us", "california", "ca", "oregon", "washington", "new", "zealand", "nz", "australia", "sa", "vic", "nsw", "wa", "argentina", "chile", "south", "africa", "greece", "hungary", "mexico", "uruguay", "lebanon", "england", "uk", "valley", "county", "coast", "hills", "mountains", "mountain", "region", "napa", "sonoma", "carneros", "willamette", "paso", "robles", "santa", "barbara", "cruz", "lucia", "monterey", "mendocino", "lodi", "edna", "russian", "river", "dundee", "columbia", "texas", "barossa", "eden", "mclaren", "vale", "clare", "adelaide", "yarra", "margaret", "hunter", "heathcote", "marlborough", "hawkes", "otago", "central", "mendoza", "uco", "colchagua", "maipo", "casablanca", "toscana", "tuscany", "piedmont", "piemonte", "veneto", "sicilia", "sicily", "puglia", "campania", "umbria", "lombardia", "friuli", "langhe", "alto", "adige", "bordeaux", "burgundy", "bourgogne", "rhone", "loire", "alsace", "champagne", "provence", "languedoc", "roussillon", "beaujolais", "rioja", "ribera", "duero", "priorat", "rias", "baixas", "jerez", "douro", "mosel", "rheingau", "pfalz", "wachau", "kamptal", "burgenland", "stellenbosch", "swartland", "zone", "northern", "southern", "cote", "cotes", "or", "nuits", "beaune"]
+GRAPES = ["cabernet", "sauvignon", "merlot", "pinot", "noir", "gris", "grigio", "blanc", "chardonnay", "syrah", "shiraz", "grenache", "garnacha", "tempranillo", "sangiovese", "nebbiolo", "barbera", "dolcetto", "malbec", "zinfandel", "primitivo", "riesling", "gewurztraminer", "viognier", "chenin", "semillon", "muscat", "moscato", "malvasia", "vermentino", "verdejo", "albarino", "godello", "gruner", "veltliner", "carmenere", "mourvedre", "monastrell", "petite", "sirah", "franc", "gamay", "aglianico", "nero", "avola", "montepulciano", "corvina", "trebbiano", "fiano", "greco", "falanghina", "refosco", "teroldego", "lagrein", "glera", "touriga", "nacional", "carignan", "cinsault", "marsanne", "roussanne", "torrontes", "tannat", "pinotage", "furmint", "assyrtiko", "xinomavro", "palomino", "pedro", "ximenez", "mencia", "bobal", "graciano", "macabeo", "xarello", "arneis", "cortese", "rebula", "ribolla", "loureira", "viura", "tibouren", "rolle", "nerello", "mascalese", "friulano", "sagrantino", "cannonau"]
+GRAPE_PARTS = ["blanc", "noir", "gris", "grigio", "franc", "petite", "sirah", "nero", "avola", "nacional", "pedro", "ximenez", "sauvignon", "veltliner"]
+TASTING = ["cherry", "cherries", "plum", "plums", "compote", "chocolate", "vanilla", "bean", "pineapple", "lemon", "verbena", "silky", "curd", "nutmeg", "rich", "lime", "peel", "almond", "flinty", "cassis", "currant", "currants", "toast", "tart", "mint", "sour", "dried", "herb", "herbs", "toasty", "spice", "spicy", "balsamic", "ripe", "fruit", "fruits", "crushed", "rind", "tar", "walnut", "shell", "apricot", "kiwi", "herbaceous", "milk", "berry", "berries", "blackberry", "raspberry", "strawberry", "citrus", "grapefruit", "peach", "pear", "apple", "honey", "floral", "violet", "leather", "tobacco", "earthy", "mineral", "minerality", "oak", "oaky", "smoky", "pepper", "jammy", "crisp", "bright", "fresh", "juicy", "bold", "smooth", "elegant", "velvety", "licorice", "cedar", "mocha", "coffee", "cocoa", "caramel", "butter", "buttery", "creamy", "zesty", "tropical", "melon", "saline", "notes", "hints", "aromas", "palate", "finish", "tannins", "acidity", "structured", "lush", "savory", "savoury", "zest", "blossom", "brioche", "baked", "stone", "fig", "figs", "olive", "graphite", "clove", "cinnamon", "ginger", "jasmine"]
+NOISE = ["ml", "cl", "l", "magnum", "half", "bottle", "glass", "btl", "gls", "carafe", "price"]
 SYNONYMS = {"shiraz": "syrah", "garnacha": "grenache", "cannonau": "grenache", "grigio": "gris", "monastrell": "mourvedre", "mataro": "mourvedre", "primitivo": "zinfandel", "tribidrag": "zinfandel", "spatburgunder": "pinot", "blauburgunder": "pinot"}
 GRAPE_PATTERNS = {"chardonnay": "chardonnay", "riesling": "riesling", "syrah": "syrah|shiraz", "pinot-gris": r"pinot\s+(?:gris|grigio)", "pinot-noir": r"pinot\s+noir", "pinot-blanc": r"pinot\s+blanc", "cabernet-sauvignon": r"cab(?:ernet)?\s+sauv(?:ignon)?", "cabernet-franc": r"cab(?:ernet)?\s+franc", "sauvignon-blanc": r"sauvignon\s+blanc", "chenin-blanc": r"chenin\s+blanc", "merlot": "merlot", "grenache": "grenache|garnacha", "mourvedre": "mourvedre|monastrell", "viognier": "viognier", "malbec": "malbec", "sangiovese": "sangiovese", "tempranillo": "tempranillo", "zinfandel": "zinfandel|primitivo"}
 _QUOTED = "[‘“«„]\\s*([^’”»“]{2,48}?)\\s*[’”»“]|\"([^\"]{2,48})\"|(?:^|[\\s,(])'([^']{2,48})'(?=[\\s,).]|$)"
@@ -127,12 +127,73 @@ def grapes(text: Column) -> Column:
     return let(low, lambda t: F.filter(F.array(*[F.when(t.rlike(word(p)), F.lit(n)) for n, p in GRAPE_PATTERNS.items()]), lambda g: g.isNotNull()))
 
 
-def grapes_conflict(row_text: Column, hit_name: Column) -> Column:
-    """The hit names a grape that the row, which names some, doesn't."""
-    pair = F.struct(grapes(row_text).alias("row"), grapes(hit_name).alias("hit"))
-    return let(pair, lambda x: (F.size(x["row"]) > 0) & (F.size(F.array_except(x["hit"], x["row"])) > 0))
+_ANY_GRAPE = "(?:" + "|".join(GRAPE_PATTERNS.values()) + ")"
+# Words of a grape or a blend that leave open which one.
+_OPEN_GRAPE = word("cabernet|cab|sauvignon|sauv|pinot|blends?")
+
+
+def _beside_grapes(plain: Column, also: str) -> Column:
+    """What a folded text says besides grapes, conjunctions and shares."""
+    rest = F.regexp_replace(F.regexp_replace(plain, word(_ANY_GRAPE), " "), word("and|with"), "")
+    return F.regexp_replace(F.regexp_replace(rest, r"\d+(?:\.\d+)?%?", ""), also, "")
+
+
+def _has_open_list(plain: Column) -> Column:
+    """A list of grapes, between slashes, plus signs or ampersands, of which not all are known."""
+    def part_is(part: Column) -> Column:
+        touches = part.rlike(word(_ANY_GRAPE) + r"\s*[/+&]") | part.rlike(r"[/+&]\s*" + word(_ANY_GRAPE))
+        listed = F.regexp_extract(part, rf"((?:{word(_ANY_GRAPE)}|(?<![a-z])[a-z]+\s*[/+&]).*)$", 1)
+        return touches & (_beside_grapes(listed, "[^a-z]") != "")
+    return F.exists(F.split(plain, "[,|]"), part_is)
+
+
+def compare_grapes(label: Column, varietal: Column, producer: Column, raw: Column, hit_name: Column) -> Column:
+    """compatible, conflict (the hit has a grape the row doesn't name), unconstrained (the row names none) or unknown (lists that aren't whole)."""
+    fold = lambda t: F.lower(fold_accents(F.coalesce(t, F.lit(""))))
+    parts = F.concat(F.array(F.coalesce(producer, F.lit(""))), F.split(F.coalesce(raw, F.lit("")), "[,|]"))
+    pure = F.filter(parts, lambda t: _beside_grapes(fold(t), r"[\s/+&()\[\]-]") == "")  # a part that only lists grapes counts, wherever it stands
+    told = F.array_union(grapes(F.concat_ws(" ", label, varietal)), F.array_distinct(F.flatten(F.transform(pure, grapes))))
+
+    def of(x: Column) -> Column:
+        unknown = _beside_grapes(x["text"], "$^").rlike(_OPEN_GRAPE) | _has_open_list(x["text"])
+        return F.when(unknown, "unknown").when(F.size(x["row"]) == 0, "unconstrained").when(F.size(x["hit"]) == 0, "unknown").when(F.size(F.array_except(x["hit"], x["row"])) > 0, "conflict").otherwise("compatible")
+    return let(F.struct(told.alias("row"), grapes(hit_name).alias("hit"), fold(F.when(F.coalesce(raw, F.lit("")) != "", raw).otherwise(label)).alias("text")), of)
+
+
+def specificity(row_text: Column, winery: Column, name: Column) -> Column:
+    """A small bonus of a hit: 0.025 if the row names its cuvée, less 0.002 (0.01 at most) for each word that the row lacks."""
+    base = F.struct(identity_words(row_text).alias("row"), identity_words(winery).alias("winery"), identity_words(name).alias("name"))
+
+    def of(x: Column) -> Column:
+        names = F.array_distinct(F.filter(x["name"], lambda t: ~F.array_contains(x["winery"], t)))
+        own = F.filter(x["row"], lambda t: (weight(t, "candidate") == 1) & ~t.isin(GRAPES) & ~has_word(x["winery"], t))
+        named = F.exists(own, lambda t: has_word(names, t))
+        extra = F.size(F.filter(names, lambda t: ~has_word(x["row"], t)))
+        return F.when(named, 0.025).otherwise(0.0) - F.least(F.lit(0.01), extra * 0.002)
+    return let(base, of)
 
 
 def search_words(text: Column) -> Column:
     """Words worth looking up: names, no places, classes or kinds of producer."""
     return F.array_distinct(F.filter(identity_words(text, False), lambda t: ~t.isin([*PLACES, *CLASSES, *PRODUCER_KINDS, *GRAPES, "years"])))
+
+
+def search_plan(row: dict[str, Column]) -> Column:
+    """Up to three lists of words to look a row (raw_text, producer, label, region) up by, the most specific first."""
+    worth = lambda t: F.filter(identity_words(t, False), lambda w: ~w.isin([*PLACES, *CLASSES, *PRODUCER_KINDS, "years"]))
+    base = F.struct(worth(row["producer"]).alias("producer"), worth(row["label"]).alias("label"), worth(row["raw_text"]).alias("raw"), identity_words(row["region"]).alias("region"), quoted_words(row["raw_text"]).alias("quoted"))
+
+    def named(x: Column) -> Column:
+        outside = lambda a: F.filter(a, lambda w: ~F.array_contains(x["region"], w))
+        spoken = outside(F.concat(x["producer"], x["label"]))
+        said = F.when(F.size(spoken) > 0, spoken).otherwise(outside(x["raw"]))
+        return F.struct(F.array_distinct(said).alias("said"), F.filter(outside(x["producer"]), lambda w: ~w.isin(GRAPES)).alias("producer"), x["quoted"].alias("quoted"))
+
+    def planned(x: Column) -> Column:
+        names, grape = F.filter(x["said"], lambda w: ~w.isin(GRAPES)), F.filter(x["said"], lambda w: w.isin(GRAPES))
+        first = lambda a, n: F.slice(F.array_distinct(a), 1, n)
+        maker = F.slice(F.filter(x["producer"], lambda w: ~F.array_contains(x["quoted"], w)), 1, 2)
+        plans = F.array(first(names, 4), F.when((F.size(x["quoted"]) > 0) & (F.size(maker) > 0), first(F.concat(maker, x["quoted"]), 4)), first(names, 2), F.when((F.size(names) <= 2) & (F.size(grape) > 0), first(F.concat(names, F.slice(grape, 1, 1)), 3)), first(x["producer"], 3))
+        kept = F.slice(F.array_distinct(F.filter(plans, lambda p: p.isNotNull() & (F.size(p) > 0))), 1, 3)
+        return F.when(F.size(names) > 0, kept).otherwise(F.array().cast("array<array<string>>"))
+    return let(let(base, named), planned)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import COLOURS, DESCRIPTORS, GEOGRAPHY, MORE_REGIONS, NOT_AN_ITEM, REGIONS, SERVING, VARIETALS
 from .prices import SHORT_YEAR, YEAR, inline_price, likely_price, menu_price
-from .text import alpha_tokens, corrected, first_hint, let, quality_text, squeeze, without_markers, without_repeats, word, words
+from .text import alpha_tokens, corrected, first_hint, fold_accents, let, quality_text, squeeze, without_markers, without_repeats, word, words
 
 QUOTED = "[‘'“\"][^’'\"”]+[’'\"”]"
 # Fixed value: a style, a mark and a region.
@@ -92,6 +92,36 @@ def continuation(line: Column) -> Column:
     return let(let(let(tidy(line), parts), more), of)
 
 
+# What a place may lie in, and grape words that stand before it.
+_PARENTS = ["france", "italy", "spain", "germany", "austria", "portugal", "greece", "hungary", "slovenia", "croatia", "switzerland", "georgia", "lebanon", "israel", "england", "japan", "australia", "new zealand", "argentina", "chile", "uruguay", "south africa", "canada", "mexico", "usa", "us", "united states", "california", "oregon", "washington", "new york", "virginia"]
+_GRAPE_WORDS = ["chardonnay", "pinot", "noir", "gris", "grigio", "blanc", "sauvignon", "cabernet", "franc", "merlot", "malbec", "syrah", "shiraz", "grenache", "garnacha", "tempranillo", "riesling", "nebbiolo", "sangiovese", "barbera", "dolcetto", "zinfandel", "gamay", "chenin", "viognier", "gewurztraminer", "gruner", "veltliner", "albarino", "carignan", "mourvedre", "cinsault", "trousseau", "poulsard", "savagnin", "aligote", "melon", "muscadet", "rose", "orange"]
+_PLACE_WORD = r"^(?:[A-ZÀ-Ý][\p{L}.'-]*|(?i:de|del|di|du|la|le|des|en|am|an|der))$"
+
+
+def inline_region(text: Column) -> Column:
+    """"place, parent" where a row ends with a place and a known country or state: after a closing quote, or as the last of three fields; else null."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), word(r"(?:19|20)\d{2}"), " ")
+    bare = F.regexp_replace(squeeze(F.regexp_replace(bare, r"\s*/\s*\$?\d+(?:\.\d{2})?\s*$", " ")), r"[,\s]+$", "")
+    after = r"^.*[‘’“”'\"`]\s*([^‘’“”'\"`]*)$"
+
+    def fields(x: Column) -> Column:
+        said = F.filter(F.transform(F.split(F.when(x["quoted"], F.regexp_extract(x["bare"], after, 1)).otherwise(x["bare"]), ","), lambda p: F.trim(p)), lambda p: p != "")
+        return F.struct(said.alias("said"), x["quoted"].alias("quoted"))
+
+    def parted(x: Column) -> Column:
+        plain = lambda w: F.regexp_replace(F.lower(fold_accents(w)), "[^a-z]", "")
+        place = F.array_join(F.filter(words(F.coalesce(F.get(x["said"], F.size(x["said"]) - 2), F.lit(""))), lambda w: ~plain(w).isin(_GRAPE_WORDS)), " ")
+        return F.struct(place.alias("place"), F.get(x["said"], F.size(x["said"]) - 1).alias("parent"), (F.size(x["said"]) >= F.when(x["quoted"], 2).otherwise(3)).alias("enough"))
+
+    def decided(x: Column) -> Column:
+        folded = lambda t: F.lower(fold_accents(t))
+        parent = F.regexp_replace(folded(x["parent"]), r"\.$", "")
+        placed = x["place"].rlike(r"^[^\d‘’“”'\"`]{1,40}$") & F.forall(F.split(x["place"], r"\s+"), lambda w: w.rlike(_PLACE_WORD))
+        return F.when(x["enough"] & parent.isin(_PARENTS) & placed & (folded(x["place"]) != parent), F.concat(x["place"], F.lit(", "), x["parent"]))
+    quoted = lambda b: F.struct(b.alias("bare"), F.regexp_extract(b, after, 1).contains(",").alias("quoted"))
+    return let(let(let(let(bare, quoted), fields), parted), decided)
+
+
 def is_region_only(line: Column) -> Column:
     parts = F.split(F.lower(line), r"\s*,\s*")
     return (F.size(parts) >= 2) & F.forall(parts, lambda p: p.isin(REGIONS + GEOGRAPHY + MORE_REGIONS)) & F.element_at(parts, -1).isin(GEOGRAPHY)

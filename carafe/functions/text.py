@@ -111,7 +111,7 @@ def without_repeats(text: Column) -> Column:
     """One copy of a phrase said twice; else without segments equal to the one before."""
     def of(plain: Column) -> Column:
         twice = F.regexp_extract(plain, r"(?i)^(.+?)(?:\s*[,;/]\s*|\s+)\1$", 1)
-        parts = F.filter(F.transform(F.split(plain, r"\s*,\s*"), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(plain, r"\s*,\s*"), lambda p: F.trim(p)), lambda p: p != "")
         kept = lambda parts: F.array_join(F.filter(parts, lambda p, i: (i == 0) | (F.lower(p) != F.lower(F.get(parts, i - 1)))), ", ")
         return F.when(twice != "", F.trim(twice)).otherwise(let(parts, lambda parts: F.when(F.size(parts) < 2, plain).otherwise(kept(parts))))
     return let(squeeze(F.regexp_replace(text, ">+", " ")), of)

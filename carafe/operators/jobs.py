@@ -6,6 +6,10 @@ order of ``seq``; a claim holds for ``lease_ms`` and then may be taken by anothe
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,21 +39,95 @@ def rollup(work: DataFrame, job: str, status: Column, total: Column) -> DataFram
 def claims(events: DataFrame, job: str, item: str, owner: str, ms: str, seq: str, lease_ms: int = LEASE_MS) -> DataFrame:
     """Claim attempts with ``granted``, ``attempt`` and ``expires``: an item is granted to an owner that holds it, or if its claim has expired.
 
-    Replayed for each item as a fold over its attempts, which are few; items are dealt over the cluster.
+    Attempts are dealt by item and replayed in order; what is held at a time is one item's owner and expiry, however many attempts it has.
+    """
+    rows = events.select(F.col(job).alias("job"), F.col(item).alias("item"), F.col(seq).cast("long").alias("seq"), F.col(ms).cast("long").alias("ms"), F.col(owner).cast("string").alias("owner"))
+    kinds = dict(rows.dtypes)
+    schema = f"job {kinds['job']}, item {kinds['item']}, seq long, ms long, owner string, granted boolean, attempt int, expires long"
+    replayed = rows.repartition("job", "item").sortWithinPartitions("job", "item", "seq").mapInPandas(lambda it: _replay_claims(it, lease_ms), schema)
+    return replayed.withColumnsRenamed({"job": job, "item": item})
+
+
+def _replay_claims(batches: Iterator[pd.DataFrame], lease_ms: int) -> Iterator[pd.DataFrame]:
+    at, held, expires, attempt = None, None, 0, 0
+    for batch in batches:
+        out = []
+        for key, when, who in zip(zip(batch["job"], batch["item"]), batch["ms"].tolist(), batch["owner"]):
+            if key != at:
+                at, held, expires, attempt = key, None, 0, 0
+            granted = held is None or held == who or expires <= when
+            if granted:
+                held, expires, attempt = who, when + lease_ms, attempt + 1
+            out.append((granted, attempt, expires))
+        yield batch.assign(**dict(zip(("granted", "attempt", "expires"), zip(*out))) if out else {"granted": [], "attempt": [], "expires": []})
+
+
+class _Job:
+    """One job's items while its events are replayed: the queue, the claims by item and what is done."""
+
+    def __init__(self, n_items: int):
+        self.queue, self.held = deque(range(n_items)), {}
+        self.n_items, self.done, self.status = n_items, 0, "processing"
+        self.closed: set[int] = set()
+
+    def claim(self, who: str, when: int, lease_ms: int) -> int | None:
+        """The item that ``who`` holds already, else one whose claim has expired, else the head of the queue."""
+        held = sorted((until, item) for item, (_, until) in self.held.items())
+        mine = next((item for _, item in held if self.held[item][0] == who), None)
+        late = held[0][1] if held and held[0][0] <= when else None
+        item = mine if mine is not None else late if late is not None else self.queue.popleft() if self.queue else None
+        if item is not None:
+            self.held[item] = (who, when + lease_ms)
+        return item
+
+    def settle(self, kind: str, who: str, item: int) -> bool:
+        """Complete, requeue or fail an item; only its owner may."""
+        if self.held.get(item, (None, 0))[0] != who:
+            return False
+        del self.held[item]
+        if kind == "requeue":
+            self.queue.append(item)
+        elif kind == "fail":
+            self.status = "failed"
+        else:
+            self.closed.add(item)
+            self.done = min(self.done + 1, self.n_items)
+            self.status = "completed" if self.done >= self.n_items else "processing"
+        return True
+
+
+def transitions(events: DataFrame, job: str = "job", lease_ms: int = LEASE_MS) -> DataFrame:
+    """job, seq, kind, item, updated, done, status after each event.
+
+    ``events`` has the job, n_items, seq, ms, kind (claim, complete, requeue, fail, cancel), owner and item (of a claim: not read). Once a job is completed, failed
+    or canceled nothing changes it. Events are dealt by job and replayed in order; what is held at a time is one job's items.
     """
-    rows = events.groupBy(job, item).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(ms).alias("ms"), F.col(owner).alias("owner")))).alias("_a"))
-    out = "array<struct<seq:bigint,ms:bigint,owner:string,granted:boolean,attempt:int,expires:bigint>>"
-
-    def step(s: Column, x: Column) -> Column:
-        granted = s["owner"].isNull() | (s["owner"] == x["owner"].cast("string")) | (s["expires"] <= x["ms"])
-        expires, attempt = F.when(granted, x["ms"] + lease_ms).otherwise(s["expires"]), s["attempt"] + granted.cast("int")
-        held = F.when(granted, x["owner"].cast("string")).otherwise(s["owner"])
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), x["ms"].cast("bigint").alias("ms"), x["owner"].cast("string").alias("owner"), granted.alias("granted"), attempt.alias("attempt"), expires.alias("expires"))
-        return F.struct(held.alias("owner"), expires.alias("expires"), attempt.alias("attempt"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(None).cast("bigint").alias("expires"), F.lit(0).alias("attempt"), F.array().cast(out).alias("out"))
-    replayed = rows.select(job, item, F.explode_outer(F.aggregate("_a", start, step, lambda s: s["out"])).alias("_r"))
-    return replayed.select(job, item, "_r.*")
+    rows = events.select(F.col(job).alias("job"), F.col("n_items").cast("int").alias("n_items"), F.col("seq").cast("long").alias("seq"), F.col("ms").cast("long").alias("ms"), "kind", "owner", F.coalesce(F.col("item"), F.lit(-1)).cast("int").alias("item"))
+    schema = f"job {dict(rows.dtypes)['job']}, seq long, kind string, item int, updated boolean, done int, status string"
+    return rows.repartition("job").sortWithinPartitions("job", "seq").mapInPandas(lambda it: _replay_jobs(it, lease_ms), schema).withColumnRenamed("job", job)
+
+
+def _replay_jobs(batches: Iterator[pd.DataFrame], lease_ms: int) -> Iterator[pd.DataFrame]:
+    at, state = None, None
+    for batch in batches:
+        out = []
+        for name, n_items, seq, ms, kind, who, item in batch.itertuples(index=False):
+            if state is None or name != at:
+                at, state = name, _Job(int(n_items))
+            updated, taken = False, int(item)
+            if state.status in TERMINAL:
+                taken = None if kind == "claim" else taken
+            elif kind == "claim":
+                taken = state.claim(who, int(ms), lease_ms)
+                updated = taken is not None
+            elif kind == "cancel":
+                state.status, updated = "canceled", True
+            else:
+                updated = state.settle(kind, who, taken)
+            out.append((name, seq, kind, taken if taken is None or taken >= 0 else None, updated, state.done, state.status))
+        frame = pd.DataFrame(out, columns=["job", "seq", "kind", "item", "updated", "done", "status"])
+        frame["item"] = frame["item"].astype("Int32")
+        yield frame
 
 
 def admitted(events: DataFrame, key: str, group: str, order: list[Column], most: int) -> DataFrame:

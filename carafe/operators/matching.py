@@ -1,8 +1,8 @@
 """Menu candidates against a catalogue.
 
-Retrieval is that of a search that needs every word: a catalogue entry is a hit if it has all of a candidate's first search words. Each
-candidate is looked up only under its rarest word (catalogue counts decide), so a common word is never a join key unless
-all words are common, and adaptive execution can split the join where it is. Hits are scored, and the best one stays.
+Retrieval is that of searches that need every word: a catalogue entry is a hit if it has all words of one of a candidate's searches
+(``identity.search_plan``, at most three). Each search is looked up only under its rarest word (catalogue counts decide), so a common word
+is never a join key unless all words are common, and adaptive execution can split the join where it is. Hits are scored, and the best stays.
 
 Defined results: candidates without search words or hits come out with nulls. Ties go to the smallest catalogue id. Empty tables give an
 empty result, or candidates without hits.
@@ -13,24 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import compare_vintages, grapes_conflict, identity_score, search_words
+from ..functions.identity import compare_grapes, compare_vintages, identity_score, identity_words, search_plan, specificity
 from ..functions.style import RED_STYLES, WHITE_STYLES, style_key
 from ..functions.taste import match_scale, status_of
 
-RANKS = {"exact": 3, "unconstrained": 2, "unknown": 1, "conflict": 0}
-
-
-def retrieve(candidates: DataFrame, catalogue: DataFrame, most_words: int = 2) -> DataFrame:
-    """candidate_id, wine_id: entries that have all of the first ``most_words`` search words of the candidate."""
-    words = F.slice(search_words(F.concat_ws(" ", "producer", "label")), 1, most_words)
-    asked = candidates.select("candidate_id", words.alias("_asked")).where(F.size("_asked") > 0)
-    offered = catalogue.select("wine_id", search_words(F.concat_ws(" ", "winery", "name")).alias("_has"))
-    counts = offered.select(F.explode("_has").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    each = asked.select("candidate_id", "_asked", F.explode("_asked").alias("_word")).join(counts, "_word")
-    # a word that the catalogue lacks leaves the candidate without hits
-    rarest = each.groupBy("candidate_id").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.first("_asked").alias("_asked"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == F.size("_asked"))
+def retrieve(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """candidate_id, wine_id: entries that have all words of one of the candidate's searches."""
+    plan = search_plan({f: F.col(f) for f in ("raw_text", "producer", "label")} | {"region": F.col("region") if "region" in candidates.columns else F.lit(None).cast("string")})
+    asked = candidates.select("candidate_id", F.posexplode(plan).alias("_plan", "_asked"))
+    offered = catalogue.select("wine_id", F.array_distinct(identity_words(F.concat_ws(" ", "winery", "name"), False)).alias("_has"))
     posted = offered.select("wine_id", "_has", F.explode("_has").alias("_word"))
-    return rarest.join(posted, "_word").where(F.forall("_asked", lambda w: F.array_contains(F.col("_has"), w))).select("candidate_id", "wine_id")
+    counts = posted.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    each = asked.select("candidate_id", "_plan", "_asked", F.explode("_asked").alias("_word")).join(counts, "_word")
+    # a word that the catalogue lacks leaves the search without hits
+    rarest = each.groupBy("candidate_id", "_plan").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.first("_asked").alias("_asked"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == F.size("_asked"))
+    found = rarest.join(posted, "_word").where(F.size(F.array_except("_asked", "_has")) == 0)
+    return found.select("candidate_id", "wine_id").distinct()
 
 
 def colours_conflict(row_text, hit_name):
@@ -38,26 +36,27 @@ def colours_conflict(row_text, hit_name):
     return F.coalesce(colour(style_key(row_text)) != colour(style_key(hit_name)), F.lit(False))
 
 
-def best_hits(candidates: DataFrame, catalogue: DataFrame, most_words: int = 2) -> DataFrame:
+def best_hits(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row per candidate: candidate_id, wine_id, identity, vintage, match_confidence, status.
 
     ``candidates`` has candidate_id, raw_text, producer, label, menu_section, varietal, vintage; ``catalogue`` wine_id, winery, name, region,
-    year. Contradicting grapes and colours are no hits; an appellation guess among several of a winery's entries is capped, and a match
+    year. Ranked by identity, with small bonuses for the exact vintage and a named cuvée. Contradicting grapes and colours are no hits; an appellation guess among several of a winery's entries is capped, and a match
     without a producer needs that no other producer has the words.
     """
     c, w = candidates.alias("c"), catalogue.alias("w")
-    pairs = retrieve(candidates, catalogue, most_words).alias("p").join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, F.col("p.wine_id") == F.col("w.wine_id"))
+    pairs = retrieve(candidates, catalogue).alias("p").join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, F.col("p.wine_id") == F.col("w.wine_id"))
     row = {f: F.col(f"c.{f}") for f in ("raw_text", "producer", "label", "menu_section", "varietal")}
     hit = {f: F.col(f"w.{f}") for f in ("winery", "name", "region")}
-    pairs = pairs.where(~grapes_conflict(F.concat_ws(" ", "c.label", "c.varietal"), F.col("w.name")) & ~colours_conflict(F.col("c.raw_text"), F.col("w.name")))
+    blended = compare_grapes(F.col("c.label"), F.col("c.varietal"), F.col("c.producer"), F.col("c.raw_text"), F.col("w.name"))
+    pairs = pairs.where((blended != "conflict") & ~colours_conflict(F.col("c.raw_text"), F.col("w.name")))
     vintage = compare_vintages(F.col("c.vintage"), F.concat_ws(" ", "c.label", "c.raw_text"), F.col("w.year"), F.col("w.name"))
-    scored = pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("w.wine_id").alias("wine_id"), F.lower("w.winery").alias("_winery"), vintage.alias("vintage"), identity_score(row, hit).alias("_s"))
+    scored = pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("w.wine_id").alias("wine_id"), F.lower("w.winery").alias("_winery"), vintage.alias("vintage"), identity_score(row, hit).alias("_s"), specificity(F.col("c.raw_text"), F.col("w.winery"), F.col("w.name")).alias("_bonus"))
     around = scored.groupBy("candidate_id", F.col("_winery").alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
     per_candidate = around.groupBy(F.col("candidate_id").alias("_c")).agg(F.count(F.lit(1)).alias("_producers"))
     known = scored.join(around.withColumnRenamed("candidate_id", "_i"), (F.col("candidate_id") == F.col("_i")) & (F.col("_winery") == F.col("_w"))).join(per_candidate, F.col("candidate_id") == F.col("_c"))
     score = F.when(F.col("_s.appellation_guess") & (F.col("_n") > 1), F.least(F.col("_s.score"), F.lit(0.58))).otherwise(F.col("_s.score"))
     known = known.where(~(F.col("_s.without_producer") & (F.col("_producers") > 1))).withColumn("identity", score)
-    order = F.struct(F.col("identity") + F.when(F.col("vintage") == "exact", 0.02).otherwise(0.0), -F.col("wine_id"))
+    order = F.struct(F.col("identity") + F.when(F.col("vintage") == "exact", 0.02).otherwise(0.0) + F.col("_bonus"), -F.col("wine_id"))
     best = known.groupBy("candidate_id").agg(F.max_by(F.struct("wine_id", "identity", "vintage"), order).alias("_b")).select("candidate_id", "_b.*")
     out = candidates.select("candidate_id").join(best, "candidate_id", "left")
     matched = F.when(F.col("identity").isNotNull(), match_scale(F.col("identity"))).otherwise(0.0)

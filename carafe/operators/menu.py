@@ -95,7 +95,7 @@ def candidates_of(cut: DataFrame, as_of_year: int = 2025) -> DataFrame:
     df = cut.withColumn("_title", F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), begin, title_step, lambda s: s["lines"]))
     df = df.withColumn("_notes", F.slice(lines, F.size("_title") + 1, F.greatest(F.size(lines), F.lit(1)))).withColumn("_title", F.trim(F.array_join(F.transform("_title", lambda x: x["line"]), " ")))
     t = F.col("_title")
-    parts = F.filter(F.transform(F.split(t, r"\s*\|\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, r"\s*\|\s*"), lambda p: F.trim(p)), lambda p: p != "")
     df = df.withColumn("_pipes", F.when(t.contains("|") & (F.size(parts) >= 2), parts))
     pipes = F.col("_pipes")
     tail = F.when(F.size(pipes) < 3, F.get(pipes, F.lit(1))).otherwise(F.array_join(F.slice(pipes, 3, F.greatest(F.size(pipes), F.lit(1))), ", "))

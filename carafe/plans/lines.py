@@ -51,6 +51,7 @@ _SHAPES = [
     f"concat({_W}, ' @', {_W}, ' ', {_Y}, 'x')",
     f"concat({_W}, ' Shiraz, ', {_W}, ' garnacha reserva napa 750ml')",
     f"concat({_N}, 'l 2019 wine of the ', p_name)",
+    f"concat('0 ', {_W}, ' 2010, 111 ', p_name, ', 12, 12, 2012')",
 ]
 LINE = f"CASE p_partkey % {len(_SHAPES)} " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SHAPES)) + " END"
 
@@ -203,7 +204,7 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu_lines(spark, sf_dir).select(
         "p_partkey", joined(core).alias("core"), joined(identity.identity_words(x)).alias("identity_words"), joined(F.array_sort(tokens.concepts(x))).alias("concepts"), joined(F.array_sort(tokens.pooled(x, name))).alias("pooled"),
         tokens.recovery(core, core_b, F.array_distinct(tokens.tokens(name))).alias("recovered"), tokens.exact_overlap(core, core_b).alias("exact"), tokens.field_score(x, name).alias("field_score"), joined(identity.grapes(x)).alias("grapes"),
-        identity.grapes_conflict(x, F.concat(name, F.lit(" merlot"))).alias("grape_conflict"), (F.size(identity.search_words(x)) == 0).alias("nothing_to_search"), identity.compare_vintages(year, x, hit_year, name).alias("vintages"),
+        ((F.size(identity.grapes(x)) > 0) & (F.size(F.array_except(identity.grapes(F.concat(name, F.lit(" merlot"))), identity.grapes(x))) > 0)).alias("grape_conflict"), (F.size(identity.search_words(x)) == 0).alias("nothing_to_search"), identity.compare_vintages(year, x, hit_year, name).alias("vintages"),
     )
 
 

@@ -219,10 +219,10 @@ def vintage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", prices.vintage(written, 2025).alias("vintage"))
 
 
-@query("inline_prices", """SELECT p_partkey, p_name AS title, CASE WHEN p_size BETWEEN 5 AND 400 THEN '$' || p_size END AS price FROM part WHERE p_size >= 5""")
+@query("inline_prices", """SELECT p_partkey, CASE WHEN p_size >= 5 THEN p_name ELSE p_name || ' ' || p_size END AS title, CASE WHEN p_size BETWEEN 5 AND 400 THEN '$' || p_size END AS price FROM part""")
 def inline_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
-    return table(spark, sf_dir, "part").where("p_size >= 5").select("p_partkey", prices.inline_price(row).alias("x")).select("p_partkey", "x.title", "x.price")
+    return table(spark, sf_dir, "part").select("p_partkey", prices.inline_price(row).alias("x")).select("p_partkey", "x.title", "x.price")
 
 
 _LEADERS = "lead AS (SELECT p_brand, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand), n AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(first_name), ' ') AS b FROM part JOIN lead USING (p_brand))"
@@ -252,7 +252,25 @@ def pooled_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_leaders(spark, sf_dir).select("p_partkey", tokens.pooled_f1(tokens.tokens(F.col("p_name")), tokens.tokens(F.col("first_name"))).alias("f1"))
 
 
-@query("match_scores")
+_CORE_OUT = ", ".join(repr(w) for w in [*tokens.STOPWORDS, *tokens.COUNTRIES, *tokens.CONCEPTS, *tokens.VARIETAL_TOKENS])
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_CORE = f"list_filter(string_split({_PLAIN}, ' '), lambda t: length(t) > 1 AND t NOT IN ({_CORE_OUT}) AND NOT regexp_matches(t, '^(19|20)[0-9]{{{{2}}}}$') AND NOT regexp_matches(t, '^[0-9]+(l|ml)$'))"
+_OVERLAP = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN " + _FUZZY + " ELSE 0.0e0 END"
+_CONCEPTS_OF = "list_distinct(list_filter(list_transform(string_split({0}, ' '), lambda t: CASE t " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tokens.CONCEPTS.items()) + " END), lambda c: c IS NOT NULL))"
+_EXACT = "list_filter(string_split({0}, ' '), lambda t: t IN (" + ", ".join(repr(w) for w in tokens.EXACT_CONCEPTS) + "))"
+_MISSED = "list_sum(list_transform(list_filter({1}, lambda c: NOT list_contains({0}, c)), lambda c: CASE c " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in tokens.CONCEPT_PENALTY.items()) + " ELSE 0 END))"
+
+
+@query("match_scores", f"""WITH lead AS (SELECT p_brand, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand),
+  w AS (SELECT p_partkey, p_size, {_PLAIN.format('p_brand')} AS brand, {_PLAIN.format("concat_ws(' ', p_name, p_type)")} AS mine_text, {_PLAIN.format("concat_ws(' ', first_name, p_type)")} AS their_text, {_CORE.format('p_brand')} AS producer, {_CORE.format('p_name')} AS label, {_CORE.format('p_type')} AS region, {_CORE.format("concat_ws(' ', p_brand, p_name)")} AS raw, {_CORE.format('first_name')} AS theirs FROM part JOIN lead USING (p_brand)),
+  s AS (SELECT *, list_distinct(list_concat(producer, label, region, raw)) AS mine_all, list_distinct(list_concat(producer, theirs, region)) AS their_all, list_distinct(theirs) AS their_label, list_filter(label, lambda t: NOT list_contains(theirs, t)) AS rest, list_filter(label, lambda t: NOT list_contains(theirs, t) AND NOT list_contains(producer, t)) AS rest2, list_filter(region, lambda t: NOT list_contains(label, t)) AS region_only FROM w),
+  f AS (SELECT *, {_OVERLAP.format('mine_all', 'their_all')} AS p, {_OVERLAP.format('their_all', 'mine_all')} AS r, {_OVERLAP.format('label', 'their_label')} AS covered, {_OVERLAP.format('raw', 'their_all')} AS raw_covered,
+    CASE WHEN len(rest) > 0 AND len(producer) > 0 THEN len(list_filter(rest, lambda t: list_contains(producer, t))) / len(rest) ELSE 0.0e0 END AS in_producer, CASE WHEN len(rest2) > 0 AND len(region) > 0 THEN len(list_filter(rest2, lambda t: list_contains(region, t))) / len(rest2) ELSE 0.0e0 END AS in_region,
+    CASE WHEN len(region_only) > 0 THEN 1.0e0 ELSE 0.0e0 END AS novel, {_CONCEPTS_OF.format("(brand || ' ' || mine_text)")} AS own_concepts, {_CONCEPTS_OF.format('their_text')} AS their_concepts FROM s),
+  x AS (SELECT p_partkey, greatest(0.0e0, least(1.0e0, 0.5e0 * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END + 0.18e0 * CASE WHEN brand = '' THEN 0 ELSE 1 END + 0.18e0 * covered * CASE WHEN len(label) = 1 THEN 0.6e0 ELSE 1 END + 0.03e0 * in_producer + 0.03e0 * in_region + 0.03e0 * novel + CASE WHEN p_size = 11 THEN 0.1e0 ELSE 0 END + 0.02e0 * raw_covered
+    + CASE WHEN list_has_any({_EXACT.format('mine_text')}, {_EXACT.format('their_text')}) THEN 0.03e0 ELSE 0 END - least(0.3e0, coalesce({_MISSED.format('own_concepts', 'their_concepts')}, 0))
+    - CASE WHEN brand <> '' AND len(theirs) > 0 AND len(mine_all) > 0 AND len(list_filter(theirs, lambda t: list_contains(mine_all, t) OR (length(t) >= 4 AND len(list_filter(mine_all, lambda u: length(u) >= 4 AND levenshtein(t, u) <= 1)) > 0))) = 0 THEN 0.3e0 ELSE 0 END)) AS score FROM f)
+  SELECT p_partkey, score, CASE WHEN score >= 0.82e0 THEN 'matched' WHEN score >= 0.65e0 THEN 'low-confidence' ELSE 'unmatched' END AS status FROM x""")
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole match score of parts against the first of their brand; tests hold its terms against worked cases."""
     none = F.lit(None).cast("string")
@@ -334,7 +352,10 @@ def job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.rollup(_job_events(spark, sf_dir), "job", F.col("status"), F.lit(4))
 
 
-@query("lease_claims")
+@query("lease_claims", """WITH RECURSIVE e AS (SELECT user_id AS job, event_id % 8 AS item, event_type AS owner, epoch_us(ts) // 1000 AS ms, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_id % 8 ORDER BY event_id) AS n FROM events),
+  r AS (SELECT job, item, seq, ms, owner, n, true AS granted, 1 AS attempt, ms + 3600000 AS expires, owner AS held FROM e WHERE n = 1
+    UNION ALL SELECT e.job, e.item, e.seq, e.ms, e.owner, e.n, r.held = e.owner OR r.expires <= e.ms, r.attempt + CAST(r.held = e.owner OR r.expires <= e.ms AS INTEGER), CASE WHEN r.held = e.owner OR r.expires <= e.ms THEN e.ms + 3600000 ELSE r.expires END, CASE WHEN r.held = e.owner OR r.expires <= e.ms THEN e.owner ELSE r.held END FROM r JOIN e ON e.job = r.job AND e.item = r.item AND e.n = r.n + 1)
+  SELECT job, item, seq, ms, owner, granted, attempt, expires FROM r""")
 def lease_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims are a fold over time; tests hold it against a plain replay."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), (F.col("event_id") % 8).alias("item"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("seq"))
@@ -415,7 +436,8 @@ def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import matching
 
     p = table(spark, sf_dir, "part")
-    winery = F.concat(F.lit("maker "), F.translate(F.col("p_brand"), "#0123456789", "_abcdefghij"))
-    catalogue = p.select(F.col("p_partkey").alias("wine_id"), winery.alias("winery"), F.concat_ws(" ", "p_name", F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("name"), F.lower("p_type").alias("region"), (2000 + F.col("p_size") % 20).alias("year"))
-    rows = catalogue.where("wine_id % 2 = 0").select(F.col("wine_id").alias("candidate_id"), F.concat_ws(" ", "winery", "name").alias("raw_text"), F.element_at(F.split("name", " "), -1).alias("producer"), F.col("name").alias("label"), F.lit("Red").alias("menu_section"), F.lit(None).cast("string").alias("varietal"), F.col("year").alias("vintage"))
-    return matching.best_hits(rows, catalogue, 1)
+    letters = lambda c: F.translate(c.cast("string"), "#0123456789", "_abcdefghij")
+    winery = F.concat(F.lit("maker "), letters(F.col("p_brand")), F.lit(" "), letters(F.col("p_size")), F.lit("hill"))
+    catalogue = p.select(F.col("p_partkey").alias("wine_id"), winery.alias("winery"), F.col("p_name").alias("name"), F.lower("p_type").alias("region"), (2000 + F.col("p_size") % 20).alias("year"))
+    rows = catalogue.select(F.col("wine_id").alias("candidate_id"), F.concat_ws(" ", "winery", "name").alias("raw_text"), F.col("winery").alias("producer"), F.col("name").alias("label"), F.lit("Red").alias("menu_section"), F.lit(None).cast("string").alias("varietal"), F.col("year").alias("vintage"))
+    return matching.best_hits(rows, catalogue)

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.jobs import TERMINAL
-
-STATUS = "job_id string, status string, n_events long"
-STATE = "status string, seq long, n_events long"
+from pyspark.sql import functions as F
 
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A terminal status stays; else the status of the largest seq counts."""
-    status, seq, n = state.get if state.exists else (None, -1, 0)
-    for batch in batches:
-        for s, q in batch[["status", "seq"]].sort_values("seq").itertuples(index=False):
-            n += 1
-            if status not in TERMINAL and q >= seq:
-                status, seq = s, int(q)
-    state.update((status, seq, n))
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "n_events": [n]})
+from ..operators.jobs import final_status
 
 
 def job_status(events: DataFrame) -> DataFrame:
-    """A row per job whenever it has new events: job_id, status, n_events. ``events`` has job_id, seq and status."""
-    return events.groupBy("job_id").applyInPandasWithState(_advance, STATUS, STATE, "update", GroupStateTimeout.NoTimeout)
+    """A row per job whenever it has new events (update mode): job_id, status, n_events. ``events`` has job_id, seq and status.
+
+    The batch operator itself, as a streaming aggregation: of several terminal events the one with the least seq counts, whatever order they
+    arrive in. The state of a job is two statuses and their seqs; it stays as long as the stream's checkpoint.
+    """
+    return final_status(events, "job_id", F.col("status"), F.col("seq"))
 
 
 def deduplicated(events: DataFrame, key: str, time: str, within: str = "24 hours") -> DataFrame:
