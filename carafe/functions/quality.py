@@ -17,25 +17,25 @@ def unit(x: Column) -> Column:
 
 
 def _base(plain: Column) -> Column:
-    """What a text's words are worth; ``plain`` is its ``quality_text``. Words are counted in the string, by patterns for a whole word."""
-    low = lambda p: F.lower(p)
-    begin, end = r"(?<!\S)", r"(?!\S)"
-
+    """What a text's words are worth; ``plain`` is its ``quality_text``. Words are split once and tested without patterns, which cost most here."""
     def of(q: Column) -> Column:
-        count = lambda pattern: F.regexp_count(q, F.lit(pattern))
-        lettered = r"[^a-z\s]*+[a-z]\S*+"
-        return F.struct(
-            count(begin + lettered).alias("n"), count(begin + r"(?=\S{3})" + lettered).alias("strong"), q.rlike(begin + r"(?=\S{5})" + lettered).alias("long"), count(begin + r"[^aeiouy\s]*+[aeiouy]\S*+").alias("vowels"),
-            count(begin + r"(?=\S{1,2}(?!\S))" + lettered).alias("short"), count(begin + r"([a-z])\1+" + end).alias("same"), q.rlike(begin + r"(?=\S{1,3}(?!\S))(?=\S*[a-z])[^aeiouy\s]++" + end).alias("bare"),
-            count("[a-z]").alias("letters"), F.length(F.replace(q, F.lit(" "), F.lit(""))).alias("size"),
-        )
+        def counted(tokens: Column) -> Column:
+            count = lambda test: F.size(F.filter(tokens, test))
+            spoken = lambda t: F.length(F.translate(t, "aeiouy", "")) < F.length(t)
+            return F.struct(
+                F.size(tokens).alias("n"), count(lambda t: F.length(t) >= 3).alias("strong"), F.exists(tokens, lambda t: F.length(t) >= 5).alias("long"), count(spoken).alias("vowels"), count(lambda t: F.length(t) <= 2).alias("short"),
+                count(lambda t: (F.length(t) >= 2) & (t == F.repeat(F.substring(t, 1, 1), F.length(t)))).alias("same"), F.exists(tokens, lambda t: (F.length(t) <= 3) & ~spoken(t)).alias("bare"),
+                F.length(F.regexp_replace(q, "[^a-z]+", "")).alias("letters"), F.length(F.replace(q, F.lit(" "), F.lit(""))).alias("size"),
+            )
+        # a word with a letter is one that capitals change
+        return let(F.filter(F.split(q, " "), lambda t: F.upper(t) != t), counted)
 
     def summed(x: Column) -> Column:
         score = x["letters"] / F.greatest(F.lit(1), x["size"]) * 0.35 + F.when(x["strong"] >= 2, 0.25).when(x["strong"] == 1, 0.12).otherwise(0.0)
         score = score + F.when(x["long"], 0.08).otherwise(0.0) + F.when(x["vowels"] >= F.least(F.lit(2), x["n"]), 0.12).otherwise(0.0)
         score = score - F.least(F.lit(0.14), F.try_divide(x["short"], x["n"]) * 0.14) - F.least(F.lit(0.14), F.try_divide(x["same"], x["n"]) * 0.14)
         return F.when(x["n"] > 0, score - F.when(x["bare"] & (x["vowels"] == 0), 0.18).otherwise(0.0))
-    return let(let(low(plain), of), summed)
+    return let(let(F.lower(plain), of), summed)
 
 
 def _marks(text: Column) -> Column:
