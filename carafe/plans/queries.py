@@ -436,8 +436,8 @@ def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import matching
 
     p = table(spark, sf_dir, "part")
-    letters = lambda c: F.translate(c.cast("string"), "#0123456789", "_abcdefghij")
-    winery = F.concat(F.lit("maker "), letters(F.col("p_brand")), F.lit(" "), letters(F.col("p_size")), F.lit("hill"))
+    # one word a winery, so that its entries are a small part of the catalogue, as in a real one
+    winery = F.concat(F.translate(F.concat(F.regexp_extract("p_brand", "[0-9]+", 0), F.lpad(F.col("p_size").cast("string"), 2, "0")), "0123456789", "abcdefghij"), F.lit("hill"))
     catalogue = p.select(F.col("p_partkey").alias("wine_id"), winery.alias("winery"), F.col("p_name").alias("name"), F.lower("p_type").alias("region"), (2000 + F.col("p_size") % 20).alias("year"))
     rows = catalogue.select(F.col("wine_id").alias("candidate_id"), F.concat_ws(" ", "winery", "name").alias("raw_text"), F.col("winery").alias("producer"), F.col("name").alias("label"), F.lit("Red").alias("menu_section"), F.lit(None).cast("string").alias("varietal"), F.col("year").alias("vintage"))
     return matching.best_hits(rows, catalogue)
