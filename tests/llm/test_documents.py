@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -286,6 +286,23 @@ def test_sharding_is_balanced_and_keeps_groups(frame):
     assert sharding.shard(frame([], DOCS)).count() == 0 and sharding.shard(frame(ODD, DOCS), 4).count() == 6
 
 
+def test_sharding_gathers_a_group_with_a_third_of_all_rows(frame):
+    rows = [(i, "the same text" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"alone {i}") for i in range(6000)]
+    out = sharding.shard(frame(rows, "doc_id long, text string"), n_shards=30).collect()
+    loads, hot, pairs = Counter(r.shard for r in out), Counter(), defaultdict(set)
+    texts = dict(rows)
+    for r in out:
+        if texts[r.doc_id] == "the same text":
+            hot[r.shard] += 1
+        elif texts[r.doc_id].startswith("pair"):
+            pairs[texts[r.doc_id]].add(r.shard)
+    assert set(loads.values()) == {200} and len(loads) == 30
+    # pairs, linked too, keep a third of each shard, so that 2000 rows need 2000 / 133 = 15 shards; nine pairs of ten stay whole
+    assert len([n for n in hot.values() if n > 5]) <= 17
+    assert sum(len(s) == 1 for s in pairs.values()) >= 0.9 * len(pairs)
+
+
+
 def edit_distance_to_part(item, words):
     row = [0] * (len(words) + 1)
     for i, x in enumerate(item, 1):
