@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,11 +17,31 @@ from ..functions.text import rounded
 
 LINE_KEY = ["page", "block", "paragraph", "line"]
 
+# Patterns and words that decide how recognised lines are read.
+PRICE_WORD = r"^\$?\d{1,3}(?:\.\d{2})?$"
+AMOUNT_SUFFIX = r"^(?=.*\p{N})[\p{N}\p{Sc}/|*†‡§¶#().,+−–—-]+$"
+MARK_SUFFIX = r"^[/|*†‡§¶#\p{Sc}]+$"
+ROW_END_PRICE = r"^[$€£]?\d{2,4}(?:[.,]\d{2})?[.,]?$"
+SLASH_PRICES = r"(?i)(?:NA|\$?\d+(?:\.\d{2})?)(?:\s*/\s*(?:NA|\$?\d+(?:\.\d{2})?)){1,2}\s*$"
+BARE_PRICE = r"^(.*\S)\s+(\d{1,3}(?:\.\d{2})?)\s*$"
+SECTION_WORDS = ["red", "white", "rose", "rosé", "sparkling", "champagne", "orange", "sherry", "sake", "sweet"]
+SECTION_CONTEXT = ["glass", "carafe", "bottle", "split", "wine", "wines"]
+IGNORED_WORDS = ["sold", "out", "seal"]
+TOOLBAR = ["filter:", "sort by:", "best selling", "products"]
+BAND_GAP = 85
+TITLE_REACH = 80
+
 
 def usable_words(words: DataFrame) -> DataFrame:
     """Words of recognition output: level 5 with text, and a confidence of 20 or a likely price."""
-    price = F.trim("text").rlike(r"^\$?\d{1,4}(?:\.\d{2})?(?:\s*/\s*\$?\d{1,4})?$")
-    return words.where((F.col("level") == 5) & (F.trim("text") != "") & ((F.floor("conf") >= 20) | price))
+    sure = F.coalesce(F.floor("conf"), F.lit(0)) >= 20
+    return words.where((F.col("level") == 5) & (F.trim("text") != "") & (sure | likely_price(F.col("text"))))
+
+
+def likely_price(text: Column) -> Column:
+    """A word that is an amount of 5 to 400."""
+    word = F.trim(text)
+    return F.coalesce(word.rlike(PRICE_WORD) & F.regexp_replace(word, r"^\$", "").try_cast("double").between(5, 400), F.lit(False))
 
 
 def lines(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -54,3 +81,184 @@ def gutter(df: DataFrame, keys: list[str], y: str, x: str, first: float, second:
 def column_of(left: Column, starts: Column, slack: float = 4.0) -> Column:
     """The number of the column with the greatest start at or before ``left`` and the slack; else 0. ``starts`` ascend."""
     return F.greatest(F.lit(0), F.size(F.filter(starts, lambda c: c <= left + slack)) - 1)
+
+
+def word_lines(words: DataFrame, doc: list[str]) -> DataFrame:
+    """doc and line key, ``words`` from left to right, ``top``, ``bottom``. A line is short, so it may be gathered."""
+    word = F.struct("left", "word", "top", "width", "height", F.trim("text").alias("text"))
+    return words.groupBy(*doc, *LINE_KEY).agg(F.array_sort(F.collect_list(word)).alias("words"), F.min("top").alias("top"), F.max(F.col("top") + F.col("height")).alias("bottom"))
+
+
+def _named(word: Column) -> Column:
+    return word["text"].rlike(r"\p{L}{2,}")
+
+
+def _ends_row(word: Column) -> Column:
+    return word["text"].rlike(ROW_END_PRICE) & ~word["text"].rlike(r"^(?:19|20)\d{2}$")
+
+
+def _gap_after_price(words: Column, page_left: Column, span: Column) -> Column:
+    """Middle of the first wide gap between a price and the next wine's words, in the middle three fifths of the page; else null."""
+    heights = F.array_sort(F.transform(words, lambda w: w["height"]))
+    height = F.get(heights, F.floor(F.size(words) / 2).cast("int"))
+
+    def edges(i: Column) -> tuple[Column, Column]:
+        return F.get(words, i)["left"] + F.get(words, i)["width"], F.get(words, i + 1)["left"]
+
+    def splits(i: Column) -> Column:
+        start, end = edges(i)
+        middle = ((start + end) / 2 - page_left) / span
+        before, after = F.exists(F.slice(words, 1, i), _named), F.size(F.filter(F.slice(words, i + 2, F.size(words)), _named))
+        return middle.between(0.2, 0.8) & (end - start >= 1.5 * height) & _ends_row(F.get(words, i)) & before & (after >= 2)
+
+    inner = F.when(F.size(words) > 2, F.sequence(F.lit(1), F.size(words) - 2))
+    at = F.get(F.filter(inner, splits), F.lit(0))
+    return (edges(at)[0] + edges(at)[1]) / 2
+
+
+def split_columns(lines: DataFrame, doc: list[str]) -> DataFrame:
+    """Lines of pages with two columns of priced rows cut at the gutter, with ``column`` and ``n``, the place in reading order from 0.
+
+    The gutter is a line through the gaps after prices (``clamped_fit``, twice, without outliers), so tilted photographs split too. A page
+    needs 8 lines, gaps in an eighth of them (4 at least) and prices in two fifths of the named right parts; other pages stay as they are.
+    Everything is a window over the page, which is one exchange; a page is one photograph, so it is bounded.
+    """
+    page = Window.partitionBy(*doc)
+    left = F.array_min(F.transform("words", lambda w: w["left"]))
+    right = F.array_max(F.transform("words", lambda w: w["left"] + w["width"]))
+    df = lines.withColumn("_n", F.count(F.lit(1)).over(page)).withColumn("_l", F.min(left).over(page)).withColumn("_s", F.max(right).over(page) - F.col("_l"))
+    df = df.withColumn("_y", (F.col("top") + F.col("bottom")) / 2).withColumn("_x", F.when((F.col("_n") >= 8) & (F.col("_s") > 0), _gap_after_price(F.col("words"), F.col("_l"), F.nullif(F.col("_s"), F.lit(0)))))
+    gaps = F.array_sort(F.collect_list("_x").over(page))
+    df = df.withColumn("_m", F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")))
+    enough = F.greatest(F.lit(4.0), F.col("_n") * 0.12)
+
+    def fitted(df: DataFrame, near: Column) -> DataFrame:
+        x, y = F.when(near, F.col("_x")), F.when(near, F.col("_y"))
+        slope = F.coalesce(F.greatest(F.lit(-0.1), F.least(F.lit(0.1), F.regr_slope(x, y).over(page))), F.lit(0.0))
+        at = F.avg(x).over(page) + slope * (F.col("_y") - F.avg(y).over(page))
+        return df.withColumn("_at", F.when(F.count(x).over(page) >= enough, at))
+
+    df = fitted(df, F.abs(F.col("_x") - F.col("_m")) <= F.col("_s") * 0.08)
+    df = fitted(df, F.abs(F.col("_x") - F.col("_at")) <= F.col("_s") * 0.04)
+    side = lambda test: F.filter("words", lambda w: test(w["left"] + w["width"] / 2))
+    df = df.withColumn("_a", side(lambda c: c < F.col("_at"))).withColumn("_b", side(lambda c: c >= F.col("_at")))
+    named = F.exists("_b", _named)
+    priced = F.count_if(named & F.exists("_b", _ends_row)).over(page) / F.nullif(F.count_if(named).over(page), F.lit(0))
+    df = df.withColumn("_two", F.coalesce(priced >= 0.4, F.lit(False)))
+    part = lambda k, words: F.struct(F.lit(k).alias("column"), F.col(words).alias("words"))
+    parts = F.when(F.col("_two"), F.filter(F.array(part(0, "_a"), part(1, "_b")), lambda p: F.size(p["words"]) > 0)).otherwise(F.array(part(0, "words")))
+    out = df.select(*doc, *LINE_KEY, F.inline(parts))
+    top, bottom = F.array_min(F.transform("words", lambda w: w["top"])), F.array_max(F.transform("words", lambda w: w["top"] + w["height"]))
+    order = page.orderBy("column", "top", F.get("words", F.lit(0))["left"], *LINE_KEY)
+    return out.withColumn("top", top).withColumn("bottom", bottom).withColumn("n", F.row_number().over(order) - 1)
+
+
+def line_text(words: Column) -> Column:
+    """The words of a line, without a blob of a page's edge that stands apart behind the price.
+
+    What may be an amount, a mark or a word stays; a blob with one digit goes only if it is more than twice as high as the price.
+    """
+    last, price = F.element_at(words, -1), F.element_at(words, -2)
+    titles = F.size(F.filter(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w["text"].rlike(r"\p{L}")))
+    apart = last["left"] - (price["left"] + price["width"]) > 2 * price["height"]
+    digits = F.regexp_count(last["text"], F.lit(r"\p{N}"))
+    blob = ~last["text"].rlike(r"\p{L}") & ~last["text"].rlike(AMOUNT_SUFFIX) & ~last["text"].rlike(MARK_SUFFIX)
+    anomalous = (digits == 0) | ((digits == 1) & (last["height"] > 2 * price["height"]))
+    drop = F.when(F.size(words) >= 4, likely_price(price["text"]) & blob & (titles >= 2) & apart & anomalous).otherwise(F.lit(False))
+    kept = F.when(drop, F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    return F.array_join(F.transform(kept, lambda w: w["text"]), " ")
+
+
+def is_menu_row(text: Column) -> Column:
+    """A title with several slashed prices (and a comma or colon), or with two words and a bare price."""
+    title_of = lambda t: F.regexp_replace(F.trim(t), r"[:\s]+$", "")
+    amounts, title = F.regexp_extract(text, SLASH_PRICES, 0), title_of(F.regexp_replace(text, SLASH_PRICES, ""))
+    several = (F.regexp_count(amounts, F.lit("/")) >= 2) | amounts.rlike(r"(?i)\bNA\b")
+    slashed = several & title.rlike("[A-Za-z]") & title.rlike("[,:]")
+    bare_title = title_of(F.regexp_extract(text, BARE_PRICE, 1))
+    bare = likely_price(F.regexp_extract(text, BARE_PRICE, 2)) & (F.regexp_count(bare_title, F.lit("[A-Za-z]{2,}")) >= 2)
+    return F.when(amounts != "", slashed).otherwise(bare)
+
+
+def is_menu_section(text: Column) -> Column:
+    """A colour or kind beside a serving or the word wine. Word ends are those of ASCII words."""
+    end = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    has = lambda words: text.rlike(f"(?iu){end}(?:{'|'.join(words)}){end}")
+    return has(SECTION_WORDS) & has(SECTION_CONTEXT)
+
+
+def banded(lines: DataFrame, doc: list[str]) -> DataFrame:
+    """Lines with ``prices``, their ``band`` (a line and the priced lines that follow closely) and ``band_prices``."""
+    w = Window.partitionBy(*doc).orderBy("n")
+    starts = (F.col("prices") == 0) | F.coalesce(F.col("top") - F.lag("bottom").over(w) > BAND_GAP, F.lit(True))
+    df = lines.withColumn("prices", F.size(F.filter("words", lambda x: likely_price(x["text"])))).withColumn("_starts", starts.cast("int"))
+    df = df.withColumn("band", F.sum("_starts").over(w)).drop("_starts")
+    return df.withColumn("band_prices", F.sum("prices").over(Window.partitionBy(*doc, "band")))
+
+
+def page_texts(words: DataFrame, doc: list[str], by_layout: bool = True) -> DataFrame:
+    """doc, text: recognised words of a page (``sources.recognised_words`` with the columns ``doc``) as text for the menu parser.
+
+    Pages of priced rows give their lines in reading order. Others (cards in a grid) give a block per price: the title lines of its column, from the band of
+    priced lines and up to 80 pixels above it, then the price. Pages without such blocks give their lines; ``by_layout=False`` gives lines always.
+    Pages without a usable word give no row. Word rows without a place or a text are left out.
+    """
+    places = ["left", "top", "width", "height"]
+    used = usable_words(words).dropna(subset=[*places, "text"])
+    lines = banded(split_columns(word_lines(used, doc), doc), doc).withColumn("text", line_text(F.col("words")))
+    rows, sections = F.count_if(is_menu_row(F.col("text"))), F.count_if(is_menu_section(F.col("text")))
+    word = F.transform("words", lambda w: F.struct(w["left"].alias("left"), w["text"].alias("text"), likely_price(w["text"]).alias("price")))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "text", "top", "band", (F.col("band_prices") >= 2).alias("priced"), word.alias("words"))))
+    pages = lines.groupBy(*doc).agg(ordered.alias("lines"), (((rows >= 2) & (sections == 0)) | (rows >= 4)).alias("plain"))
+    text = F.array_join(F.filter(F.transform("lines", lambda x: x["text"]), lambda t: t != ""), "\n")
+    cards = F.when(~F.col("plain") & F.exists("lines", lambda x: x["priced"]) & F.lit(by_layout), F.col("lines"))
+    pages = pages.select(*doc, text.alias("text"), cards.alias("lines"))
+    return pages.mapInArrow(_read_cards, pages.drop("lines").schema)
+
+
+def _read_cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = ["\n\n".join(_cards(lines) if lines else []) or text for lines, text in zip(batch["lines"].to_pylist(), batch["text"].to_pylist())]
+        columns = [pa.array(texts, pa.string()) if name == "text" else batch[name] for name in batch.schema.names if name != "lines"]
+        yield pa.RecordBatch.from_arrays(columns, names=[name for name in batch.schema.names if name != "lines"])
+
+
+def _is_title(text: str) -> bool:
+    """Two words with letters, or one of five characters."""
+    words = [w for w in re.sub(r"[^A-Za-z0-9\s+'’,.-]", " ", text).split() if re.search("[A-Za-z]", w)]
+    return len(words) >= 2 or any(len(w) >= 5 for w in words)
+
+
+def _titles_above(lines: list[dict], start: int, taken: set[int]) -> list[int]:
+    """Free title lines that begin at most 80 pixels above the line ``start``."""
+    found = []
+    for k in reversed([k for k in range(start) if k not in taken]):
+        if lines[k]["top"] < lines[start]["top"] - TITLE_REACH:
+            break
+        if _is_title(lines[k]["text"]) and not any(word in lines[k]["text"].lower() for word in TOOLBAR):
+            found.append(k)
+    return found[::-1]
+
+
+def _cards(lines: list[dict]) -> list[str]:
+    """A block per price of the bands with two prices or more. Lines used by one band are not titles of the next."""
+    taken: set[int] = set()
+    blocks: list[str] = []
+    for priced, members in groupby(range(len(lines)), key=lambda k: lines[k]["priced"] and lines[k]["band"]):
+        if not priced:
+            continue
+        band = list(members)
+        prices = sorted((w for k in band for w in lines[k]["words"] if w["price"]), key=lambda w: w["left"])
+        starts, sources = [w["left"] for w in prices], [*_titles_above(lines, band[0], taken), *band]
+        titles = defaultdict(list)
+        for k in sources:
+            parts = defaultdict(list)
+            for w in lines[k]["words"]:
+                if not w["price"] and w["text"].lower() not in IGNORED_WORDS:
+                    parts[max(0, bisect_right(starts, w["left"] + 4) - 1)].append(w["text"])
+            for c, part in parts.items():
+                if _is_title(" ".join(part)):
+                    titles[c].append(" ".join(part))
+        blocks += ["\n".join([*titles[c], price["text"]]) for c, price in enumerate(prices) if titles[c]]
+        taken.update(sources if titles else [])
+    return blocks

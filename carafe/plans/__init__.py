@@ -1,6 +1,6 @@
 """The analysis API and the registered queries."""
 
-from . import lines, profiles  # noqa: F401
+from . import lines, photos, profiles  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
