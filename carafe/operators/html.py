@@ -160,6 +160,36 @@ def pagination_links(html: Column, most: int = 9) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"#]*[?&]page=\d+[^"]*)"'), F.lit(1))), 1, most)
 
 
+def resolved(href: Column, base: Column) -> Column:
+    """An address as seen from the page ``base``, without its fragment. Dot segments stay as they are; null if ``base`` is no address."""
+    bare = F.regexp_replace(href, "#.*$", "")
+    site, path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.when(path == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_extract(path, r"^.*/", 0))
+    own = F.when(path == site, folder).otherwise(path)
+    seen = F.when(bare.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), bare)).when(bare.startswith("/"), F.concat(site, bare)).when(bare.startswith("?"), F.concat(own, bare)).otherwise(F.concat(folder, bare))
+    return F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(site != "", seen)
+
+
+def list_pages(pages: DataFrame, known: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id, at, url, html: each page (``at`` 0) and the further pages of its list, as ``at`` 1 to 9 in the order in which they are linked first.
+
+    ``known`` has fetched pages by address (of several with one address, any one is taken); what isn't known gives no row.
+    """
+    own = pages.select(F.col(id_col), F.lit(0).alias("at"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    every = pagination_links(F.col("html"), 2**31 - 1)
+    addresses = F.slice(F.array_distinct(F.filter(F.transform(every, lambda h: resolved(h, F.col("url"))), lambda u: u.isNotNull())), 1, 9)
+    linked = own.select(id_col, F.posexplode(addresses).alias("k", "url"))
+    fetched = known.groupBy(F.col(url_col).alias("url")).agg(F.any_value(html_col).alias("html"))
+    return own.unionByName(linked.join(fetched, "url").select(id_col, (F.col("k") + 1).alias("at"), "url", "html"))
+
+
+def paged_items(pages: DataFrame, known: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``menu_items`` of all ``list_pages``, with ``at``. Items that two pages share stay twice."""
+    every = list_pages(pages, known, id_col, url_col, html_col)
+    items = menu_items(every.select(F.struct(F.col(id_col).alias("id"), "at").alias("part"), "html"), "part", "html")
+    return items.select(F.col("part.id").alias(id_col), F.col("part.at").alias("at"), *[c for c in items.columns if c != "part"])
+
+
 def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"#]+)"'), F.lit(1)))
 

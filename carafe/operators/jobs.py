@@ -130,10 +130,14 @@ def _replay_jobs(batches: Iterator[pd.DataFrame], lease_ms: int) -> Iterator[pd.
         yield frame
 
 
-def admitted(events: DataFrame, key: str, group: str, order: list[Column], most: int) -> DataFrame:
-    """The first publication of each key, at most ``most`` in a group."""
+def admitted(events: DataFrame, key: str, group: str, order: list[Column], most: int, at: str | None = None, deadline: Column | None = None) -> DataFrame:
+    """The first publication of each key, at most ``most`` in a group; of those before the ``deadline`` of their row, if one is given.
+
+    What is late (or has no time or no deadline) takes no place.
+    """
+    timely = events if deadline is None else events.where(F.col(at) < deadline)
     w = Window.partitionBy(key).orderBy(*order)
-    first = events.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    first = timely.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return first.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taste import DEFAULT_PREFERENCE, DEFAULT_WEIGHTS, DIMENSIONS, comparable_fit, fit_score
-from ..operators import html, menu
+from ..operators import html, layout, menu
 from ..operators.ranking import recommended_order
 
 
@@ -20,6 +20,11 @@ def analyze_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return menu.with_candidate_id(menu.from_items(html.menu_items(pages, id_col, html_col), as_of_year), id_col)
 
 
+def analyze_words(words: DataFrame, id_col: str = "doc_id", as_of_year: int = 2025) -> DataFrame:
+    """Candidates of photographed menus from their recognised words."""
+    return menu.parse_menus(layout.page_texts(words, [id_col]), id_col, "text", as_of_year)
+
+
 def preview(pages: DataFrame) -> DataFrame:
     return html.title_preview(pages)
 

@@ -1,11 +1,12 @@
-"""Queries over recognised words: the parts as photographed lists in one or two columns, and as cards in a grid. The SQL says what should be read."""
+"""Queries over written photographs and pages: the parts as lists in one or two columns, as cards in a grid and as lists over several pages. The SQL says what
+should be read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import html, layout
 from .queries import query, table
 
 _LEFT = "concat(p_name, ' ', 10 + p_size)"
@@ -55,3 +56,17 @@ def photo_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (line(2), first, down(60), "60", "p_type"), (line(2), second, down(60), "60", "p_brand"),
         (line(3), first, down(90), "50", "concat('$', 10 + p_size, '.99')"), (line(3), "300 * (r % 4) + 70", down(90), "30", sold.format("Sold")), (line(3), "300 * (r % 4) + 105", down(90), "30", sold.format("OUT")))
     return _pieces(layout.page_texts(words, ["photo"]), "\n\n", "card")
+
+
+@query("list_pages", """WITH k AS (SELECT DISTINCT p_brand AS list, p_size % 12 AS "at" FROM part), u AS (SELECT list, "at", concat('https://lists.example/', replace(list, '#', '-'), CASE WHEN "at" > 0 THEN concat('?page=', "at" + 1) ELSE '' END) AS url FROM k)
+  SELECT list, "at", url, md5(CASE WHEN "at" = 0 THEN 'first' ELSE concat('page ', "at" + 1) END) AS content FROM u WHERE "at" < 10 AND list IN (SELECT list FROM k WHERE "at" = 0)""")
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list per brand over up to 12 pages; the first links to all others, each in three forms; the first nine count, as far as they are known."""
+    pages = table(spark, sf_dir, "part").select(F.col("p_brand").alias("list"), F.expr("p_size % 12").alias("k")).distinct()
+    pages = pages.withColumn("site", F.concat(F.lit("https://lists.example/"), F.replace("list", F.lit("#"), F.lit("-")))).withColumn("path", F.substring("site", 22, 100))
+    links = "".join(f'<a href="{start}?page={k + 1}">{k + 1}</a>' for k in range(1, 12) for start in ("", "{site}", "{path}"))
+    body = F.replace(F.replace(F.lit(links), F.lit("{site}"), F.col("site")), F.lit("{path}"), F.col("path"))
+    number = (F.col("k") + 1).cast("string")
+    pages = pages.select("list", "k", F.when(F.col("k") == 0, F.col("site")).otherwise(F.concat("site", F.lit("?page="), number)).alias("url"), F.when(F.col("k") == 0, body).otherwise(F.concat(F.lit("page "), number)).alias("html"))
+    content = F.md5(F.when(F.col("at") == 0, "first").otherwise(F.col("html")).cast("binary"))
+    return html.list_pages(pages.where("k = 0"), pages, "list").select("list", "at", "url", content.alias("content"))

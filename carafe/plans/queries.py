@@ -369,6 +369,15 @@ def publish_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.admitted(e, "key", "user_id", [F.col("event_id")], 6).select("event_id", "user_id")
 
 
+@query("publish_deadline", """WITH d AS (SELECT event_id, user_id, event_type, props FROM events WHERE ts < min_ts + INTERVAL 5 DAY), f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) = 1)
+  SELECT event_id, user_id FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 6""".replace("FROM events", "FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS min_ts FROM events)"))
+def publish_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``publish_budget``, with a deadline five days after a user's first event."""
+    e = table(spark, sf_dir, "events").withColumn("key", F.concat_ws("|", "user_id", "event_type", "props"))
+    opened = e.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 5 DAYS")).alias("deadline"))
+    return jobs.admitted(e.join(opened, "user_id"), "key", "user_id", [F.col("event_id")], 6, "ts", F.col("deadline")).select("event_id", "user_id")
+
+
 @query("paced_requests", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events)
   SELECT event_id, user_id, CAST(max(t - i * 3600000) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) + i * 3600000 AS BIGINT) AS start_ms FROM e""")
 def paced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,14 @@ def test_entities_and_links(spark):
 
     got = row.select(decoded_entities(F.col("t")), html.pagination_links(F.col("t")), html.fetchable(F.col("u"))).first()
     assert tuple(got) == ('&lt; é—é&zzz; <a href="/m?page=2">', ["/m?page=2"], False)
+
+
+def test_items_of_a_list_over_several_pages(spark):
+    from carafe.operators import html
+
+    item = "<li><p>{}</p><p>$40</p></li>"
+    first = "<ul>" + item.format("Estate Alder, 2019") + '</ul><nav><a href="/list?page=2">2</a><a href="?page=2#top">2</a><a href="?page=3">3</a><a href="//other.example/x?page=4">4</a></nav>'
+    known = [("https://wine.example/list", first), ("https://wine.example/list?page=2", "<ul>" + item.format("Estate Birch, 2018") + "</ul>"), ("https://other.example/x?page=4", "<ul>" + item.format("Estate Alder, 2019") + "</ul>")]
+    pages = spark.createDataFrame([(1, *known[0]), (2, None, None)], "page_id int, url string, html string")
+    out = html.paged_items(pages, spark.createDataFrame(known, "url string, html string")).select("page_id", "at", "name", "price").collect()
+    assert sorted(map(tuple, out)) == [(1, 0, "Estate Alder, 2019", "$40"), (1, 1, "Estate Birch, 2018", "$40"), (1, 3, "Estate Alder, 2019", "$40")]
