@@ -3,9 +3,9 @@
 Documents with equal texts are linked. Labels (shards) start from a hash of the id. In each round a join of the linked documents
 with the label counts of their neighbours moves them to the labels most of their neighbours have, as many labels as their group needs given
 the room in each (a shard's share less the linked documents there; unlinked ones can always give way). Quotas hold what may enter a shard to
-its room (small counts by a hash of the group, others by a hash of the document). Moves go to strictly larger (count, hash) labels only,
-so a round raises the sum of squared counts and rounds end; they stop when fewer than one document in 10,000 moved (``rounds`` is a bound far
-above what is needed). Last, exact quotas: shards above their share give rows to those below, unlinked ones first, so links are cut only where a
+its room (what is small beside the room by a hash of the group, else by a hash of the document). Moves go to strictly larger (count, hash) labels only,
+so a round raises the sum of squared counts and rounds end; they stop when fewer than one document in 10,000 moved (``rounds`` is a
+bound; the check tables take two or three). Last, exact quotas: shards above their share give rows to those below, unlinked ones first, so links are cut only where a
 group exceeds a share.
 
 Scale. The text is read once, into size, checksum and group; rounds shuffle five short columns. Counts by (group, shard) are
@@ -47,7 +47,7 @@ def homes_of(linked: DataFrame, room: list[float]) -> DataFrame:
     """grp, shard, n, to, part_to, whole: where the rows of a group's other shards should go.
 
     A group's shards in order of (count, hash) are its homes as long as those before can't hold all its members with their room. What lies
-    elsewhere goes to the homes with room: a count that is small beside the room to the first of them, others to all in proportion to their room.
+    elsewhere goes to the homes with room: if all of it is small beside the room of the first of them, to that one, else to all in proportion to their room.
     A group has at most n_shards rows here, so its window is bounded.
     """
     w = Window.partitionBy("grp").orderBy(F.desc("n"), F.desc("tie"), F.desc("shard"))
@@ -56,9 +56,10 @@ def homes_of(linked: DataFrame, room: list[float]) -> DataFrame:
     ranked = linked.withColumn("space", space).withColumn("members", F.sum("n").over(Window.partitionBy("grp"))).withColumn("held", F.coalesce(F.sum(F.col("n") + F.col("space")).over(before), F.lit(0.0)))
     ranked = ranked.withColumn("home", F.col("held") < F.col("members")).withColumn("place", F.row_number().over(w))
     open_homes = ranked.where("home and space >= 1").select("grp", F.col("shard").alias("to"), F.col("space").alias("to_space"), F.col("place").alias("to_place"))
-    pairs = ranked.where("not home").select("grp", "shard", "n").join(open_homes, "grp")
+    moving = F.sum("n").over(Window.partitionBy("grp"))
+    pairs = ranked.where("not home").select("grp", "shard", "n", moving.alias("moving")).join(open_homes, "grp")
     own = Window.partitionBy("grp", "shard")
-    pairs = pairs.withColumn("first", F.min(F.struct("to_place", "to_space")).over(own)).withColumn("all", F.sum("to_space").over(own)).withColumn("whole", F.col("n") <= F.col("first.to_space") / 8)
+    pairs = pairs.withColumn("first", F.min(F.struct("to_place", "to_space")).over(own)).withColumn("all", F.sum("to_space").over(own)).withColumn("whole", F.col("moving") <= F.col("first.to_space") / 8)
     kept = pairs.where("not whole or to_place = first.to_place")
     return kept.select("grp", "shard", "n", "to", F.when(F.col("whole"), F.lit(1.0)).otherwise(F.col("to_space") / F.col("all")).alias("part_to"), "whole")
 

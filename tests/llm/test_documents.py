@@ -302,6 +302,14 @@ def test_sharding_gathers_a_group_with_a_third_of_all_rows(frame):
     assert sum(len(s) == 1 for s in pairs.values()) >= 0.9 * len(pairs)
 
 
+def test_sharding_keeps_a_group_of_several_shares_in_few_shards(frame):
+    rows = [(i, "the same text" if i % 13 == 0 else f"alone {i}") for i in range(4000)]
+    out = sharding.shard(frame(rows, "doc_id long, text string"), n_shards=40).collect()
+    assert set(Counter(r.shard for r in out).values()) == {100}
+    # 308 rows need four shards of 100
+    assert len({r.shard for r in out if r.doc_id % 13 == 0}) <= 6
+
+
 
 def edit_distance_to_part(item, words):
     row = [0] * (len(words) + 1)
