@@ -121,6 +121,21 @@ def compare_vintages(year: Column, text: Column, hit_year: Column, hit_text: Col
     return F.when(mine == "unknown", "unconstrained").when(theirs == "unknown", "unknown").when((mine != theirs) | ((mine == "year") & (year != hit_year)), "conflict").otherwise("exact")
 
 
+def without_region(text: Column, region: Column) -> Column:
+    """Plain lower-case text without the words of the region, whatever stands between these."""
+    plain = F.lower(fold_accents(F.coalesce(text, F.lit(""))))
+    parts = F.regexp_extract_all(F.lower(fold_accents(F.coalesce(region, F.lit("")))), F.lit("([a-z0-9]+)"), F.lit(1))
+    pattern = F.concat(F.lit("(?<![a-z0-9_])"), F.array_join(parts, "[^a-z0-9]+"), F.lit("(?![a-z0-9_])"))
+    return F.when(F.size(parts) == 0, plain).otherwise(F.regexp_replace(plain, pattern, F.lit(" ")))
+
+
+def menu_identity_text(label: Column, raw: Column, region: Column, raw_only: bool = False) -> Column:
+    """What a menu row says of its item: label and text (``raw_only``: the text, the label if there is none), without the region."""
+    said = lambda c: F.when(c != "", c)
+    whole = F.coalesce(said(raw), said(label), F.lit("")) if raw_only else F.concat_ws(" ", said(label), said(raw))
+    return without_region(whole, region)
+
+
 def grapes(text: Column) -> Column:
     """Names of the grapes that a text names."""
     low = identity_text(text)
@@ -147,9 +162,10 @@ def _has_open_list(plain: Column) -> Column:
     return F.exists(F.split(plain, "[,|]"), part_is)
 
 
-def compare_grapes(label: Column, varietal: Column, producer: Column, raw: Column, hit_name: Column) -> Column:
+def compare_grapes(label: Column, varietal: Column, producer: Column, raw: Column, hit_name: Column, region: Column | None = None) -> Column:
     """compatible, conflict (the hit has a grape the row doesn't name), unconstrained (the row names none) or unknown (lists that aren't whole)."""
     fold = lambda t: F.lower(fold_accents(F.coalesce(t, F.lit(""))))
+    text = menu_identity_text(label, raw, F.lit(None).cast("string") if region is None else region, raw_only=True)
     parts = F.concat(F.array(F.coalesce(producer, F.lit(""))), F.split(F.coalesce(raw, F.lit("")), "[,|]"))
     pure = F.filter(parts, lambda t: _beside_grapes(fold(t), r"[\s/+&()\[\]-]") == "")  # a part that only lists grapes counts, wherever it stands
     told = F.array_union(grapes(F.concat_ws(" ", label, varietal)), F.array_distinct(F.flatten(F.transform(pure, grapes))))
@@ -157,7 +173,7 @@ def compare_grapes(label: Column, varietal: Column, producer: Column, raw: Colum
     def of(x: Column) -> Column:
         unknown = _beside_grapes(x["text"], "$^").rlike(_OPEN_GRAPE) | _has_open_list(x["text"])
         return F.when(unknown, "unknown").when(F.size(x["row"]) == 0, "unconstrained").when(F.size(x["hit"]) == 0, "unknown").when(F.size(F.array_except(x["hit"], x["row"])) > 0, "conflict").otherwise("compatible")
-    return let(F.struct(told.alias("row"), grapes(hit_name).alias("hit"), fold(F.when(F.coalesce(raw, F.lit("")) != "", raw).otherwise(label)).alias("text")), of)
+    return let(F.struct(told.alias("row"), grapes(hit_name).alias("hit"), text.alias("text")), of)
 
 
 def specificity(row_text: Column, winery: Column, name: Column) -> Column:

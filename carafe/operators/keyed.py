@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Days for which a match is remembered, and hours for which the state of a job is kept.
+MEMORY_DAYS, JOB_HOURS = 30, 24
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: Column, most: bool) -> DataFrame:
     """The row of each key with the largest (or least) order; an aggregation, so that a hot key is reduced before the shuffle."""
@@ -81,6 +84,17 @@ def remembered(df: DataFrame, memory: DataFrame, key: str, value: str, fresh: Co
     return df.join(known, F.col(key) == F.col("_key"), "left").withColumn(out, F.coalesce("_known", fresh)).drop("_key", "_known")
 
 
+def memories(matches: DataFrame, key: str, matched: Column, at: Column, days: int = MEMORY_DAYS) -> DataFrame:
+    """A memo write: the latest hit of each key with the time until which it holds; misses are never kept."""
+    hits = matches.where(matched).withColumn("held_until", at + F.make_dt_interval(F.lit(days)))
+    return best_per_key(hits, [key], F.col("held_until"), True)
+
+
+def held(rows: DataFrame, until: Column, now: Column) -> DataFrame:
+    """Rows that haven't expired; those without an end stay."""
+    return rows.where(until.isNull() | (until > now))
+
+
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
 

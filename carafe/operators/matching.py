@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import compare_grapes, compare_vintages, identity_score, identity_words, search_plan, specificity
+from ..functions.identity import compare_grapes, compare_vintages, has_word, identity_score, identity_words, menu_identity_text, search_plan, specificity
 from ..functions.style import RED_STYLES, WHITE_STYLES, style_key
 from ..functions.taste import match_scale, status_of
+from ..functions.text import identity_text
 
 def retrieve(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     """candidate_id, wine_id: entries that have all words of one of the candidate's searches."""
@@ -31,6 +32,14 @@ def retrieve(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     return found.select("candidate_id", "wine_id").distinct()
 
 
+def producers_with_cuvee(hits: DataFrame, keys: list[str], cuvee: str, winery: str = "winery", name: str = "name") -> DataFrame:
+    """keys, n_producers: how many producers among each key's hits have a name with every word of the array ``cuvee``; one is safe to match."""
+    pool = identity_words(F.col(name), False)
+    whole = F.forall(F.col(cuvee), lambda t: has_word(pool, t))
+    producer = F.when(whole, F.trim(identity_text(F.col(winery))))
+    return hits.groupBy(*keys).agg(F.count_distinct(producer).alias("n_producers"))
+
+
 def colours_conflict(row_text, hit_name):
     colour = lambda t: F.when(t.isin(RED_STYLES), "red").when(t.isin(WHITE_STYLES), "white")
     return F.coalesce(colour(style_key(row_text)) != colour(style_key(hit_name)), F.lit(False))
@@ -47,9 +56,10 @@ def best_hits(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     pairs = retrieve(candidates, catalogue).alias("p").join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, F.col("p.wine_id") == F.col("w.wine_id"))
     row = {f: F.col(f"c.{f}") for f in ("raw_text", "producer", "label", "menu_section", "varietal")}
     hit = {f: F.col(f"w.{f}") for f in ("winery", "name", "region")}
-    blended = compare_grapes(F.col("c.label"), F.col("c.varietal"), F.col("c.producer"), F.col("c.raw_text"), F.col("w.name"))
+    region = F.col("c.region") if "region" in candidates.columns else F.lit(None).cast("string")
+    blended = compare_grapes(F.col("c.label"), F.col("c.varietal"), F.col("c.producer"), F.col("c.raw_text"), F.col("w.name"), region)
     pairs = pairs.where((blended != "conflict") & ~colours_conflict(F.col("c.raw_text"), F.col("w.name")))
-    vintage = compare_vintages(F.col("c.vintage"), F.concat_ws(" ", "c.label", "c.raw_text"), F.col("w.year"), F.col("w.name"))
+    vintage = compare_vintages(F.col("c.vintage"), menu_identity_text(F.col("c.label"), F.col("c.raw_text"), region), F.col("w.year"), F.col("w.name"))
     scored = pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("w.wine_id").alias("wine_id"), F.lower("w.winery").alias("_winery"), vintage.alias("vintage"), identity_score(row, hit).alias("_s"), specificity(F.col("c.raw_text"), F.col("w.winery"), F.col("w.name")).alias("_bonus"))
     around = scored.groupBy("candidate_id", F.col("_winery").alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
     per_candidate = around.groupBy(F.col("candidate_id").alias("_c")).agg(F.count(F.lit(1)).alias("_producers"))

@@ -65,6 +65,21 @@ def sections(recs: DataFrame, *measures: Column) -> DataFrame:
     return recs.groupBy(ident.alias("section_id")).agg(label.alias("label"), F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"), *measures)
 
 
+def in_section(recs: DataFrame, chosen: str | None) -> DataFrame:
+    """The chosen section's rows; all rows if none is chosen or it has no rows. The test is one number, read by every task."""
+    if chosen is None:
+        return recs
+    own = section_id(F.col("menu_tab"), F.col("menu_section")) == chosen
+    there = recs.where(own).limit(1).agg(F.count(F.lit(1))).scalar()
+    return recs.where(own | (there == 0))
+
+
+def hidden_counts(recs: DataFrame, most: float | None, keep_unpriced: bool, price_col: str = "price") -> DataFrame:
+    """One row: what the filters hide (``by_profile``: inferred profiles; ``by_price``: rows of the rest over the budget) and what is shown."""
+    own, fits = has_own_profile(F.col("taste")), within_budget(number_in(F.col(price_col)), most, keep_unpriced)
+    return recs.agg(F.count_if(~own).alias("by_profile"), F.count_if(own & ~fits).alias("by_price"), F.count_if(own & fits).alias("shown"))
+
+
 def top_in_each(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each key. Spark limits each key's rows in each partition before the shuffle."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
