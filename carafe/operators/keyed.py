@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Days for which a match is remembered, and hours for which the state of a job is kept.
-MEMORY_DAYS, JOB_HOURS = 30, 24
+# Fixed value: days for which a match is remembered.
+MEMORY_DAYS = 30
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: Column, most: bool) -> DataFrame:
