@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, line_dedup, packing, secrets, sharding, simhash, substring, toxicity
+from . import chat, decontam, embed_dedup, line_dedup, packing, secrets, sharding, simhash, substring, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(stored.unionByName(forged)))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +105,28 @@ def _lines_sql() -> str:
   SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n, 0) AS n_lines_dropped FROM documents LEFT JOIN c USING (doc_id)"""
 
 
+def _codes_sql() -> str:
+    """The rounds of the codebooks one after another: each assigns all parts, then floors the means."""
+    dot = "list_inner_product({0}, {1})"
+    assign = f"SELECT vec_id, p.part, min({{'d': {dot.format('p.x', 'p.x')} + {dot.format('b.x', 'b.x')} - 2 * {dot.format('p.x', 'b.x')}, 'entry': b.entry}}) AS best FROM p JOIN b@ b ON p.part = b.part GROUP BY vec_id, p.part"
+    rounds = ""
+    for i in range(vector_codes.ROUNDS):
+        rounds += f"""a{i} AS MATERIALIZED ({assign.replace('@', str(i))}),
+  m{i} AS (SELECT part, entry, list(mean ORDER BY pos) AS x FROM (SELECT part, best.entry AS entry, pos, floor(sum(x[pos]) / count(*)) AS mean FROM a{i} JOIN p USING (vec_id, part), w, unnest(range(1, w.size + 1)) AS u(pos) GROUP BY ALL) GROUP BY part, entry),
+  b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{i}.x, b{i}.x) AS x FROM b{i} LEFT JOIN m{i} USING (part, entry)),
+  """
+    last = vector_codes.ROUNDS
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  w AS (SELECT max(len(v)) // {vector_codes.PARTS} AS size FROM k),
+  p AS MATERIALIZED (SELECT vec_id, part, v[part * size + 1:(part + 1) * size] AS x FROM k, w, unnest(range({vector_codes.PARTS})) AS u(part)),
+  s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < {vector_codes.ENTRIES}),
+  b0 AS (SELECT part, entry, x FROM p JOIN s USING (vec_id)),
+  {rounds}a{last} AS MATERIALIZED ({assign.replace('@', str(last))}),
+  c AS (SELECT vec_id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id),
+  h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{last})
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
 _ESCAPED = "(length({0}) + len(regexp_extract_all({0}, '[{1}]')))"
 
 SQL = {
@@ -120,6 +147,7 @@ SQL = {
   g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
     sum({_ESCAPED.format('role', '#<:' + chr(92) * 2)} + {_ESCAPED.format('text', '#<' + chr(92) * 2)} + 14) AS formatted_chars FROM c GROUP BY conv_id)
   SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+    "op13_vector_codes": _codes_sql(),
     "secret_pattern_counts": r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
   p AS (SELECT * FROM (VALUES (0, 'assign', '((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?)([A-Za-z0-9+/_.=-]+)', 8), (1, 'access', '(AKIA)([A-Z0-9]+)', 12), (2, 'hex', '()([0-9a-f]+)', 32)) AS p(place, kind, pattern, least)),
   m AS (SELECT doc_id, place, kind, least, regexp_extract_all(text, pattern, 0) AS whole, regexp_extract_all(text, pattern, 2) AS value, regexp_split_to_array(text, pattern) AS between FROM d, p WHERE len(regexp_extract_all(text, pattern, 0)) > 0),
@@ -133,7 +161,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "secret_pattern_counts": secret_pattern_counts, "shard_loads": shard_loads}
+    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "op13_vector_codes": op13_vector_codes, "secret_pattern_counts": secret_pattern_counts, "shard_loads": shard_loads}
 
 
 def oracle_sql() -> dict[str, str]:
