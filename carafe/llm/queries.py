@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, line_dedup, packing, secrets, sharding, simhash, substring, toxicity, vector_codes
+from . import chat, decontam, divergence, embed_dedup, line_dedup, packing, secrets, sharding, simhash, substring, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(stored.unionByName(forged)))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -147,6 +151,20 @@ SQL = {
   g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
     sum({_ESCAPED.format('role', '#<:' + chr(92) * 2)} + {_ESCAPED.format('text', '#<' + chr(92) * 2)} + 14) AS formatted_chars FROM c GROUP BY conv_id)
   SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+    "op11_divergence": f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+  w AS (SELECT lang, source, row, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.LEAST_DOCS}),
+  l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+  t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * l.v) AS p, 1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) AS q
+    FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+  s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+  terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+  QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
     "op13_vector_codes": _codes_sql(),
     "secret_pattern_counts": r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
   p AS (SELECT * FROM (VALUES (0, 'assign', '((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?)([A-Za-z0-9+/_.=-]+)', 8), (1, 'access', '(AKIA)([A-Z0-9]+)', 12), (2, 'hex', '()([0-9a-f]+)', 32)) AS p(place, kind, pattern, least)),
@@ -161,7 +179,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "op13_vector_codes": op13_vector_codes, "secret_pattern_counts": secret_pattern_counts, "shard_loads": shard_loads}
+    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "op11_divergence": op11_divergence, "op13_vector_codes": op13_vector_codes, "secret_pattern_counts": secret_pattern_counts, "shard_loads": shard_loads}
 
 
 def oracle_sql() -> dict[str, str]:
