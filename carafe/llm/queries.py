@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, divergence, embed_dedup, line_dedup, packing, secrets, sharding, simhash, substring, toxicity, vector_codes
+from . import chat, decontam, divergence, embed_dedup, line_dedup, packing, pii, secrets, sharding, simhash, substring, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -85,6 +90,11 @@ def secret_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
+def pii_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op12_pii`` that SQL can say."""
+    return op12_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the law of ``op5_sharding`` fixes: each shard's rows, its last slot and the bytes of all."""
     placed = op5_sharding(spark, sf_dir)
@@ -173,13 +183,23 @@ SQL = {
   s AS (SELECT doc_id, place, kind, CAST(list_sum(list_transform(between[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda t: length(t))), 0) AS BIGINT) AS start, length(whole[i]) AS size FROM x WHERE length(value[i]) >= least),
   j AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, place) AS spans FROM s GROUP BY doc_id)
   SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN j USING (doc_id)""",
+    "pii_pattern_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  p AS (SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) AS p(place, kind, pattern)),
+  m AS (SELECT doc_id, place, kind, regexp_extract_all(text, pattern, 0) AS whole, regexp_split_to_array(text, pattern) AS between FROM d, p WHERE len(regexp_extract_all(text, pattern, 0)) > 0),
+  x AS (SELECT *, generate_subscripts(whole, 1) AS i FROM m),
+  s AS (SELECT doc_id, place, kind, whole[i] AS found, regexp_replace(whole[i], '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(between[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda t: length(t))), 0) AS BIGINT) AS start FROM x),
+  h AS (SELECT * FROM s WHERE CASE place WHEN 0 THEN true WHEN 3 THEN length(digits) BETWEEN 10 AND 15
+    WHEN 1 THEN len(list_filter(string_split(found, '.'), lambda o: length(ltrim(o, '0')) > 3 OR CAST('0' || left(ltrim(o, '0'), 3) AS INTEGER) > 255)) = 0
+    ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda c, j: CASE WHEN j % 2 = 1 THEN CAST(c AS INTEGER) ELSE CAST(c AS INTEGER) * 2 - CASE WHEN c > '4' THEN 9 ELSE 0 END END)) % 10 = 0 END),
+  j AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_email, count(*) FILTER (place = 1) AS n_ip, count(*) FILTER (place = 2) AS n_card, count(*) FILTER (place = 3) AS n_phone, string_agg(kind || ':' || start || ':' || (start + length(found)), ',' ORDER BY start, place) AS spans FROM h GROUP BY doc_id)
+  SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN j USING (doc_id)""",
     "shard_loads": """SELECT CAST(s AS INTEGER) AS shard, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS n, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END - 1 AS last_slot, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS slots
   FROM range(40) AS r(s), (SELECT count(*) AS n FROM documents WHERE doc_id IS NOT NULL)""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "op11_divergence": op11_divergence, "op13_vector_codes": op13_vector_codes, "secret_pattern_counts": secret_pattern_counts, "shard_loads": shard_loads}
+    return {"pipeline": pipeline, "op1_line_dedup": op1_line_dedup, "op2_secrets": op2_secrets, "op3_packing": op3_packing, "op4_embeddings": op4_embeddings, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_chat": op10_chat, "op11_divergence": op11_divergence, "op12_pii": op12_pii, "op13_vector_codes": op13_vector_codes, "secret_pattern_counts": secret_pattern_counts, "pii_pattern_counts": pii_pattern_counts, "shard_loads": shard_loads}
 
 
 def oracle_sql() -> dict[str, str]:
