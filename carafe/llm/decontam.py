@@ -314,6 +314,7 @@ _MATCH = "doc_id long, item_id long, distance int, item_words int, end_word long
 
 
 def _search(batches: Iterator[pa.RecordBatch], indexes: list, similarity: float) -> Iterator[pa.RecordBatch]:
+    opened = [Index(**shared.value) for shared in indexes]
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
         data, limits = utf8(batch.column(1))
@@ -321,7 +322,7 @@ def _search(batches: Iterator[pa.RecordBatch], indexes: list, similarity: float)
             part, lim = data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]
             starts, ends, first = word_spans(part, lim, terms=True)
             words = word_hashes(part, starts, ends, lower=True)
-            for index in (shared.value for shared in indexes):
+            for index in opened:
                 rows += [(doc_ids[a + doc], index.ids[item], distance, int(index.ends[item + 1] - index.ends[item]), end - int(first[doc])) for (doc, item), (distance, end) in sorted(_best_places(words, first, index, similarity).items())]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
@@ -358,7 +359,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         shared = []
         for k in range(at, min(at + BLOCKS_PER_PASS, blocks)):
             block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-            shared.append(spark.sparkContext.broadcast(build_index(sorted((tuple(r) for r in block), key=lambda r: (r[0], r[1] or "")), similarity)))
+            # plain arrays: workers need not import this module
+            shared.append(spark.sparkContext.broadcast(vars(build_index(sorted((tuple(r) for r in block), key=lambda r: (r[0], r[1] or "")), similarity))))
         found.append(picked.mapInArrow(lambda it, shared=shared: _search(it, shared, similarity), _MATCH))
     return union_all(found)
 

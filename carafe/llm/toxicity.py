@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_machine([terms[i] for i in order], label[order])
 
 
-def _score(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], fields: dict) -> Iterator[pa.RecordBatch]:
+    machine = Machine(**fields)
     for batch in batches:
         out = np.full(len(batch), 0.0)
         done = 0
@@ -151,7 +152,7 @@ def _score(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.R
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(machine))  # plain arrays: workers need not import this module
     picked = one_row_per_document(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = picked.mapInArrow(lambda it: _score(it, shared.value), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -159,7 +160,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold; without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(machine))  # plain arrays: workers need not import this module
     names = [f"c{i}" for i in range(len(docs.columns))]
     wide = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
