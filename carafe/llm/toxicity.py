@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on at most ``SAMPLE`` labelled documents that aren't held out."""
     usable = one_row_per_document(labels, id_col).where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = usable.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id")
+    # one text an id, so that rows which repeat a labelled id don't come to the driver
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     rows = texts.select("label", "text").mapInArrow(_term_rows, "label int, terms binary").toArrow()
     terms = [np.frombuffer(x, "<u4") for x in rows.column("terms").to_pylist()]
     order = sorted(range(len(terms)), key=lambda i: terms[i].tobytes())  # a fixed order, whatever the partitions are
