@@ -1,35 +1,49 @@
 """Menu candidates against a catalogue.
 
 Retrieval is that of searches that need every word: a catalogue entry is a hit if it has all words of one of a candidate's searches
-(``identity.search_plan``, at most three). Each search is looked up only under its rarest word (catalogue counts decide), so a common word
-is never a join key unless all words are common, and adaptive execution can split the join where it is. Hits are scored, and the best stays.
+(``identity.search_plan``, at most three, the most specific first), found by a containment join. Later searches count only while the earlier ones have found
+no decisive hit and no confident one by its cuvée alone. An entry may be listed with several vintages; which of them is kept is an ordered choice by
+vintage and identity. The best hit stays.
 
-Defined results: candidates without search words or hits come out with nulls. Ties go to the smallest catalogue id. Empty tables give an
-empty result, or candidates without hits.
+Scale. The ordered choice gathers one candidate's vintages of one entry. Nothing else is gathered; conflicts and scores are column expressions over pairs.
+
+Defined results: candidates without search words or hits come out with nulls. Ties go to the smallest catalogue id. Repeated catalogue rows change nothing.
+Empty tables give an empty result, or candidates without hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import compare_grapes, compare_vintages, has_word, identity_score, identity_words, menu_identity_text, search_plan, specificity
-from ..functions.style import RED_STYLES, WHITE_STYLES, style_key
+from ..functions.profile import name_for
+from ..functions.style import RED_STYLES, WHITE_STYLES
 from ..functions.taste import match_scale, status_of
 from ..functions.text import identity_text
+from .containment import LIMIT, contained
+from .cut import cut
+from .styles import dictionary, styles_of
+
+# The least identity that counts, the one that is sure, and the one that ends the search.
+LEAST, CONFIDENT, DECISIVE = 0.6, 0.75, 0.85
+MOST_SEARCHES = 3
+GUESS_CAP = 0.58
+_RANKS = {"exact": 3, "unconstrained": 2, "unknown": 1, "conflict": 0}
+
+
+def _entry_words(catalogue: DataFrame) -> DataFrame:
+    """set(winery, name), words: each entry once, whatever its vintages."""
+    entry = F.struct(F.coalesce("winery", F.lit("")).alias("winery"), F.coalesce("name", F.lit("")).alias("name"))
+    return catalogue.select(entry.alias("set")).distinct().select("set", F.array_distinct(identity_words(F.concat_ws(" ", "set.winery", "set.name"), False)).alias("words"))
+
 
-def retrieve(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """candidate_id, wine_id: entries that have all words of one of the candidate's searches."""
+def retrieve(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """candidate_id, plan, winery, name: entries that have all words of one of the candidate's searches, and the first search that finds them."""
     plan = search_plan({f: F.col(f) for f in ("raw_text", "producer", "label")} | {"region": F.col("region") if "region" in candidates.columns else F.lit(None).cast("string")})
-    asked = candidates.select("candidate_id", F.posexplode(plan).alias("_plan", "_asked"))
-    offered = catalogue.select("wine_id", F.array_distinct(identity_words(F.concat_ws(" ", "winery", "name"), False)).alias("_has"))
-    posted = offered.select("wine_id", "_has", F.explode("_has").alias("_word"))
-    counts = posted.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    each = asked.select("candidate_id", "_plan", "_asked", F.explode("_asked").alias("_word")).join(counts, "_word")
-    # a word that the catalogue lacks leaves the search without hits
-    rarest = each.groupBy("candidate_id", "_plan").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.first("_asked").alias("_asked"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == F.size("_asked"))
-    found = rarest.join(posted, "_word").where(F.size(F.array_except("_asked", "_has")) == 0)
-    return found.select("candidate_id", "wine_id").distinct()
+    asked = candidates.select("candidate_id", F.posexplode(plan).alias("_plan", "words")).select(F.struct("candidate_id", F.col("_plan").alias("plan")).alias("search"), "words")
+    found = contained(asked, _entry_words(catalogue), limit)
+    return found.groupBy("search.candidate_id", "set").agg(F.min("search.plan").alias("plan")).select("candidate_id", "plan", "set.winery", "set.name")
 
 
 def producers_with_cuvee(hits: DataFrame, keys: list[str], cuvee: str, winery: str = "winery", name: str = "name") -> DataFrame:
@@ -40,34 +54,94 @@ def producers_with_cuvee(hits: DataFrame, keys: list[str], cuvee: str, winery: s
     return hits.groupBy(*keys).agg(F.count_distinct(producer).alias("n_producers"))
 
 
-def colours_conflict(row_text, hit_name):
-    colour = lambda t: F.when(t.isin(RED_STYLES), "red").when(t.isin(WHITE_STYLES), "white")
-    return F.coalesce(colour(style_key(row_text)) != colour(style_key(hit_name)), F.lit(False))
+def with_colours(candidates: DataFrame, catalogue: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``_colour``: red or white by the style of the row's text or the entry's name, null if neither is said."""
+    texts = candidates.select(F.col("raw_text").alias("text")).unionByName(catalogue.select(F.col("name").alias("text")))
+    key = F.col("key")
+    known = styles_of(texts, entries).select("text", F.when(key.isin(RED_STYLES), "red").when(key.isin(WHITE_STYLES), "white").alias("_colour"))
+    of = lambda df, name: df.join(known, F.col(name) == F.col("text"), "left").drop("text")
+    return of(candidates, "raw_text"), of(catalogue, "name")
 
 
-def best_hits(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One row per candidate: candidate_id, wine_id, identity, vintage, match_confidence, status.
+def winery_key(winery: Column) -> Column:
+    return F.trim(F.regexp_replace(identity_text(winery), "[^a-z0-9]+", " "))
 
-    ``candidates`` has candidate_id, raw_text, producer, label, menu_section, varietal, vintage; ``catalogue`` wine_id, winery, name, region,
-    year. Ranked by identity, with small bonuses for the exact vintage and a named cuvée. Contradicting grapes and colours are no hits; an appellation guess among several of a winery's entries is capped, and a match
-    without a producer needs that no other producer has the words.
-    """
-    c, w = candidates.alias("c"), catalogue.alias("w")
-    pairs = retrieve(candidates, catalogue).alias("p").join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, F.col("p.wine_id") == F.col("w.wine_id"))
+
+def _scored(candidates: DataFrame, catalogue: DataFrame, limit: int, entries: DataFrame | None = None) -> DataFrame:
+    """candidate_id, plan, wine_id, hit, rank, judged: every listed vintage of every entry found that contradicts neither grapes nor colour."""
+    rows, listed = with_colours(candidates, catalogue.withColumns({f: F.coalesce(f, F.lit("")) for f in ("winery", "name")}).distinct(), dictionary(candidates.sparkSession) if entries is None else entries)
+    c, w = rows.alias("c"), listed.alias("w")
+    found = retrieve(candidates, catalogue, limit).alias("p")
+    pairs = found.join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, (F.col("p.winery") == F.col("w.winery")) & (F.col("p.name") == F.col("w.name")))
     row = {f: F.col(f"c.{f}") for f in ("raw_text", "producer", "label", "menu_section", "varietal")}
-    hit = {f: F.col(f"w.{f}") for f in ("winery", "name", "region")}
     region = F.col("c.region") if "region" in candidates.columns else F.lit(None).cast("string")
-    blended = compare_grapes(F.col("c.label"), F.col("c.varietal"), F.col("c.producer"), F.col("c.raw_text"), F.col("w.name"), region)
-    pairs = pairs.where((blended != "conflict") & ~colours_conflict(F.col("c.raw_text"), F.col("w.name")))
-    vintage = compare_vintages(F.col("c.vintage"), menu_identity_text(F.col("c.label"), F.col("c.raw_text"), region), F.col("w.year"), F.col("w.name"))
-    scored = pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("w.wine_id").alias("wine_id"), F.lower("w.winery").alias("_winery"), vintage.alias("vintage"), identity_score(row, hit).alias("_s"), specificity(F.col("c.raw_text"), F.col("w.winery"), F.col("w.name")).alias("_bonus"))
-    around = scored.groupBy("candidate_id", F.col("_winery").alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
-    per_candidate = around.groupBy(F.col("candidate_id").alias("_c")).agg(F.count(F.lit(1)).alias("_producers"))
-    known = scored.join(around.withColumnRenamed("candidate_id", "_i"), (F.col("candidate_id") == F.col("_i")) & (F.col("_winery") == F.col("_w"))).join(per_candidate, F.col("candidate_id") == F.col("_c"))
-    score = F.when(F.col("_s.appellation_guess") & (F.col("_n") > 1), F.least(F.col("_s.score"), F.lit(0.58))).otherwise(F.col("_s.score"))
-    known = known.where(~(F.col("_s.without_producer") & (F.col("_producers") > 1))).withColumn("identity", score)
-    order = F.struct(F.col("identity") + F.when(F.col("vintage") == "exact", 0.02).otherwise(0.0) + F.col("_bonus"), -F.col("wine_id"))
-    best = known.groupBy("candidate_id").agg(F.max_by(F.struct("wine_id", "identity", "vintage"), order).alias("_b")).select("candidate_id", "_b.*")
+    blended = compare_grapes(row["label"], row["varietal"], row["producer"], row["raw_text"], F.col("w.name"), region)
+    pairs = pairs.where((blended != "conflict") & F.coalesce(F.col("c._colour") == F.col("w._colour"), F.lit(True)))
+    vintage = compare_vintages(F.col("c.vintage"), menu_identity_text(row["label"], row["raw_text"], region), F.col("w.year"), F.col("w.name"))
+    extra = [F.col(f"w.{f}") for f in catalogue.columns if f not in ("wine_id", "winery", "name", "region", "year")]
+    hit = F.struct(F.col("w.winery"), F.col("w.name"), F.col("w.region"), F.col("w.year"), *extra, specificity(row["raw_text"], F.col("w.winery"), F.col("w.name")).alias("bonus"), vintage.alias("vintage"))
+    judged = identity_score(row, {f: F.col(f"w.{f}") for f in ("winery", "name", "region")})
+    ranks = F.create_map(*[F.lit(x) for pair in _RANKS.items() for x in pair])
+    return pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("p.plan").alias("plan"), F.col("w.wine_id").alias("wine_id"), hit.alias("hit"), ranks[vintage].alias("rank"), judged.alias("judged"))
+
+
+def _kept(scored: DataFrame) -> DataFrame:
+    """candidate_id, wine_id, hit, judged after the last search that counts: a later vintage replaces the kept one if it fits better, or as well with a
+    higher score; the better score of both stays with what it says of the producer."""
+    steps = scored.withColumn("upto", F.explode(F.sequence(F.col("plan"), F.lit(MOST_SEARCHES - 1))))
+    item = F.struct("plan", F.col("hit.year").alias("year"), F.col("hit.name").alias("name"), "rank", "hit", "judged")
+    rows = steps.groupBy("candidate_id", "upto", "wine_id").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+
+    def step(kept: Column, x: Column) -> Column:
+        better = (x["rank"] > kept["rank"]) | ((x["rank"] == kept["rank"]) & (x["judged"]["score"] > kept["judged"]["score"]))
+        judged = F.when(kept["judged"]["score"] > x["judged"]["score"], kept["judged"]).otherwise(x["judged"])
+        return F.when(better, F.struct(x["plan"].alias("plan"), x["year"].alias("year"), x["name"].alias("name"), x["rank"].alias("rank"), x["hit"].alias("hit"), judged.alias("judged"))).otherwise(kept)
+
+    folded = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows"), F.lit(1))), F.get("_rows", F.lit(0)), step)
+    states = rows.select("candidate_id", "upto", "wine_id", folded.alias("_k")).select("candidate_id", "upto", "wine_id", "_k.hit", "_k.judged")
+    enough = (F.col("judged.score") >= DECISIVE) | (F.col("judged.without_producer") & (F.col("judged.score") >= CONFIDENT))
+    last = states.groupBy("candidate_id").agg(F.coalesce(F.min(F.when(enough, F.col("upto"))), F.lit(MOST_SEARCHES - 1)).alias("upto"))
+    return states.join(last, ["candidate_id", "upto"]).drop("upto")
+
+
+def best_matches(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT, entries: DataFrame | None = None) -> DataFrame:
+    """candidate_id, wine_id, identity, hit: each candidate's best hit, with no regard to whether it is good enough.
+
+    ``candidates`` has candidate_id, raw_text, producer, label, menu_section, varietal, vintage, and region if it is known; ``catalogue`` wine_id,
+    winery, name, region, year and whatever shall come along in ``hit``; ``entries`` is a style dictionary (``styles.dictionary``) for the colours. Ranked by identity, with small bonuses for the exact vintage and a
+    named cuvée. An appellation guess among several of a winery's entries is capped. A match on the cuvée alone needs that the
+    catalogue has no second producer of it.
+    """
+    kept = cut(_kept(_scored(candidates, catalogue, limit, entries))).withColumn("_winery", winery_key(F.col("hit.winery")))
+    around = kept.groupBy("candidate_id", "_winery").agg(F.count(F.lit(1)).alias("_n"))
+    capped = F.when(F.col("judged.appellation_guess") & (F.col("_n") > 1), F.least(F.col("judged.score"), F.lit(GUESS_CAP))).otherwise(F.col("judged.score"))
+    known = kept.join(around, ["candidate_id", "_winery"]).withColumn("identity", capped)
+    order = F.struct(F.col("identity") + F.when(F.col("hit.vintage") == "exact", 0.02).otherwise(0.0) + F.col("hit.bonus"), -F.col("wine_id"))
+    best = cut(known.groupBy("candidate_id").agg(F.max_by(F.struct("wine_id", "identity", "hit", "judged"), order).alias("_b")).select("candidate_id", "_b.*"))
+    doubtful = best.where(F.col("judged.without_producer") & (F.col("identity") >= LEAST)).select("candidate_id", F.col("judged.cuvee").alias("cuvee"))
+    by_cuvee = contained(doubtful.select(F.struct("candidate_id", "cuvee").alias("search"), F.col("cuvee").alias("words")), _entry_words(catalogue), limit)
+    makers = by_cuvee.select("search.candidate_id", "search.cuvee", "set.winery", "set.name").unionByName(doubtful.join(known.select("candidate_id", "hit.winery", "hit.name"), "candidate_id"))
+    shared = producers_with_cuvee(makers, ["candidate_id", "cuvee"], "cuvee").where("n_producers > 1")
+    return best.join(shared.select("candidate_id"), "candidate_id", "left_anti").select("candidate_id", "wine_id", "identity", "hit")
+
+
+def best_hits(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT, entries: DataFrame | None = None) -> DataFrame:
+    """One row per candidate: candidate_id, wine_id, identity, vintage, match_confidence, status."""
+    best = best_matches(candidates, catalogue, limit, entries).select("candidate_id", "wine_id", "identity", "hit.vintage")
     out = candidates.select("candidate_id").join(best, "candidate_id", "left")
     matched = F.when(F.col("identity").isNotNull(), match_scale(F.col("identity"))).otherwise(0.0)
     return out.withColumn("match_confidence", matched).withColumn("status", status_of(F.col("match_confidence")))
+
+
+def lookup(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT, entries: DataFrame | None = None) -> DataFrame:
+    """The profile of each candidate that has a match good enough: candidate_id, wine_id, match_score, display_name, producer, label, vintage, region, and
+    the other columns of the catalogue. The year is that of the hit only if the menu asks for it; else the label goes without it."""
+    best = best_matches(candidates, catalogue, limit, entries).where(F.col("identity") >= LEAST)
+    mine = candidates.select("candidate_id", F.col("producer").alias("_producer"), F.col("label").alias("_label"), F.col("vintage").alias("_vintage"), (F.col("region") if "region" in candidates.columns else F.lit(None).cast("string")).alias("_region"))
+    same, said = F.col("hit.vintage") == "exact", lambda c: F.when(c != "", c)
+    named = best.join(mine, "candidate_id").withColumn("_shown", name_for(F.col("hit.name"), same))
+    rest = [F.col(f"hit.{f}") for f in catalogue.columns if f not in ("wine_id", "winery", "name", "region", "year")]
+    return named.select(
+        "candidate_id", "wine_id", match_scale(F.col("identity")).alias("match_score"), F.concat_ws(" ", said(F.col("hit.winery")), said(F.col("_shown"))).alias("display_name"), F.coalesce(said(F.col("hit.winery")), "_producer").alias("producer"),
+        F.coalesce(said(F.col("_shown")), "_label").alias("label"), F.when(same, F.col("hit.year")).otherwise(F.col("_vintage")).alias("vintage"), F.coalesce(said(F.col("hit.region")), "_region").alias("region"), *rest,
+    )

@@ -1,6 +1,6 @@
 """The analysis API and the registered queries."""
 
-from . import lines, photos, profiles, records  # noqa: F401
+from . import catalogue, lines, photos, profiles, records  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -425,28 +425,3 @@ def vector_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = recommendations(spark, sf_dir).withColumn("amount", prices.number_in(F.col("price"))).where("amount is not null")
     return priced.groupBy("p_brand").agg(F.min_by("candidate_id", F.struct("amount", "candidate_id")).alias("cheapest"), F.max_by("candidate_id", F.struct("amount", -F.col("candidate_id"))).alias("dearest"))
-
-
-@query("style_tastes")
-def style_tastes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Style and inferred taste of lines made from parts; tests hold them against worked cases."""
-    from ..functions import style
-
-    k = F.col("p_partkey") % 5
-    line = F.concat_ws(" ", "p_name", F.when(k == 0, "Pinot Noir").when(k == 1, "Riesling").when(k == 2, "Brut Rosé").when(k == 3, "Gin"))
-    none = F.lit(None).cast("string")
-    df = table(spark, sf_dir, "part").select("p_partkey", style.choose_style(line, none, none, none, none, F.lit("Red wines"), none).alias("style"))
-    return df.select("p_partkey", "style.key", "style.specific", style.inferred_taste(F.col("style"), none).alias("taste")).select("p_partkey", "key", "specific", "taste.body", "taste.acidity", "taste.tannin", "taste.sweetness", "taste.confidence")
-
-
-@query("catalogue_match")
-def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' wares as menu rows against the parts as a catalogue; tests hold the score against worked cases."""
-    from ..operators import matching
-
-    p = table(spark, sf_dir, "part")
-    # one word a winery, so that its entries are a small part of the catalogue, as in a real one
-    winery = F.concat(F.translate(F.concat(F.regexp_extract("p_brand", "[0-9]+", 0), F.lpad(F.col("p_size").cast("string"), 2, "0")), "0123456789", "abcdefghij"), F.lit("hill"))
-    catalogue = p.select(F.col("p_partkey").alias("wine_id"), winery.alias("winery"), F.col("p_name").alias("name"), F.lower("p_type").alias("region"), (2000 + F.col("p_size") % 20).alias("year"))
-    rows = catalogue.select(F.col("wine_id").alias("candidate_id"), F.concat_ws(" ", "winery", "name").alias("raw_text"), F.col("winery").alias("producer"), F.col("name").alias("label"), F.lit("Red").alias("menu_section"), F.lit(None).cast("string").alias("varietal"), F.col("year").alias("vintage"))
-    return matching.best_hits(rows, catalogue)

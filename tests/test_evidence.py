@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carafe.functions import identity, profile, rows
-from carafe.operators import jobs, matching
+from carafe.operators import jobs
 
 
 def values(spark, cases, schema, expr):
@@ -56,11 +56,7 @@ def test_searches_go_from_the_most_specific_on(spark):
     assert got == [[["tempier", "migoua"], ["tempier"]], [], [["ridge"], ["ridge", "zinfandel"]]]
 
 
-def test_a_named_wine_beats_another_of_the_winery(spark):
-    menu = spark.createDataFrame([(1, "Bocelli Alcide 2015", "Bocelli", "Alcide", "Red", None, 2015), (2, "Nothing here", "Nothing", "here", "Red", None, None)], "candidate_id long, raw_text string, producer string, label string, menu_section string, varietal string, vintage int")
-    wines = spark.createDataFrame([(10, "Bocelli", "Alcide 2014", "Toscana", 2014), (11, "Bocelli", "Sangiovese 2015", "Toscana", 2015), (12, "Other", "Alcide", "Toscana", 2015)], "wine_id long, winery string, name string, region string, year int")
-    got = {r.candidate_id: r for r in matching.best_hits(menu, wines).collect()}
-    assert got[1].wine_id == 10 and got[1].status != "unmatched" and got[2].wine_id is None
+def test_a_named_cuvee_earns_a_bonus(spark):
     bonus = values(spark, [("Bocelli Alcide", "Bocelli", "Alcide"), ("Bocelli Alcide", "Bocelli", "Sangiovese Riserva Speciale Tenuta Alta Quercia"), ("Bocelli", "Bocelli", "Bocelli")], "r string, w string, n string", identity.specificity(F.col("r"), F.col("w"), F.col("n")))
     assert bonus == pytest.approx([0.025, -0.01, 0.0])
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from carafe.operators import jobs, keyed, layout, matching
+from carafe.operators import jobs, keyed, layout
 from carafe.operators.ranking import in_budget
 from carafe.streaming import job_status
 
@@ -80,14 +80,6 @@ def test_budget_and_unpriced_rows(spark):
     assert in_budget(df, 10.0, True).count() == 3 and in_budget(df, 10.0, False).count() == 1 and in_budget(df, None, False).count() == 2
 
 
-def test_matching_without_hits_and_empty_tables(spark):
-    c = spark.createDataFrame([(1, "Ridge 'Lytton Springs' 2018", "Ridge", "Lytton Springs", None, None, 2018), (2, None, None, None, None, None, None), (3, "Nobody", "Nobody", "Nothing", None, None, None)], "candidate_id long, raw_text string, producer string, label string, menu_section string, varietal string, vintage int")
-    w = spark.createDataFrame([(10, "Ridge", "Lytton Springs", "Dry Creek Valley", 2018), (11, "Ridge", "Geyserville", None, None)], "wine_id long, winery string, name string, region string, year int")
-    got = {r["candidate_id"]: (r["wine_id"], r["status"]) for r in matching.best_hits(c, w).collect()}
-    assert got == {1: (10, "matched"), 2: (None, "unmatched"), 3: (None, "unmatched")}
-    assert matching.best_hits(c.limit(0), w).count() == 0
-
-
 def test_a_terminal_status_stays_in_the_stream(spark, tmp_path):
     first = [("j", 1, "queued"), ("j", 2, "completed"), ("k", 1, "processing")]
     second = [("j", 3, "failed"), ("k", 2, "failed"), ("k", 3, "completed")]
