@@ -300,16 +300,6 @@ def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.section_header(line).alias("header"))
 
 
-@query("menu_candidates")
-def menu_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Menus written from the parts of a supplier's nation are read back to candidates."""
-    p = table(spark, sf_dir, "part")
-    title = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.initcap(w)), " ")
-    line = F.concat(F.lit("Domaine "), title, F.lit(" '"), F.initcap(F.lower("p_type")), F.lit("' "), (1990 + F.col("p_partkey") % 30).cast("string"), F.lit(" $"), (F.col("p_size") + 20).cast("string"))
-    docs = p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("Red wines\n")).otherwise("White\n"), line).alias("text"))
-    return menu.parse_menus(docs)
-
-
 @query("median_upper", "SELECT l_suppkey, l_quantity AS median FROM (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WHERE l_quantity IS NOT NULL) WHERE r = n // 2 + 1")
 def median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.upper_median(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")
