@@ -193,17 +193,6 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("href"))
 
 
-@query("page_lines")
-def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The visible lines of pages; the noise strip needs a reference back, so tests hold it against small pages."""
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.visible_lines(F.col("html"))).alias("pos", "line"))
-
-
-@query("page_tokens")
-def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.leaf_tokens(F.col("html"))).alias("pos", "token")).select("page_id", "pos", "token.*")
-
-
 @query("price_parse", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '$' || a WHEN 1 THEN '$' || greatest(a, b) WHEN 2 THEN '$' || greatest(a, b) WHEN 3 THEN '€' || a WHEN 4 THEN 'EUR ' || a ELSE CASE WHEN b BETWEEN 5 AND 2000 THEN '$' || b END END AS price
   FROM (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS a, CAST(p_size AS BIGINT) AS b FROM part)""")
 def price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
