@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import rounded
 
 LINE_KEY = ["page", "block", "paragraph", "line"]
 
@@ -52,9 +51,16 @@ def lines(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.withColumn("center", (F.col("left") + F.col("right")) / 2)
 
 
-def reading_order(y: Column, x: Column, bucket: float = 0.015) -> list[Column]:
-    """From top (large y) to bottom in buckets, then from the left."""
-    return [rounded(y / bucket).desc(), x.asc()]
+def reading_lines(words: DataFrame, keys: list[str], y: str, x: str, gap: float = 0.015, *ties: str) -> DataFrame:
+    """The rows with ``line`` and ``place``, both from 0: from top (large y) to bottom, lines from the left.
+
+    A line goes on as long as the next word down is no more than ``gap`` below the one before, wherever that lies, so a line that a tilt or a
+    bound between buckets would part stays whole. Words without a place come last, in a line of their own. Equal places are told apart by ``ties``. A page is one window.
+    """
+    down = Window.partitionBy(*keys).orderBy(F.col(y).desc_nulls_last(), F.col(x), *ties)
+    breaks = F.coalesce((F.lag(y).over(down) - F.col(y) <= gap) | (F.lag(y).over(down).isNull() & F.col(y).isNull() & (F.row_number().over(down) > 1)), F.lit(False))
+    lined = words.withColumn("_new", (~breaks).cast("int")).withColumn("line", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+    return lined.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("line", F.col(x), F.col(y).desc_nulls_last(), *ties)) - 1)
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
