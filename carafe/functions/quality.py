@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import COLOURS, REGIONS, VARIETALS
 from .prices import YEAR
-from .text import QUOTES, first_hint, let, quality_text, to_fixed
+from .text import QUOTES, let, quality_text, to_fixed
 
 ACCEPTED = 0.55
 
@@ -17,40 +20,48 @@ def unit(x: Column) -> Column:
 
 
 def _base(plain: Column) -> Column:
-    """What a text's words are worth; ``plain`` is its ``quality_text``. Words are split once and tested without patterns, which cost most here."""
+    """What a text's words are worth; ``plain`` is its ``quality_text``. Only words with a letter count.
+
+    All are counted on the whole string by compiled functions: arrays of words, and functions over them, are interpreted. What nearly every word
+    would match is counted by what few do (words without letters, short words), as each match costs.
+    """
     def of(q: Column) -> Column:
-        def counted(tokens: Column) -> Column:
-            count = lambda test: F.size(F.filter(tokens, test))
-            spoken = lambda t: F.length(F.translate(t, "aeiouy", "")) < F.length(t)
-            return F.struct(
-                F.size(tokens).alias("n"), count(lambda t: F.length(t) >= 3).alias("strong"), F.exists(tokens, lambda t: F.length(t) >= 5).alias("long"), count(spoken).alias("vowels"), count(lambda t: F.length(t) <= 2).alias("short"),
-                count(lambda t: (F.length(t) >= 2) & (t == F.repeat(F.substring(t, 1, 1), F.length(t)))).alias("same"), F.exists(tokens, lambda t: (F.length(t) <= 3) & ~spoken(t)).alias("bare"),
-                F.length(F.regexp_replace(q, "[^a-z]+", "")).alias("letters"), F.length(F.replace(q, F.lit(" "), F.lit(""))).alias("size"),
-            )
-        # a word with a letter is one that capitals change
-        return let(F.filter(F.split(q, " "), lambda t: F.upper(t) != t), counted)
+        count = lambda pattern: F.size(F.regexp_extract_all(q, F.lit(pattern), F.lit(0)))
+        return F.struct(
+            F.length(q).alias("all"), F.length(F.replace(q, F.lit(" "), F.lit(""))).alias("size"), count("(?:^| )[^a-z ]+(?= |$)").alias("mute"), count("(?:^| )(?:[a-z][^ ]?|[^a-z ][a-z])(?= |$)").alias("short"), count(r"(?:^| )([a-z])\1+(?= |$)").alias("same"),
+            q.rlike("(?:^| )(?=[^ ]*[a-z])[^ ]{5}").alias("long"), q.rlike("[aeiouy]").alias("voiced"), q.rlike("[aeiouy][^ ]* (?:[^ ]+ )*?[^ ]*[aeiouy]").alias("twice"),
+            (~q.rlike("[aeiouy]") & q.rlike("(?:^| )(?=[^ ]{1,3}(?: |$))[^ ]*[a-z]")).alias("bare"), F.length(F.translate(q, "abcdefghijklmnopqrstuvwxyz", "")).alias("other"),
+        )
+
+    def told(x: Column) -> Column:
+        n = F.when(x["all"] == 0, 0).otherwise(x["all"] - x["size"] + 1 - x["mute"])
+        return F.struct(n.alias("n"), (n - x["short"]).alias("strong"), (x["all"] - x["other"]).alias("letters"), *[x[f].alias(f) for f in ("short", "same", "long", "voiced", "twice", "bare", "size")])
 
     def summed(x: Column) -> Column:
         score = x["letters"] / F.greatest(F.lit(1), x["size"]) * 0.35 + F.when(x["strong"] >= 2, 0.25).when(x["strong"] == 1, 0.12).otherwise(0.0)
-        score = score + F.when(x["long"], 0.08).otherwise(0.0) + F.when(x["vowels"] >= F.least(F.lit(2), x["n"]), 0.12).otherwise(0.0)
+        score = score + F.when(x["long"], 0.08).otherwise(0.0) + F.when(F.when(x["n"] >= 2, x["twice"]).otherwise(x["voiced"] | (x["n"] == 0)), 0.12).otherwise(0.0)
         score = score - F.least(F.lit(0.14), F.try_divide(x["short"], x["n"]) * 0.14) - F.least(F.lit(0.14), F.try_divide(x["same"], x["n"]) * 0.14)
-        return F.when(x["n"] > 0, score - F.when(x["bare"] & (x["vowels"] == 0), 0.18).otherwise(0.0))
-    return let(let(F.lower(plain), of), summed)
+        return F.when(x["n"] > 0, score - F.when(x["bare"], 0.18).otherwise(0.0))
+    return let(let(let(F.lower(plain), of), told), summed)
 
 
 def _marks(text: Column) -> Column:
-    return F.when(text.rlike(f"[{QUOTES}]"), 0.08).otherwise(0.0) + F.when(text.rlike(",| - |:"), 0.05).otherwise(0.0)
+    any_of = lambda *marks: reduce(or_, (text.contains(m) for m in marks))
+    return F.when(any_of(*QUOTES), 0.08).otherwise(0.0) + F.when(any_of(",", " - ", ":"), 0.05).otherwise(0.0)
 
 
 def _of_base(base: Column, text: Column) -> Column:
-    return F.when(base.isNotNull(), unit(base + _marks(text))).otherwise(F.lit(0.0))
+    return let(base, lambda b: F.when(b.isNotNull(), unit(b + _marks(text))).otherwise(F.lit(0.0)))
 
 
 def _notes(base: Column, low: Column) -> Column:
     add = lambda test, x: F.when(test, x).otherwise(0.0)
-    score = _of_base(base, low) * 0.8 + add(low.contains(","), 0.05) + add(first_hint(low, VARIETALS).isNotNull(), 0.08) + add(first_hint(low, REGIONS).isNotNull(), 0.08)
-    score = score + add(first_hint(low, COLOURS).isNotNull(), 0.05) + add(low.rlike(YEAR), 0.04)
-    return F.when(low != "", unit(score)).otherwise(F.lit(0.0))
+    any_of = lambda t, hints: reduce(or_, (t.contains(h) for h in hints))
+
+    def of(t: Column) -> Column:
+        score = _of_base(base, t) * 0.8 + add(t.contains(","), 0.05) + add(any_of(t, VARIETALS), 0.08) + add(any_of(t, REGIONS), 0.08)
+        return F.when(t != "", unit(score + add(any_of(t, COLOURS), 0.05) + add((t.contains("19") | t.contains("20")) & t.rlike(YEAR), 0.04))).otherwise(F.lit(0.0))
+    return let(low, of)
 
 
 def text_quality(text: Column) -> Column:

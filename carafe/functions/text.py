@@ -5,6 +5,7 @@ Null texts are empty in the ``*_text`` and ``*_field`` folds and stay null elsew
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ CORRECTIONS = [(r"(?<![A-Za-z0-9_])Rhone(?![A-Za-z0-9_])", "Rhône"), (r"(?<![A-
 # Named entities of page texts and of page titles, which differ in the dashes.
 ENTITIES = {"apos": "'", "copy": "©", "emsp": " ", "ensp": " ", "gt": ">", "lt": "<", "nbsp": " ", "ndash": "-", "mdash": "-", "quot": '"', "rsquo": "'", "lsquo": "'", "rdquo": '"', "ldquo": '"', "thinsp": " ", "eacute": "é", "Eacute": "É", "amp": "&"}
 TITLE_ENTITIES = ENTITIES | {"ndash": "–", "mdash": "—"}
+_COUNTING = string.ascii_letters + string.digits + ",.:/&+\\-"
 QUOTES = "‘’'“”\""
 
 
@@ -44,8 +46,8 @@ def word(pattern: str) -> str:
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility letters and accents to plain letters."""
-    return F.regexp_replace(F.translate(text, *_plain_letters()), r"\p{M}+", "")
+    """Compatibility letters and accents to plain letters; texts in ASCII, which are most, are not gone through."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, *_plain_letters()), r"\p{M}+", "")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -64,8 +66,9 @@ def style_text(text: Column) -> Column:
 
 def quality_text(text: Column) -> Column:
     """Folded text with the characters that count for quality; case is kept."""
-    plain = F.regexp_replace(fold_accents(F.coalesce(text, F.lit(""))), f"[{QUOTES}]", " ")
-    return squeeze(F.regexp_replace(plain, r"[^A-Za-z0-9\s,.:/&+-]", " "))
+    plain = fold_accents(F.coalesce(text, F.lit("")))
+    # single spaces, which most gaps are, stay as they are; characters are listed because the pattern engine looks up a list and walks ranges
+    return F.trim(F.regexp_replace(plain, f" *[^{_COUNTING} ][^{_COUNTING}]*| {{2,}}", " "))
 
 
 def identity_text(text: Column) -> Column:
@@ -101,10 +104,11 @@ def without_markers(text: Column) -> Column:
 
 
 def sanitized_line(text: Column) -> Column:
-    """A recognised line without bullets, trailing marks, handles and known slips."""
+    """A recognised line without bullets, trailing marks, handles and known slips. Most lines have none of what one of the patterns needs."""
+    whole = text
     for pattern in (r"^\s+|\s+$", r"^[*•|¢]+\s*", r"\s+[|«»]+$", r"\s*[*†‡§¶#]+\s*$", r"\s+@\s*[A-Za-z0-9'’.+-]+$", r"^\s+|\s+$", r"^[a-z]\s+(?=[A-Z])"):
         text = F.regexp_replace(text, pattern, "")
-    return corrected(text)
+    return F.when(whole.rlike(rf"^[\s*•|¢]|[\s|«»*†‡§¶#]$|@|^[a-z]\s|{'|'.join(p for p, _ in CORRECTIONS)}"), corrected(text)).otherwise(whole)
 
 
 def without_repeats(text: Column) -> Column:

@@ -57,9 +57,9 @@ def cuvee_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, strftime(last + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS held_until FROM h WHERE last + INTERVAL 30 DAY > (SELECT max(ts) FROM events)""")
 def match_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    now = F.lit(events.agg(F.max("ts")).first()[0])
+    now = events.agg(F.max("ts").alias("now"))
     kept = keyed.memories(events, "user_id", F.col("event_type") == "purchase", F.col("ts"))
-    return keyed.held(kept, F.col("held_until"), now).select("user_id", F.date_format("held_until", "yyyy-MM-dd HH:mm:ss").alias("held_until"))
+    return keyed.held(kept, F.col("held_until"), now.scalar()).select("user_id", F.date_format("held_until", "yyyy-MM-dd HH:mm:ss").alias("held_until"))
 
 
 @query("section_choice", f"""WITH {RECS} SELECT 'there' AS asked, candidate_id FROM fits WHERE p_brand = 'Brand#13' AND p_type = 'PROMO' UNION ALL SELECT 'empty', candidate_id FROM fits""")
