@@ -130,7 +130,7 @@ def decoded_entities(text: Column, named: dict[str, str] = ENTITIES) -> Column:
             char = F.when((F.length(digits) < 8) & (code <= "0010FFFF"), F.decode(F.unhex(code), "UTF-32"))
             return F.coalesce(F.replace(acc, F.concat(F.lit("&#" if base == 10 else "&#x"), digits, F.lit(";")), char), acc)
         return F.aggregate(found, out, one)
-    text = numeric(numeric(F.regexp_replace(text, "&#X", "&#x"), "&#([0-9]+);", 10), "&#x([0-9a-fA-F]+);", 16)
+    text = F.when(text.contains("&#"), numeric(numeric(F.regexp_replace(text, "&#X", "&#x"), "&#([0-9]+);", 10), "&#x([0-9a-fA-F]+);", 16)).otherwise(text)
     for name, char in named.items():  # the ampersand is last, so that nothing is decoded twice
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return text

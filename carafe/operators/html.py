@@ -22,14 +22,14 @@ _TOKEN = "array<struct<type:string,text:string>>"
 
 def visible_lines(html: Column) -> Column:
     """The page's non-empty lines of text, decoded; headings of the second to fourth order begin with a mark."""
-    text = F.regexp_replace(html, r"<!--[\s\S]*?-->", " ")
+    text = F.when(html.contains("<!--"), F.regexp_replace(html, r"<!--[\s\S]*?-->", " ")).otherwise(html)
     text = F.regexp_replace(text, rf"(?i)<({'|'.join(NOISE)})\b[\s\S]*?</\1>", " ")
-    text = F.regexp_replace(text, _HIDDEN, " ")
+    text = F.when(text.contains("visually-hidden"), F.regexp_replace(text, _HIDDEN, " ")).otherwise(text)
     text = F.regexp_replace(text, "(?i)<h[234][^>]*>", f"\n{HEADING}")
     text = F.regexp_replace(text, rf"(?i)</(?:h[234]|{'|'.join(BLOCK_ENDS)})>|<br\s*/?>", "\n")
     text = decoded_entities(F.regexp_replace(text, "<[^>]+>", " "))
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
-    return F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(F.regexp_replace(x, " *[\t\x0b\f\r\n ][\\s ]*| {2,}", " "))), lambda x: x != "")
 
 
 def is_section_name(text: Column) -> Column:
