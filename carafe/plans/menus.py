@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quality, text
+from ..functions import prices, quality, text
 from ..functions.lexicon import COLOURS, DESCRIPTORS, GEOGRAPHY, REGIONS, VARIETALS
 from ..operators import menu
 from . import lines as L
@@ -208,3 +208,17 @@ _SCORED = rf"""texts AS (SELECT DISTINCT line FROM (SELECT txt AS line FROM e2 U
 def menu_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Menus written from the parts, read back to candidates."""
     return menu.parse_menus(menus(spark, sf_dir), as_of_year=AS_OF).drop("candidate_id")
+
+
+_HEADING = "CASE p_partkey % 7 WHEN 0 THEN 'RED wines by the glass' WHEN 1 THEN 'Sparkling & White 2' WHEN 2 THEN 'Rosé' WHEN 3 THEN concat('red ', p_name) WHEN 4 THEN concat(p_name, ' list') WHEN 5 THEN concat(' The - ORANGE! ', CAST(p_size AS STRING)) ELSE 'glasses by the bottle' END"
+_DATED = "concat('Clos ', CASE o_orderkey % 7 WHEN 0 THEN CAST(year(o_orderdate) AS STRING) WHEN 1 THEN concat(chr(39), lpad(CAST(o_orderkey % 100 AS STRING), 2, '0')) WHEN 2 THEN concat('’', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), ' ', CAST(1900 + o_orderkey % 100 AS STRING)) WHEN 3 THEN concat(CAST(2000 + o_orderkey % 100 AS STRING), '0') WHEN 4 THEN concat('x', CAST(year(o_orderdate) AS STRING)) WHEN 5 THEN concat('`', CAST(o_orderkey AS STRING)) ELSE '12345' END, ' x')"
+
+
+@query("section_headers", f"SELECT p_partkey, {_header('line')} AS header FROM (SELECT p_partkey, {_HEADING} AS line FROM part)")
+def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.section_header(F.expr(_HEADING)).alias("header"))
+
+
+@query("vintage_parse", f"SELECT o_orderkey, {_vintage('line')} AS vintage FROM (SELECT o_orderkey, {_DATED} AS line FROM orders)")
+def vintage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", prices.vintage(F.expr(_DATED), AS_OF).alias("vintage"))

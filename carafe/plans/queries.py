@@ -193,21 +193,6 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("href"))
 
 
-@query("price_parse", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '$' || a WHEN 1 THEN '$' || greatest(a, b) WHEN 2 THEN '$' || greatest(a, b) WHEN 3 THEN '€' || a WHEN 4 THEN 'EUR ' || a ELSE CASE WHEN b BETWEEN 5 AND 2000 THEN '$' || b END END AS price
-  FROM (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS a, CAST(p_size AS BIGINT) AS b FROM part)""")
-def price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, k = F.floor("p_retailprice").cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 6
-    written = F.when(k == 0, F.concat(F.lit("$"), a)).when(k == 1, F.concat(b, F.lit(" / $"), a)).when(k == 2, F.concat(a, F.lit("-"), b)).when(k == 3, F.concat(F.lit("€ "), a)).when(k == 4, F.concat(a, F.lit(" eur"))).otherwise(b)
-    return table(spark, sf_dir, "part").select("p_partkey", prices.raw_price(written).alias("price"))
-
-
-@query("vintage_parse", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(year(o_orderdate) AS INTEGER) WHEN o_orderkey % 3 = 1 THEN CASE WHEN o_orderkey % 100 <= 26 THEN 2000 + CAST(o_orderkey % 100 AS INTEGER) ELSE 1900 + CAST(o_orderkey % 100 AS INTEGER) END END AS vintage FROM orders""")
-def vintage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    written = F.concat(F.lit("Clos "), F.when(k % 3 == 0, F.year("o_orderdate").cast("string")).when(k % 3 == 1, F.concat(F.lit("'"), F.lpad((k % 100).cast("string"), 2, "0"))).otherwise("12345"), F.lit(" x"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", prices.vintage(written, 2025).alias("vintage"))
-
-
 @query("inline_prices", """SELECT p_partkey, CASE WHEN p_size >= 5 THEN p_name ELSE p_name || ' ' || p_size END AS title, CASE WHEN p_size BETWEEN 5 AND 400 THEN '$' || p_size END AS price FROM part""")
 def inline_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
@@ -282,13 +267,6 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.normal_field(F.col("c_name")).alias("folded"))
 
 
-@query("section_headers", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'sparkling' WHEN 2 THEN 'rose' END AS header FROM part")
-def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    line = F.when(k == 0, "RED wines by the glass").when(k == 1, "Sparkling & White 2").when(k == 2, "Rosé").otherwise(F.concat(F.lit("red "), F.col("p_name")))
-    return table(spark, sf_dir, "part").select("p_partkey", text.section_header(line).alias("header"))
-
-
 @query("median_upper", "SELECT l_suppkey, l_quantity AS median FROM (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WHERE l_quantity IS NOT NULL) WHERE r = n // 2 + 1")
 def median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.upper_median(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")

@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prices
 from ..functions.lexicon import ITEM_SECTIONS, OTHER_SECTIONS, SECTION_FILLERS
 from ..functions.text import ENTITIES
 from ..operators import html
@@ -157,3 +158,12 @@ _ITEMS = rf"""l AS (SELECT page_id AS doc, pos, pos + 1 AS n, type, text AS line
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of pages that are written from the parts."""
     return html.page_items(written_pages(spark, sf_dir)).select("page_id", "pos", "name", "price", "section")
+
+
+_A, _B = "CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING)", "CAST(p_size AS STRING)"
+_AMOUNT = f"CASE p_partkey % 12 WHEN 0 THEN concat('$', {_A}) WHEN 1 THEN concat({_B}, ' / $', {_A}) WHEN 2 THEN concat({_A}, '-', {_B}) WHEN 3 THEN concat('€ ', {_A}) WHEN 4 THEN concat({_A}, ' eur') WHEN 5 THEN {_B} WHEN 6 THEN concat('kr ', {_A}, '.50') WHEN 7 THEN concat({_A}, ',', lpad({_B}, 3, '0'), ' £') WHEN 8 THEN concat('$', {_B}, '.75') WHEN 9 THEN concat({_A}, ' – ', {_B}, '.00') WHEN 10 THEN concat('CHF ', {_B}) ELSE concat('about ', {_A}) END"
+
+
+@query("price_parse", f"SELECT p_partkey, {_raw_price('t')} AS price FROM (SELECT p_partkey, trim({_AMOUNT}) AS t FROM part)")
+def price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", prices.raw_price(F.expr(_AMOUNT)).alias("price"))
