@@ -207,6 +207,27 @@ def test_the_crf_finds_what_no_pattern_does(frame):
     assert not any(secrets.base_spans(text) for text, _ in HELD_OUT_SECRETS)
     assert sum(any(value in s for s in spans(text)) for text, value in HELD_OUT_SECRETS) >= 9
     assert sum(bool(spans(text)) for text in HELD_OUT_CLEAN) <= 2
+    hit = real = said = chained = 0
+    for text, gold in secrets.examples(600, seed=4321):
+        found = secrets.crf_spans(text, model)
+        hit += sum(any(a < d and c < b for c, d, _ in found) for a, b in gold)
+        real, said = real + len(gold), said + len(found)
+        chained += sum(high - low > 1 for low, high in secrets.windows(text)[1])
+    assert hit >= 0.95 * real and hit >= 0.95 * said and chained > 500
+    several = "his passphrase is \"thandeon laer stininou erla\" since then"
+    assert spans(several) == ["thandeon laer stininou erla"]
+
+
+def test_tokens_and_words_are_taken_whole():
+    tokens, found = secrets.windows("password" + " " * 500 + "abcdefghijklmnop")
+    assert tokens[-1] == (508, 524) and found == [(0, 2)]
+    assert secrets.windows("tokenization of passwordless logins") == ([], [])
+    long = "A1" * 50_000
+    tokens, found = secrets.windows(f"x {long} y")
+    assert tokens[1] == (2, 100_002) and found == [(0, 3)] and secrets.shape(long) == "A0" * 50_000
+    # a chain runs over everything between windows that touch
+    text = "one k3Lm9Qw2 two three four five six R7tYu8Io seven"
+    assert secrets.windows(text)[1] == [(0, 9)]
 
 
 def test_the_pipeline_over_nulls_repeats_and_nothing(spark, tmp_path):
