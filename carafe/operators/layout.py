@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 
 LINE_KEY = ["page", "block", "paragraph", "line"]
 
@@ -218,53 +214,52 @@ def page_texts(words: DataFrame, doc: list[str], by_layout: bool = True) -> Data
     pages = lines.groupBy(*doc).agg(ordered.alias("lines"), (((rows >= 2) & (sections == 0)) | (rows >= 4)).alias("plain"))
     text = F.array_join(F.filter(F.transform("lines", lambda x: x["text"]), lambda t: t != ""), "\n")
     cards = F.when(~F.col("plain") & F.exists("lines", lambda x: x["priced"]) & F.lit(by_layout), F.col("lines"))
-    pages = pages.select(*doc, text.alias("text"), cards.alias("lines"))
-    return pages.mapInArrow(_read_cards, pages.drop("lines").schema)
+    found = F.when(cards.isNotNull(), card_texts(F.col("lines")))
+    return pages.select(*doc, let(found, lambda c: F.when(F.size(c) > 0, F.array_join(c, "\n\n")).otherwise(text)).alias("text"))
 
 
-def _read_cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = ["\n\n".join(_cards(lines) if lines else []) or text for lines, text in zip(batch["lines"].to_pylist(), batch["text"].to_pylist())]
-        columns = [pa.array(texts, pa.string()) if name == "text" else batch[name] for name in batch.schema.names if name != "lines"]
-        yield pa.RecordBatch.from_arrays(columns, names=[name for name in batch.schema.names if name != "lines"])
+def is_title(text: Column) -> Column:
+    """Two words with letters, or one of five characters."""
+    spoken = F.filter(F.split(F.regexp_replace(text, r"[^A-Za-z0-9\s+'’,.-]", " "), r"\s+"), lambda w: w.rlike("[A-Za-z]"))
+    return let(spoken, lambda w: (F.size(w) >= 2) | F.exists(w, lambda x: F.length(x) >= 5))
 
 
-def _is_title(text: str) -> bool:
-    """Two words with letters, or one of five characters."""
-    words = [w for w in re.sub(r"[^A-Za-z0-9\s+'’,.-]", " ", text).split() if re.search("[A-Za-z]", w)]
-    return len(words) >= 2 or any(len(w) >= 5 for w in words)
-
-
-def _titles_above(lines: list[dict], start: int, taken: set[int]) -> list[int]:
-    """Free title lines that begin at most 80 pixels above the line ``start``."""
-    found = []
-    for k in reversed([k for k in range(start) if k not in taken]):
-        if lines[k]["top"] < lines[start]["top"] - TITLE_REACH:
-            break
-        if _is_title(lines[k]["text"]) and not any(word in lines[k]["text"].lower() for word in TOOLBAR):
-            found.append(k)
-    return found[::-1]
-
-
-def _cards(lines: list[dict]) -> list[str]:
-    """A block per price of the bands with two prices or more. Lines used by one band are not titles of the next."""
-    taken: set[int] = set()
-    blocks: list[str] = []
-    for priced, members in groupby(range(len(lines)), key=lambda k: lines[k]["priced"] and lines[k]["band"]):
-        if not priced:
-            continue
-        band = list(members)
-        prices = sorted((w for k in band for w in lines[k]["words"] if w["price"]), key=lambda w: w["left"])
-        starts, sources = [w["left"] for w in prices], [*_titles_above(lines, band[0], taken), *band]
-        titles = defaultdict(list)
-        for k in sources:
-            parts = defaultdict(list)
-            for w in lines[k]["words"]:
-                if not w["price"] and w["text"].lower() not in IGNORED_WORDS:
-                    parts[max(0, bisect_right(starts, w["left"] + 4) - 1)].append(w["text"])
-            for c, part in parts.items():
-                if _is_title(" ".join(part)):
-                    titles[c].append(" ".join(part))
-        blocks += ["\n".join([*titles[c], price["text"]]) for c, price in enumerate(prices) if titles[c]]
-        taken.update(sources if titles else [])
-    return blocks
+def card_texts(lines: Column) -> Column:
+    """An array of texts from a page's ordered lines (text, top, band, priced, words): a block per price of the bands with two prices or more.
+
+    Bands come one after the other, as lines that one has used are no titles of the next: a fold whose state is which lines are used and the blocks
+    so far. In a band each word belongs to the last price that starts no more than 4 pixels right of it. Titles are lines of the band and free
+    ones above, up to the first free line that begins more than ``TITLE_REACH`` pixels above it.
+    """
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["text"].alias("text"), x["top"].alias("top"), x["band"].alias("band"), x["priced"].alias("priced"), x["words"].alias("words"), (is_title(x["text"]) & ~F.lower(x["text"]).rlike("|".join(map(re.escape, TOOLBAR)))).alias("title")))
+
+    def folded(every: Column) -> Column:
+        def placed(x: Column) -> Column:
+            """The band's sources with their words in columns, and its prices from left to right."""
+            first = F.get(x["members"], F.lit(0))
+            above = F.filter(every, lambda k: (k["i"] < first["i"]) & ~F.array_contains(x["used"], k["i"]))
+            stop = F.coalesce(F.array_max(F.transform(F.filter(above, lambda k: k["top"] < first["top"] - TITLE_REACH), lambda k: k["i"])), F.lit(-1))
+            sources = F.concat(F.filter(above, lambda k: (k["i"] > stop) & k["title"]), x["members"])
+            prices = F.array_sort(F.flatten(F.transform(x["members"], lambda k: F.transform(F.filter(F.transform(k["words"], lambda w, j: F.struct(w["left"].alias("left"), k["i"].alias("i"), j.alias("j"), w["text"].alias("text"), w["price"].alias("price"))), lambda w: w["price"]), lambda w: w))))
+            return F.struct(sources.alias("sources"), prices.alias("prices"))
+
+        def split(x: Column) -> Column:
+            column = lambda w: F.greatest(F.lit(0), F.size(F.filter(x["prices"], lambda q: q["left"] <= w["left"] + 4)) - 1)
+            own = lambda k: F.transform(F.filter(k["words"], lambda w: ~w["price"] & ~F.lower(w["text"]).isin(IGNORED_WORDS)), lambda w: F.struct(column(w).alias("c"), w["text"].alias("text")))
+            return F.struct(F.transform(x["sources"], own).alias("rows"), x["prices"].alias("prices"), F.transform(x["sources"], lambda k: k["i"]).alias("lines"))
+
+        def blocks(x: Column) -> Column:
+            said = lambda c: F.filter(F.transform(x["rows"], lambda r: F.array_join(F.transform(F.filter(r, lambda w: w["c"] == c), lambda w: w["text"]), " ")), is_title)
+            made = F.filter(F.transform(x["prices"], lambda q, c: let(said(c), lambda t: F.when(F.size(t) > 0, F.array_join(F.concat(t, F.array(q["text"])), "\n")))), lambda t: t.isNotNull())
+            return F.struct(made.alias("made"), x["lines"].alias("lines"))
+
+        def step(s: Column, band: Column) -> Column:
+            members = F.filter(every, lambda k: k["priced"] & (k["band"] == band))
+            found = let(let(let(F.struct(members.alias("members"), s["used"].alias("used")), placed), split), blocks)
+            return let(found, lambda f: F.when(F.size(f["made"]) > 0, F.struct(F.concat(s["used"], f["lines"]).alias("used"), F.concat(s["blocks"], f["made"]).alias("blocks"))).otherwise(s))
+
+        start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("blocks"))
+        bands = F.array_distinct(F.transform(F.filter(every, lambda k: k["priced"]), lambda k: k["band"]))
+        return F.aggregate(bands, start, step, lambda s: s["blocks"])
+
+    return let(numbered, folded)

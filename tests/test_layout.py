@@ -84,3 +84,10 @@ def test_rows_and_sections(spark, text, row, section):
 
     got = spark.createDataFrame([(text,)], "t string").select(layout.is_menu_row(F.col("t")), layout.is_menu_section(F.col("t"))).first()
     assert tuple(got) == (row, section)
+
+
+def test_cards_are_read_without_python(spark, sf):
+    from carafe.plans import QUERIES
+
+    plan = QUERIES["photo_cards"](spark, sf)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
