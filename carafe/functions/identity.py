@@ -62,11 +62,26 @@ def quoted_words(raw: Column) -> Column:
     return F.filter(identity_words(said), lambda t: ~t.isin([*GRAPES, *PLACES, *CLASSES, *PRODUCER_KINDS]))
 
 
+def row_words(row: dict[str, Column]) -> Column:
+    """What ``score_of_words`` and ``bonus_of_words`` ask of a row (raw_text, producer, label, menu_section, varietal); made once a row, not once a pair."""
+    text = F.when(F.coalesce(row["raw_text"], F.lit("")) != "", row["raw_text"]).otherwise(F.concat_ws(" ", row["producer"], row["label"]))
+    context = F.filter(identity_words(F.concat_ws(" ", row["menu_section"], row["varietal"])), lambda t: t.isin(GRAPES))
+    return F.struct(identity_words(text).alias("row"), context.alias("context"), quoted_words(row["raw_text"]).alias("quoted"), identity_words(row["raw_text"]).alias("raw"))
+
+
+def hit_words(hit: dict[str, Column]) -> Column:
+    """The same of a hit (winery, name, region)."""
+    return F.struct(identity_words(hit["winery"]).alias("winery"), identity_words(hit["name"]).alias("all_name"), identity_words(hit["region"]).alias("region"))
+
+
 def identity_score(row: dict[str, Column], hit: dict[str, Column]) -> Column:
     """struct(score, without_producer, cuvee, appellation_guess) of a row (raw_text, producer, label, menu_section, varietal) and a hit (winery, name, region)."""
-    text = F.when(F.coalesce(row["raw_text"], F.lit("")) != "", row["raw_text"]).otherwise(F.concat_ws(" ", row["producer"], row["label"]))
-    winery = identity_words(hit["winery"])
-    base = F.struct(identity_words(text).alias("row"), winery.alias("winery"), identity_words(hit["name"]).alias("all_name"), identity_words(hit["region"]).alias("region"), F.filter(identity_words(F.concat_ws(" ", row["menu_section"], row["varietal"])), lambda t: t.isin(GRAPES)).alias("context"), quoted_words(row["raw_text"]).alias("quoted"))
+    return score_of_words(row_words(row), hit_words(hit))
+
+
+def score_of_words(row: Column, hit: Column) -> Column:
+    """``identity_score`` from ``row_words`` and ``hit_words``."""
+    base = F.struct(*[row[n].alias(n) for n in ("row", "context", "quoted")], *[hit[n].alias(n) for n in ("winery", "all_name", "region")])
 
     def named(x: Column) -> Column:
         name = F.filter(x["all_name"], lambda t: ~F.array_contains(x["winery"], t))
@@ -117,7 +132,11 @@ def vintage_evidence(year: Column, text: Column) -> Column:
 
 def compare_vintages(year: Column, text: Column, hit_year: Column, hit_text: Column) -> Column:
     """exact, conflict, unknown (the hit doesn't say) or unconstrained (the row doesn't)."""
-    mine, theirs = vintage_evidence(year, text), vintage_evidence(hit_year, hit_text)
+    return compare_evidence(vintage_evidence(year, text), vintage_evidence(hit_year, hit_text), year, hit_year)
+
+
+def compare_evidence(mine: Column, theirs: Column, year: Column, hit_year: Column) -> Column:
+    """``compare_vintages`` from what each side says."""
     return F.when(mine == "unknown", "unconstrained").when(theirs == "unknown", "unknown").when((mine != theirs) | ((mine == "year") & (year != hit_year)), "conflict").otherwise("exact")
 
 
@@ -162,23 +181,35 @@ def _has_open_list(plain: Column) -> Column:
     return F.exists(F.split(plain, "[,|]"), part_is)
 
 
-def compare_grapes(label: Column, varietal: Column, producer: Column, raw: Column, hit_name: Column, region: Column | None = None) -> Column:
-    """compatible, conflict (the hit has a grape the row doesn't name), unconstrained (the row names none) or unknown (lists that aren't whole)."""
+def row_grapes(label: Column, varietal: Column, producer: Column, raw: Column, region: Column | None = None) -> Column:
+    """struct(named, unknown): the grapes that a row names, and whether it leaves open which."""
     fold = lambda t: F.lower(fold_accents(F.coalesce(t, F.lit(""))))
     text = menu_identity_text(label, raw, F.lit(None).cast("string") if region is None else region, raw_only=True)
     parts = F.concat(F.array(F.coalesce(producer, F.lit(""))), F.split(F.coalesce(raw, F.lit("")), "[,|]"))
     pure = F.filter(parts, lambda t: _beside_grapes(fold(t), r"[\s/+&()\[\]-]") == "")  # a part that only lists grapes counts, wherever it stands
     told = F.array_union(grapes(F.concat_ws(" ", label, varietal)), F.array_distinct(F.flatten(F.transform(pure, grapes))))
+    unknown = let(text, lambda t: _beside_grapes(t, "$^").rlike(_OPEN_GRAPE) | _has_open_list(t))
+    return F.struct(told.alias("named"), unknown.alias("unknown"))
+
+
+def compare_named_grapes(row: Column, hit: Column) -> Column:
+    """``compare_grapes`` from ``row_grapes`` and the grapes of the hit's name."""
+    return F.when(row["unknown"], "unknown").when(F.size(row["named"]) == 0, "unconstrained").when(F.size(hit) == 0, "unknown").when(F.size(F.array_except(hit, row["named"])) > 0, "conflict").otherwise("compatible")
 
-    def of(x: Column) -> Column:
-        unknown = _beside_grapes(x["text"], "$^").rlike(_OPEN_GRAPE) | _has_open_list(x["text"])
-        return F.when(unknown, "unknown").when(F.size(x["row"]) == 0, "unconstrained").when(F.size(x["hit"]) == 0, "unknown").when(F.size(F.array_except(x["hit"], x["row"])) > 0, "conflict").otherwise("compatible")
-    return let(F.struct(told.alias("row"), grapes(hit_name).alias("hit"), text.alias("text")), of)
+
+def compare_grapes(label: Column, varietal: Column, producer: Column, raw: Column, hit_name: Column, region: Column | None = None) -> Column:
+    """compatible, conflict (the hit has a grape the row doesn't name), unconstrained (the row names none) or unknown (lists that aren't whole)."""
+    return let(F.struct(row_grapes(label, varietal, producer, raw, region).alias("row"), grapes(hit_name).alias("hit")), lambda x: compare_named_grapes(x["row"], x["hit"]))
 
 
 def specificity(row_text: Column, winery: Column, name: Column) -> Column:
     """A small bonus of a hit: 0.025 if the row names its cuvée, less 0.002 (0.01 at most) for each word that the row lacks."""
-    base = F.struct(identity_words(row_text).alias("row"), identity_words(winery).alias("winery"), identity_words(name).alias("name"))
+    return bonus_of_words(identity_words(row_text), identity_words(winery), identity_words(name))
+
+
+def bonus_of_words(row: Column, winery: Column, name: Column) -> Column:
+    """``specificity`` from the words of the three."""
+    base = F.struct(row.alias("row"), winery.alias("winery"), name.alias("name"))
 
     def of(x: Column) -> Column:
         names = F.array_distinct(F.filter(x["name"], lambda t: ~F.array_contains(x["winery"], t)))

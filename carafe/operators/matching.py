@@ -5,7 +5,9 @@ Retrieval is that of searches that need every word: a catalogue entry is a hit i
 no decisive hit and no confident one by its cuvée alone. An entry may be listed with several vintages; which of them is kept is an ordered choice by
 vintage and identity. The best hit stays.
 
-Scale. The ordered choice gathers one candidate's vintages of one entry. Nothing else is gathered; conflicts and scores are column expressions over pairs.
+Scale. Candidates that say the same are looked up once. The first search, which asks for most words, is done alone, and later ones only for candidates
+that it leaves open; so a winery's whole list is gone through only for rows that say no more than the winery. Words, grapes and vintages are read once a
+row and once an entry; what is done a pair is comparing them. The ordered choice gathers one candidate's vintages of one entry. Nothing else is gathered.
 
 Defined results: candidates without search words or hits come out with nulls. Ties go to the smallest catalogue id. Repeated catalogue rows change nothing.
 Empty tables give an empty result, or candidates without hits.
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import compare_grapes, compare_vintages, has_word, identity_score, identity_words, menu_identity_text, search_plan, specificity
+from ..functions.identity import bonus_of_words, compare_evidence, compare_named_grapes, grapes, has_word, hit_words, identity_words, menu_identity_text, row_grapes, row_words, score_of_words, search_plan, vintage_evidence
 from ..functions.profile import name_for
 from ..functions.style import RED_STYLES, WHITE_STYLES
 from ..functions.taste import match_scale, status_of
@@ -38,11 +40,15 @@ def _entry_words(catalogue: DataFrame) -> DataFrame:
     return catalogue.select(entry.alias("set")).distinct().select("set", F.array_distinct(identity_words(F.concat_ws(" ", "set.winery", "set.name"), False)).alias("words"))
 
 
-def retrieve(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT) -> DataFrame:
+def retrieve(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT, searches: int = MOST_SEARCHES) -> DataFrame:
     """candidate_id, plan, winery, name: entries that have all words of one of the candidate's searches, and the first search that finds them."""
+    return _found(candidates, _entry_words(catalogue), limit, searches)
+
+
+def _found(candidates: DataFrame, words: DataFrame, limit: int, searches: int) -> DataFrame:
     plan = search_plan({f: F.col(f) for f in ("raw_text", "producer", "label")} | {"region": F.col("region") if "region" in candidates.columns else F.lit(None).cast("string")})
-    asked = candidates.select("candidate_id", F.posexplode(plan).alias("_plan", "words")).select(F.struct("candidate_id", F.col("_plan").alias("plan")).alias("search"), "words")
-    found = contained(asked, _entry_words(catalogue), limit)
+    asked = candidates.select("candidate_id", F.posexplode(F.slice(plan, 1, searches)).alias("_plan", "words")).select(F.struct("candidate_id", F.col("_plan").alias("plan")).alias("search"), "words")
+    found = contained(asked, words, limit)
     return found.groupBy("search.candidate_id", "set").agg(F.min("search.plan").alias("plan")).select("candidate_id", "plan", "set.winery", "set.name")
 
 
@@ -67,28 +73,53 @@ def winery_key(winery: Column) -> Column:
     return F.trim(F.regexp_replace(identity_text(winery), "[^a-z0-9]+", " "))
 
 
-def _scored(candidates: DataFrame, catalogue: DataFrame, limit: int, entries: DataFrame | None = None) -> DataFrame:
-    """candidate_id, plan, wine_id, hit, rank, judged: every listed vintage of every entry found that contradicts neither grapes nor colour."""
+def _alike(candidates: DataFrame) -> DataFrame:
+    """candidate_id, _as: the least id of those whose rows say the same."""
+    said = F.array_sort(F.collect_set(F.struct(*[c for c in candidates.columns if c != "candidate_id"])))
+    by_id = candidates.where(F.col("candidate_id").isNotNull()).groupBy("candidate_id").agg(said.alias("_said"))
+    return by_id.groupBy("_said").agg(F.min("candidate_id").alias("_as"), F.collect_list("candidate_id").alias("_ids")).select(F.explode("_ids").alias("candidate_id"), "_as")
+
+
+def _read(candidates: DataFrame, catalogue: DataFrame, entries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both tables with what their texts say, each listed vintage once."""
     rows, listed = with_colours(candidates, catalogue.withColumns({f: F.coalesce(f, F.lit("")) for f in ("winery", "name")}).distinct(), dictionary(candidates.sparkSession) if entries is None else entries)
-    c, w = rows.alias("c"), listed.alias("w")
-    found = retrieve(candidates, catalogue, limit).alias("p")
-    pairs = found.join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, (F.col("p.winery") == F.col("w.winery")) & (F.col("p.name") == F.col("w.name")))
-    row = {f: F.col(f"c.{f}") for f in ("raw_text", "producer", "label", "menu_section", "varietal")}
-    region = F.col("c.region") if "region" in candidates.columns else F.lit(None).cast("string")
-    blended = compare_grapes(row["label"], row["varietal"], row["producer"], row["raw_text"], F.col("w.name"), region)
-    pairs = pairs.where((blended != "conflict") & F.coalesce(F.col("c._colour") == F.col("w._colour"), F.lit(True)))
-    vintage = compare_vintages(F.col("c.vintage"), menu_identity_text(row["label"], row["raw_text"], region), F.col("w.year"), F.col("w.name"))
-    extra = [F.col(f"w.{f}") for f in catalogue.columns if f not in ("wine_id", "winery", "name", "region", "year")]
-    hit = F.struct(F.col("w.winery"), F.col("w.name"), F.col("w.region"), F.col("w.year"), *extra, specificity(row["raw_text"], F.col("w.winery"), F.col("w.name")).alias("bonus"), vintage.alias("vintage"))
-    judged = identity_score(row, {f: F.col(f"w.{f}") for f in ("winery", "name", "region")})
+    row = {f: F.col(f) for f in ("raw_text", "producer", "label", "menu_section", "varietal")}
+    region = F.col("region") if "region" in candidates.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("_words", row_words(row)).withColumn("_grapes", row_grapes(row["label"], row["varietal"], row["producer"], row["raw_text"], region)).withColumn("_year", vintage_evidence(F.col("vintage"), menu_identity_text(row["label"], row["raw_text"], region)))
+    listed = listed.withColumn("_words", hit_words({f: F.col(f) for f in ("winery", "name", "region")})).withColumn("_grapes", grapes(F.col("name"))).withColumn("_year", vintage_evidence(F.col("year"), F.col("name")))
+    return cut(rows), cut(listed)
+
+
+def _scored(rows: DataFrame, listed: DataFrame, found: DataFrame, more: list[str]) -> DataFrame:
+    """candidate_id, plan, wine_id, hit, rank, judged: every listed vintage of every entry found that contradicts neither grapes nor colour."""
+    c, w, p = rows.alias("c"), listed.alias("w"), found.alias("p")
+    pairs = p.join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, (F.col("p.winery") == F.col("w.winery")) & (F.col("p.name") == F.col("w.name")))
+    pairs = pairs.where((compare_named_grapes(F.col("c._grapes"), F.col("w._grapes")) != "conflict") & F.coalesce(F.col("c._colour") == F.col("w._colour"), F.lit(True)))
+    vintage = compare_evidence(F.col("c._year"), F.col("w._year"), F.col("c.vintage"), F.col("w.year"))
+    bonus = bonus_of_words(F.col("c._words.raw"), F.col("w._words.winery"), F.col("w._words.all_name"))
+    hit = F.struct(F.col("w.winery"), F.col("w.name"), F.col("w.region"), F.col("w.year"), *[F.col(f"w.{f}") for f in more], bonus.alias("bonus"), vintage.alias("vintage"))
     ranks = F.create_map(*[F.lit(x) for pair in _RANKS.items() for x in pair])
-    return pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("p.plan").alias("plan"), F.col("w.wine_id").alias("wine_id"), hit.alias("hit"), ranks[vintage].alias("rank"), judged.alias("judged"))
+    return pairs.select(F.col("c.candidate_id").alias("candidate_id"), F.col("p.plan").alias("plan"), F.col("w.wine_id").alias("wine_id"), hit.alias("hit"), ranks[vintage].alias("rank"), score_of_words(F.col("c._words"), F.col("w._words")).alias("judged"))
+
+
+_ENOUGH = "judged.score >= {0} or (judged.without_producer and judged.score >= {1})".format(DECISIVE, CONFIDENT)
+
+
+def _searched(candidates: DataFrame, catalogue: DataFrame, words: DataFrame, limit: int, entries: DataFrame | None) -> DataFrame:
+    """``_kept`` of all pairs. A candidate for which the first search finds enough has no use for what the others find."""
+    rows, listed = _read(candidates, catalogue, entries)
+    more = [f for f in catalogue.columns if f not in ("wine_id", "winery", "name", "region", "year")]
+    first = cut(_kept(_scored(rows, listed, _found(rows, words, limit, 1), more), 1))
+    done = first.where(_ENOUGH).select("candidate_id").distinct()
+    rest = cut(rows.join(done, "candidate_id", "left_anti"))
+    second = _kept(_scored(rest, listed, _found(rest, words, limit, MOST_SEARCHES), more))
+    return first.join(done, "candidate_id", "left_semi").unionByName(second)
 
 
-def _kept(scored: DataFrame) -> DataFrame:
+def _kept(scored: DataFrame, searches: int = MOST_SEARCHES) -> DataFrame:
     """candidate_id, wine_id, hit, judged after the last search that counts: a later vintage replaces the kept one if it fits better, or as well with a
     higher score; the better score of both stays with what it says of the producer."""
-    steps = scored.withColumn("upto", F.explode(F.sequence(F.col("plan"), F.lit(MOST_SEARCHES - 1))))
+    steps = scored.withColumn("upto", F.explode(F.sequence(F.col("plan"), F.lit(searches - 1))))
     item = F.struct("plan", F.col("hit.year").alias("year"), F.col("hit.name").alias("name"), "rank", "hit", "judged")
     rows = steps.groupBy("candidate_id", "upto", "wine_id").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
 
@@ -99,8 +130,7 @@ def _kept(scored: DataFrame) -> DataFrame:
 
     folded = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows"), F.lit(1))), F.get("_rows", F.lit(0)), step)
     states = rows.select("candidate_id", "upto", "wine_id", folded.alias("_k")).select("candidate_id", "upto", "wine_id", "_k.hit", "_k.judged")
-    enough = (F.col("judged.score") >= DECISIVE) | (F.col("judged.without_producer") & (F.col("judged.score") >= CONFIDENT))
-    last = states.groupBy("candidate_id").agg(F.coalesce(F.min(F.when(enough, F.col("upto"))), F.lit(MOST_SEARCHES - 1)).alias("upto"))
+    last = states.groupBy("candidate_id").agg(F.coalesce(F.min(F.when(F.expr(_ENOUGH), F.col("upto"))), F.lit(searches - 1)).alias("upto"))
     return states.join(last, ["candidate_id", "upto"]).drop("upto")
 
 
@@ -112,17 +142,20 @@ def best_matches(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT
     named cuvée. An appellation guess among several of a winery's entries is capped. A match on the cuvée alone needs that the
     catalogue has no second producer of it.
     """
-    kept = cut(_kept(_scored(candidates, catalogue, limit, entries))).withColumn("_winery", winery_key(F.col("hit.winery")))
+    alike, words = cut(_alike(candidates)), cut(_entry_words(catalogue))
+    firsts = candidates.join(alike.where("candidate_id = _as").select("candidate_id"), "candidate_id", "left_semi")
+    kept = cut(_searched(firsts, catalogue, words, limit, entries)).withColumn("_winery", winery_key(F.col("hit.winery")))
     around = kept.groupBy("candidate_id", "_winery").agg(F.count(F.lit(1)).alias("_n"))
     capped = F.when(F.col("judged.appellation_guess") & (F.col("_n") > 1), F.least(F.col("judged.score"), F.lit(GUESS_CAP))).otherwise(F.col("judged.score"))
     known = kept.join(around, ["candidate_id", "_winery"]).withColumn("identity", capped)
     order = F.struct(F.col("identity") + F.when(F.col("hit.vintage") == "exact", 0.02).otherwise(0.0) + F.col("hit.bonus"), -F.col("wine_id"))
     best = cut(known.groupBy("candidate_id").agg(F.max_by(F.struct("wine_id", "identity", "hit", "judged"), order).alias("_b")).select("candidate_id", "_b.*"))
     doubtful = best.where(F.col("judged.without_producer") & (F.col("identity") >= LEAST)).select("candidate_id", F.col("judged.cuvee").alias("cuvee"))
-    by_cuvee = contained(doubtful.select(F.struct("candidate_id", "cuvee").alias("search"), F.col("cuvee").alias("words")), _entry_words(catalogue), limit)
+    by_cuvee = contained(doubtful.select(F.struct("candidate_id", "cuvee").alias("search"), F.col("cuvee").alias("words")), words, limit)
     makers = by_cuvee.select("search.candidate_id", "search.cuvee", "set.winery", "set.name").unionByName(doubtful.join(known.select("candidate_id", "hit.winery", "hit.name"), "candidate_id"))
     shared = producers_with_cuvee(makers, ["candidate_id", "cuvee"], "cuvee").where("n_producers > 1")
-    return best.join(shared.select("candidate_id"), "candidate_id", "left_anti").select("candidate_id", "wine_id", "identity", "hit")
+    sure = best.join(shared.select("candidate_id"), "candidate_id", "left_anti").withColumnRenamed("candidate_id", "_as")
+    return alike.join(sure, "_as").select("candidate_id", "wine_id", "identity", "hit")
 
 
 def best_hits(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT, entries: DataFrame | None = None) -> DataFrame:

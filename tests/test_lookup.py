@@ -73,3 +73,13 @@ def test_empty_tables(spark):
     assert matching.lookup(menu, wines).count() == 0
     one = spark.createDataFrame([(1, "Bocelli Alcide", "Bocelli", "Alcide", None, None, None)], MENU)
     assert [r.wine_id for r in matching.best_hits(one, wines).collect()] == [None]
+
+
+def test_alike_rows_are_searched_once_and_only_open_rows_go_on(spark, monkeypatch):
+    asked, plain = [], matching.contained
+    monkeypatch.setattr(matching, "contained", lambda searches, sets, limit: (asked.append(sorted((r.search[0], r.search[1]) for r in searches.collect())), plain(searches, sets, limit))[1])
+    menu = [(i, "Ridge 'Lytton Springs' 2018", "Ridge", "Lytton Springs", "Red", None, 2018) for i in (3, 1, 2)] + [(4, "Roumier Nuits Ancien", "Roumier", "Nuits Ancien", None, None, None)]
+    wines = [(50, "Ridge", "Lytton Springs", "Dry Creek Valley", 2018, 40.0), (51, "Ridge", "Geyserville", None, None, None), (30, "Roumier", "Bonnes Mares", "Bonnes Mares", 2017, 99.0)]
+    best = {r.candidate_id: r.wine_id for r in matching.best_hits(spark.createDataFrame(menu, MENU), spark.createDataFrame(wines, WINES)).collect()}
+    assert best == {1: 50, 2: 50, 3: 50, 4: 30}
+    assert asked[:2] == [[(1, 0), (4, 0)], [(4, 0), (4, 1)]]
