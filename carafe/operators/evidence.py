@@ -1,7 +1,8 @@
 """What the stored records of a run say about it: whether a stopped run may be recovered, whether polling pauses, what can be shown in order.
 
 Scale. All records of a job meet in one aggregation: each table gives rows of one shape, tagged by what they are, so there is one shuffle by job and counts
-are reduced before it. Only message ids are gathered, of which a job has one a worker.
+are reduced before it. Claims meet the letters by message and job; which messages have letters at all is a join of distinct messages, whose hot keys
+adaptive execution can split. Only message ids are gathered, of which a job has one a worker.
 
 Defined results: a job of which only other records exist is missing. Null ids are left out. Repeated records count each; of a repeated job record the latest
 counts. Empty tables give an empty result.
@@ -28,11 +29,14 @@ def stopped_evidence(asked: DataFrame, jobs: DataFrame, workers: DataFrame, work
     letters(message_id, job_id): deliveries that were given up."""
     c, one = F.col, F.lit(1)
     flag = lambda test: F.coalesce(test, F.lit(False)).cast("long")
-    given_up = letters.where(c("message_id").isNotNull()).groupBy(c("message_id").alias("_m")).agg(F.collect_set(c("job_id").cast("string")).alias("_of"))
-    claims = asked.join(given_up, c("message_id") == c("_m"), "left")
+    # one message may have very many letters and claims, so letters are met by message and job, never gathered by message
+    given_up = letters.where(c("message_id").isNotNull()).select(c("message_id").alias("_m"), c("job_id").cast("string").alias("_of"))
+    own = given_up.where(c("_of").isNotNull()).distinct().select(c("_m").alias("_own_m"), "_of")
+    claims = asked.join(given_up.select("_m").distinct(), c("message_id") == c("_m"), "left")
+    claims = claims.join(own, (c("message_id") == c("_own_m")) & (c("job_id").cast("string") == c("_of")), "left")
     latest = best_per_key(jobs, ["job_id"], F.struct("updated_at", "status", "message_id", "worker_count"), True)
     rows = [
-        _rows(claims, "job_id", asked=c("message_id"), lettered=c("_m").isNotNull(), letter_fits=F.array_contains("_of", c("job_id").cast("string"))),
+        _rows(claims, "job_id", asked=c("message_id"), lettered=c("_m").isNotNull(), letter_fits=F.when(c("_m").isNotNull(), c("_of").isNotNull())),
         _rows(latest, "job_id", status=c("status"), worker_count=c("worker_count"), updated_at=c("updated_at"), message=c("message_id"), record=one),
         _rows(workers, "job_id", message=c("message_id"), worker=one, worker_started=flag(~c("status").eqNullSafe("queued"))),
         _rows(work, "job_id", started=flag(~c("status").eqNullSafe("queued") | (c("attempts") > 0) | c("owner").isNotNull()), leased=flag(c("owner").isNotNull()), done=flag(c("status").isin("completed", "failed"))),

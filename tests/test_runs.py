@@ -51,6 +51,17 @@ def test_reasons_go_in_their_order(spark):
     assert reasons(spark) == {}
 
 
+def test_letters_are_not_gathered_by_message(spark):
+    """A message may have as many letters and claims as there are runs; each meets its own letter only."""
+    n = 2000
+    frames = {m: spark.createDataFrame([], s) for m, s in SHAPES.items()}
+    every = spark.range(n).selectExpr("cast(id as string) as job_id", "'other' as message_id")
+    frames |= {"asked": every, "letters": every.where("job_id % 2 = 0").unionByName(every.where("job_id % 4 = 0"))}
+    found = evidence.stopped_evidence(**frames)
+    assert "collect_set(cast(job_id" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and "collect_set(job_id" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r.lettered, r.letter_fits, r["count"]) for r in found.groupBy("lettered", "letter_fits").count().orderBy("letter_fits").collect()] == [(True, False, n // 2), (True, True, n // 2)]
+
+
 def test_stale_runs_pause(spark):
     rows = [("processing", T), ("completed", T), ("queued", T + dt.timedelta(hours=1)), ("queued", None), (None, T)]
     df = spark.createDataFrame(rows, "status string, at timestamp")
