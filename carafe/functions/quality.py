@@ -38,20 +38,18 @@ def _base(plain: Column) -> Column:
         return F.struct(n.alias("n"), (n - x["short"]).alias("strong"), (x["all"] - x["other"]).alias("letters"), *[x[f].alias(f) for f in ("short", "same", "long", "voiced", "twice", "bare", "size")])
 
     def summed(x: Column) -> Column:
-        score = x["letters"] / F.greatest(F.lit(1), x["size"]) * 0.35 + F.when(x["strong"] >= 2, 0.25).when(x["strong"] == 1, 0.12).otherwise(0.0)
-        score = score + F.when(x["long"], 0.08).otherwise(0.0) + F.when(F.when(x["n"] >= 2, x["twice"]).otherwise(x["voiced"] | (x["n"] == 0)), 0.12).otherwise(0.0)
-        score = score - F.least(F.lit(0.14), F.try_divide(x["short"], x["n"]) * 0.14) - F.least(F.lit(0.14), F.try_divide(x["same"], x["n"]) * 0.14)
-        return F.when(x["n"] > 0, score - F.when(x["bare"], 0.18).otherwise(0.0))
+        # in the SQL's order of terms, as sums that end at half a hundredth depend on it
+        gain = F.lit(0.35) * x["letters"] / F.greatest(F.lit(1), x["size"]) + F.when(x["strong"] >= 2, 0.25).when(x["strong"] == 1, 0.12).otherwise(0.0)
+        gain = gain + F.when(x["long"], 0.08).otherwise(0.0) + F.when(F.when(x["n"] >= 2, x["twice"]).otherwise(x["voiced"] | (x["n"] == 0)), 0.12).otherwise(0.0)
+        cost = lambda f: F.least(F.lit(0.14), F.try_divide(F.lit(0.14) * x[f], x["n"]))
+        return F.when(x["n"] > 0, F.struct(gain.alias("gain"), cost("short").alias("short"), cost("same").alias("same"), F.when(x["bare"], 0.18).otherwise(0.0).alias("bare")))
     return let(let(let(F.lower(plain), of), told), summed)
 
 
-def _marks(text: Column) -> Column:
-    any_of = lambda *marks: reduce(or_, (text.contains(m) for m in marks))
-    return F.when(any_of(*QUOTES), 0.08).otherwise(0.0) + F.when(any_of(",", " - ", ":"), 0.05).otherwise(0.0)
-
-
 def _of_base(base: Column, text: Column) -> Column:
-    return let(base, lambda b: F.when(b.isNotNull(), unit(b + _marks(text))).otherwise(F.lit(0.0)))
+    any_of = lambda *marks: reduce(or_, (text.contains(m) for m in marks))
+    quotes, commas = F.when(any_of(*QUOTES), 0.08).otherwise(0.0), F.when(any_of(",", " - ", ":"), 0.05).otherwise(0.0)
+    return let(base, lambda b: F.when(b.isNotNull(), unit(b["gain"] + quotes + commas - b["short"] - b["same"] - b["bare"])).otherwise(F.lit(0.0)))
 
 
 def _notes(base: Column, low: Column) -> Column:

@@ -98,3 +98,17 @@ def test_work_items_and_swaps(spark):
 def test_filled_candidates_keep_what_they_have(spark):
     got = profile.filled(spark.createDataFrame([(1, "x")], "candidate_id int, label string"))
     assert got.first().asDict() == {"candidate_id": 1, "label": "x"} | {k: None for k in profile.CANDIDATE_FIELDS if k != "label"}
+
+
+def test_qualities_at_half_a_hundredth_are_those_of_the_sql(spark):
+    """Sums that end at half a hundredth depend on the order of their terms; that of the SQL holds."""
+    import duckdb
+
+    from carafe.functions import quality
+    from carafe.plans import lines
+
+    texts = ["hello, a12345", "hello, abe 1234", "large, o12345", "new ring, new ring", "Cabernet Sauvignon, red, Italy, red xkr bdf tlmn Tradición Rhône hot widget Rosé de new éclat new anvil 2024 Oregon & old"]
+    source = "l AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in texts) + ") AS v(line))"
+    want = sorted(duckdb.connect().execute(lines._quality_sql(source, "line")).fetchall())
+    got = spark.createDataFrame([(t,) for t in texts], "line string").select("line", quality.qualities(F.col("line")).alias("q")).select("line", "q.quality", "q.notes_quality").collect()
+    assert sorted(tuple(r) for r in got) == want
