@@ -27,7 +27,12 @@ def identity_tokens(text: Column) -> Column:
 
 
 def pooled(*texts: Column) -> Column:
-    return F.array_distinct(F.flatten(F.array(*[identity_tokens(t) for t in texts])))
+    return pool(*[identity_tokens(t) for t in texts])
+
+
+def pool(*token_sets: Column) -> Column:
+    """``pooled`` of texts whose identity tokens are known."""
+    return F.array_distinct(F.flatten(F.array(*token_sets)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

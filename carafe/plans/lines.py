@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, identity, prices, quality, rows, text, tokens
 from ..functions.lexicon import COLOURS, GEOGRAPHY, MORE_REGIONS, NOT_AN_ITEM, REGIONS, SERVING, VARIETALS
-from .queries import query, table
+from .queries import query, spread, table
 
 _N, _Y, _W = "CAST(p_size AS STRING)", "CAST(1990 + p_partkey % 35 AS STRING)", "split_part(p_name, ' ', 1)"
 _SHAPES = [
@@ -61,7 +61,7 @@ def _list(words) -> str:
 
 
 def menu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type", F.expr(LINE).alias("line"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type"), "p_partkey").select("*", F.expr(LINE).alias("line"))
 
 
 _LINES = f"l AS (SELECT p_partkey, p_size, p_name, p_type, {LINE} AS line FROM part)"
@@ -198,13 +198,14 @@ _MARK = r"(?i)(?:^|[\s,(\[;])(?:n\.?\s*(?:/\s*)?v\.?|non[\s-]?vintage)(?:$|[\s,)
     CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN CASE WHEN 2000 + p_size = 2000 + p_partkey % 50 THEN 'exact' ELSE 'conflict' END ELSE 'unknown' END WHEN regexp_matches(line, '{_MARK}') THEN CASE WHEN p_size % 2 = 0 THEN 'conflict' ELSE 'unknown' END ELSE 'unconstrained' END AS vintages FROM r""")
 def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, name = F.col("line"), F.col("p_name")
-    core, core_b = tokens.identity_tokens(x), tokens.identity_tokens(name)
+    core, core_b, named, hit = (F.col(c) for c in ("_core", "_core_b", "_named", "_hit"))  # read once a row, used several times
     year, hit_year = F.when(F.col("p_size") % 3 == 0, 2000 + F.col("p_size")), F.when(F.col("p_size") % 2 == 0, 2000 + F.col("p_partkey") % 50)
     joined = lambda a: F.array_join(a, " ")
-    return menu_lines(spark, sf_dir).select(
-        "p_partkey", joined(core).alias("core"), joined(identity.identity_words(x)).alias("identity_words"), joined(F.array_sort(tokens.concepts(x))).alias("concepts"), joined(F.array_sort(tokens.pooled(x, name))).alias("pooled"),
-        tokens.recovery(core, core_b, F.array_distinct(tokens.tokens(name))).alias("recovered"), tokens.exact_overlap(core, core_b).alias("exact"), tokens.field_score(x, name).alias("field_score"), joined(identity.grapes(x)).alias("grapes"),
-        ((F.size(identity.grapes(x)) > 0) & (F.size(F.array_except(identity.grapes(F.concat(name, F.lit(" merlot"))), identity.grapes(x))) > 0)).alias("grape_conflict"), (F.size(identity.search_words(x)) == 0).alias("nothing_to_search"), identity.compare_vintages(year, x, hit_year, name).alias("vintages"),
+    read = {"_core": tokens.identity_tokens(x), "_core_b": tokens.identity_tokens(name), "_named": identity.grapes(x), "_hit": identity.grapes(F.concat(name, F.lit(" merlot")))}
+    return menu_lines(spark, sf_dir).withColumns(read).select(
+        "p_partkey", joined(core).alias("core"), joined(identity.identity_words(x)).alias("identity_words"), joined(F.array_sort(tokens.concepts(x))).alias("concepts"), joined(F.array_sort(tokens.pool(core, core_b))).alias("pooled"),
+        tokens.recovery(core, core_b, F.array_distinct(tokens.tokens(name))).alias("recovered"), tokens.exact_overlap(core, core_b).alias("exact"), tokens.field_score(x, name).alias("field_score"), joined(named).alias("grapes"),
+        ((F.size(named) > 0) & (F.size(F.array_except(hit, named)) > 0)).alias("grape_conflict"), (F.size(identity.search_words(x)) == 0).alias("nothing_to_search"), identity.compare_vintages(year, x, hit_year, name).alias("vintages"),
     )
 
 

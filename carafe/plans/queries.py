@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over the session's shuffle partitions: a small file of many rows is few tasks, however much is computed a row."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 # A synthetic mapping of parts to recommendations, in both languages.
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -250,7 +255,7 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     mine = {"producer": F.col("p_brand"), "label": F.col("p_name"), "varietal": none, "region": F.col("p_type"), "raw_text": F.concat_ws(" ", "p_brand", "p_name"), "color": none, "vintage": F.col("p_size")}
     theirs = {"producer": F.col("p_brand"), "label": F.col("first_name"), "varietal": none, "region": F.col("p_type"), "vintage": F.lit(11)}
-    df = _with_leaders(spark, sf_dir).withColumn("score", tokens.match_score(mine, theirs))
+    df = spread(_with_leaders(spark, sf_dir), "p_partkey").withColumn("score", tokens.match_score(mine, theirs))
     return df.select("p_partkey", "score", taste.status_of(F.col("score")).alias("status"))
 
 
