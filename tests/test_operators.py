@@ -98,3 +98,11 @@ def test_a_terminal_status_stays_in_the_stream(spark, tmp_path):
         if r["n_events"] >= last.get(r["job_id"], (None, 0))[1]:
             last[r["job_id"]] = (r["status"], r["n_events"])
     assert last == {"j": ("completed", 3), "k": ("failed", 3)}
+
+
+def test_lines_and_scores_of_parts_are_dealt_over_all_partitions(spark, sf):
+    """A file of parts is one task, though each row costs much."""
+    from carafe.plans import QUERIES
+
+    for name in ("line_words", "match_scores"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
