@@ -25,6 +25,8 @@ IGNORED_WORDS = ["sold", "out", "seal"]
 TOOLBAR = ["filter:", "sort by:", "best selling", "products"]
 BAND_GAP = 85
 TITLE_REACH = 80
+#: A task that sorts pages has about so many words, however many there are.
+TASK_ROWS = 250_000
 
 
 def usable_words(words: DataFrame) -> DataFrame:
@@ -47,12 +49,23 @@ def lines(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.withColumn("center", (F.col("left") + F.col("right")) / 2)
 
 
+def dealt(words: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows dealt by page over as many tasks as have ``TASK_ROWS`` each, one for each core at least; adaptive execution joins none of them.
+
+    This counts ``words``, which for a stored table reads no column.
+    """
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // TASK_ROWS))
+    return words.repartition(tasks, *keys)
+
+
 def reading_lines(words: DataFrame, keys: list[str], y: str, x: str, gap: float = 0.015, *ties: str) -> DataFrame:
     """The rows with ``line`` and ``place``, both from 0: from top (large y) to bottom, lines from the left.
 
     A line goes on as long as the next word down is no more than ``gap`` below the one before, wherever that lies, so a line that a tilt or a
     bound between buckets would part stays whole. Words without a place come last, in a line of their own. Equal places are told apart by ``ties``. A page is one window.
+    A task sorts its words twice, so their number is bounded (``dealt``).
     """
+    words = dealt(words, keys)
     down = Window.partitionBy(*keys).orderBy(F.col(y).desc_nulls_last(), F.col(x), *ties)
     breaks = F.coalesce((F.lag(y).over(down) - F.col(y) <= gap) | (F.lag(y).over(down).isNull() & F.col(y).isNull() & (F.row_number().over(down) > 1)), F.lit(False))
     lined = words.withColumn("_new", (~breaks).cast("int")).withColumn("line", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")

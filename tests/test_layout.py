@@ -91,3 +91,17 @@ def test_cards_are_read_without_python(spark, sf):
 
     plan = QUERIES["photo_cards"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_tasks_of_reading_lines_stay_small_however_many_words(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(layout, "TASK_ROWS", 50, raising=False)
+    most = []
+    for pages in (100, 400):
+        words = spark.range(pages * 5).select((F.col("id") % pages).alias("page"), (-0.02 * (F.col("id") % 3)).alias("y"), (F.col("id") / 7).alias("x"), "id")
+        read = layout.reading_lines(words, ["page"], "y", "x", 0.015, "id")
+        tasks = read.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages")).collect()
+        assert sum(r.n for r in tasks) == pages * 5 and sum(r.pages for r in tasks) == pages
+        most.append(max(r.n for r in tasks))
+    assert most[0] < 200 and most[1] < 200
