@@ -25,8 +25,8 @@ IGNORED_WORDS = ["sold", "out", "seal"]
 TOOLBAR = ["filter:", "sort by:", "best selling", "products"]
 BAND_GAP = 85
 TITLE_REACH = 80
-#: A task that sorts pages has about so many words, however many there are.
-TASK_ROWS = 250_000
+#: A task that sorts pages has about so many words (250 MB), however many there are.
+TASK_ROWS = 1_200_000
 
 
 def usable_words(words: DataFrame) -> DataFrame:
