@@ -83,3 +83,27 @@ def test_alike_rows_are_searched_once_and_only_open_rows_go_on(spark, monkeypatc
     best = {r.candidate_id: r.wine_id for r in matching.best_hits(spark.createDataFrame(menu, MENU), spark.createDataFrame(wines, WINES)).collect()}
     assert best == {1: 50, 2: 50, 3: 50, 4: 30}
     assert asked[:2] == [[(1, 0), (4, 0)], [(4, 0), (4, 1)]]
+
+
+def test_entries_that_differ_in_words_that_no_row_says_are_one_kind(spark, monkeypatch):
+    """Searches meet kinds, not entries; wines that can't come first are counted, not gone through, and the least id of the others stays."""
+    sets, opened, contained, worth = [], [], matching.contained, matching._worth
+    monkeypatch.setattr(matching, "contained", lambda searches, all_sets, limit: (sets.append(all_sets.count()), contained(searches, all_sets, limit))[1])
+    monkeypatch.setattr(matching, "_worth", lambda groups: (opened.append({(r.row, r.open): r.n for r in worth(groups).selectExpr("row", "_open as open", "_n as n").groupBy("row", "open").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}), worth(groups))[1])
+    menu = [(1, "Ridge Lytton Springs 2018", "Ridge", "Lytton Springs", "Red", None, 2018), (2, "Ridge Lytton Springs 2017", "Ridge", "Lytton Springs", "Red", None, 2017), (3, "Ridge", "Ridge", None, None, None, None), (4, "Lytton mark7x", None, "Lytton mark7x", None, None, None)]
+    wines = [(9, "Ridge", "Lytton Springs", "Dry Creek", 2018, 40.0), (9, "Ridge", "Lytton Springs", "Dry Creek", 2017, 41.0)]
+    wines += [(10 + i, "Ridge", f"Lytton mark{i}x", "Dry Creek", 2018, 1.0) for i in range(100)] + [(200 + i, "Ridge", f"Dry Creek mark{i}y", "Dry Creek", 2018, 1.0) for i in range(100)]
+    best = {r.candidate_id: (r.wine_id, r.hit.year) for r in matching.best_matches(spark.createDataFrame(menu, MENU), spark.createDataFrame(wines, WINES)).collect()}
+    assert {k: v for k, v in best.items() if k != 3} == {1: (9, 2018), 2: (9, 2017), 4: (17, 2018)} and best[3][0] == 200
+    assert sets[0] == 4  # Lytton Springs, Lytton mark7x, Lytton and any word, Dry Creek and any word
+    assert opened[0][(1, True)] == 1 and opened[0].get((1, False), 0) == 0 and (2, True) not in opened[0] and (opened[0][(3, True)], opened[0][(3, False)]) == (100, 101)
+
+
+def test_heard_words_are_those_of_all_pairs(spark):
+    """The near words by their keys are the near words by brute force: slips at every place, beginnings, and short words."""
+    base = ["margauxville", "geysers", "lyttonia", "abcdef", "ridge"]
+    changed = [w[:i] + x + w[i + k:] for w in base for i in range(len(w) + 1) for x, k in (("z", 1), ("z", 0), ("", 1))] + [w + "xyz" for w in base] + [w[:6] for w in base] + ["merlot", "merlots"]
+    words, spoken = (spark.createDataFrame([(w,) for w in sorted(set(x))], "word string") for x in (changed, base + ["merlot"]))
+    pairs = words.crossJoin(spoken.withColumnRenamed("word", "said")).where(matching.same_word(matching.F.col("said"), matching.F.col("word")))
+    want = sorted({r.word for r in pairs.collect()})
+    assert sorted(r.word for r in matching.heard(words, spoken).collect()) == want and len(want) > 60
