@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,18 +25,28 @@ GRAPE_PATTERNS = {"chardonnay": "chardonnay", "riesling": "riesling", "syrah": "
 _QUOTED = "[‘“«„]\\s*([^’”»“]{2,48}?)\\s*[’”»“]|\"([^\"]{2,48})\"|(?:^|[\\s,(])'([^']{2,48})'(?=[\\s,).]|$)"
 
 
+@cache
+def _literals(words: tuple[str, ...]) -> list[Column]:
+    return [F.lit(w) for w in words]
+
+
+def within(token: Column, *words: str) -> Column:
+    """One of the words. Their literals are made once, since each takes calls to the JVM."""
+    return token.isin(_literals(words))
+
+
 def identity_words(text: Column, synonyms: bool = True) -> Column:
     raw = F.regexp_extract_all(identity_text(text), F.lit("([a-z0-9]+)"), F.lit(1))
     table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     same = F.transform(raw, lambda t: F.coalesce(F.try_element_at(table, t), t)) if synonyms else raw
-    return F.filter(same, lambda t: (F.length(t) > 1) & ~t.isin([*STOP, *NOISE, *TASTING]) & ~t.rlike(r"^\d+(?:ml|cl|l|oz)?$"))
+    return F.filter(same, lambda t: (F.length(t) > 1) & ~within(t, *STOP, *NOISE, *TASTING) & ~t.rlike(r"^\d+(?:ml|cl|l|oz)?$"))
 
 
 def same_word(a: Column, b: Column) -> Column:
     """Equal; or, of words that are no grapes, one slip in seven letters or more, or one of six or more begins the other."""
     slip = (F.length(a) >= 7) & (F.length(b) >= 7) & (F.substring(a, 1, 2) == F.substring(b, 1, 2)) & (F.levenshtein(a, b, 1) >= 0)
     begins = (F.length(a) >= 6) & (F.length(b) >= 6) & (a.startswith(b) | b.startswith(a))
-    return (a == b) | (~a.isin(GRAPES) & ~b.isin(GRAPES) & (slip | begins))
+    return (a == b) | ((slip | begins) & ~within(a, *GRAPES) & ~within(b, *GRAPES))
 
 
 def has_word(pool: Column, token: Column) -> Column:
@@ -42,9 +54,9 @@ def has_word(pool: Column, token: Column) -> Column:
 
 
 def weight(token: Column, role: str) -> Column:
-    out = F.when(token.isin([*PRODUCER_KINDS, *PLACES]), 0.15) if role == "producer" else F.when(token.isin(PRODUCER_KINDS), 0.2)
-    out = out.when(token.isin(CLASSES), 0.45)
-    return (out.when(token.isin(PLACES), 0.1) if role == "candidate" else out).otherwise(1.0)
+    out = F.when(within(token, *PRODUCER_KINDS, *PLACES), 0.15) if role == "producer" else F.when(within(token, *PRODUCER_KINDS), 0.2)
+    out = out.when(within(token, *CLASSES), 0.45)
+    return (out.when(within(token, *PLACES), 0.1) if role == "candidate" else out).otherwise(1.0)
 
 
 def coverage(mine: Column, pool: Column, role: str) -> Column:
@@ -59,13 +71,13 @@ def coverage(mine: Column, pool: Column, role: str) -> Column:
 def quoted_words(raw: Column) -> Column:
     """The distinctive words in quotes."""
     said = F.array_join(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda g: F.array_join(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(_QUOTED), g), " ")), " ")
-    return F.filter(identity_words(said), lambda t: ~t.isin([*GRAPES, *PLACES, *CLASSES, *PRODUCER_KINDS]))
+    return F.filter(identity_words(said), lambda t: ~within(t, *GRAPES, *PLACES, *CLASSES, *PRODUCER_KINDS))
 
 
 def row_words(row: dict[str, Column]) -> Column:
     """What ``score_of_words`` and ``bonus_of_words`` ask of a row (raw_text, producer, label, menu_section, varietal); made once a row, not once a pair."""
     text = F.when(F.coalesce(row["raw_text"], F.lit("")) != "", row["raw_text"]).otherwise(F.concat_ws(" ", row["producer"], row["label"]))
-    context = F.filter(identity_words(F.concat_ws(" ", row["menu_section"], row["varietal"])), lambda t: t.isin(GRAPES))
+    context = F.filter(identity_words(F.concat_ws(" ", row["menu_section"], row["varietal"])), lambda t: within(t, *GRAPES))
     return F.struct(identity_words(text).alias("row"), context.alias("context"), quoted_words(row["raw_text"]).alias("quoted"), identity_words(row["raw_text"]).alias("raw"))
 
 
@@ -85,28 +97,28 @@ def score_of_words(row: Column, hit: Column) -> Column:
 
     def named(x: Column) -> Column:
         name = F.filter(x["all_name"], lambda t: ~F.array_contains(x["winery"], t))
-        judged = F.transform(F.array_distinct(name), lambda t: F.struct(t.alias("t"), F.when(F.array_contains(x["region"], t) | t.isin(PLACES), 0.1).otherwise(weight(t, "name")).alias("w"), has_word(F.concat(x["row"], x["context"]), t).alias("found"), has_word(x["row"], t).alias("in_row")))
-        own = F.filter(x["winery"], lambda t: (weight(t, "producer") == 1) & ~t.isin(GIVEN_NAMES))
+        judged = F.transform(F.array_distinct(name), lambda t: F.struct(t.alias("t"), F.when(F.array_contains(x["region"], t) | within(t, *PLACES), 0.1).otherwise(weight(t, "name")).alias("w"), has_word(F.concat(x["row"], x["context"]), t).alias("found"), has_word(x["row"], t).alias("in_row")))
+        own = F.filter(x["winery"], lambda t: (weight(t, "producer") == 1) & ~within(t, *GIVEN_NAMES))
         hit_words = F.concat(x["winery"], name)
-        main = lambda a: F.filter(a, lambda t: t.isin(GRAPES) & ~t.isin(GRAPE_PARTS))
+        main = lambda a: F.filter(a, lambda t: within(t, *GRAPES) & ~within(t, *GRAPE_PARTS))
         return F.struct(
             x["row"].alias("row"), judged.alias("name"), coverage(x["winery"], x["row"], "producer").alias("producer"), coverage(x["row"], F.concat(hit_words, x["region"]), "candidate").alias("coverage"),
-            (F.exists(x["row"], lambda t: t.isin(GRAPES)) | (F.size(x["context"]) > 0)).alias("grape"), ((F.size(own) == 0) | F.exists(own, lambda t: has_word(x["row"], t))).alias("seen"),
+            (F.exists(x["row"], lambda t: within(t, *GRAPES)) | (F.size(x["context"]) > 0)).alias("grape"), ((F.size(own) == 0) | F.exists(own, lambda t: has_word(x["row"], t))).alias("seen"),
             ((F.size(main(hit_words)) > 0) & F.exists(main(x["row"]), lambda t: ~F.array_contains(main(hit_words), t))).alias("grape_gone"),
             ((F.size(x["quoted"]) > 0) & ~F.exists(x["quoted"], lambda t: has_word(hit_words, t))).alias("quote_gone"),
-            F.exists(hit_words, lambda t: t.isin(ROSE)).alias("hit_rose"), F.exists(x["row"], lambda t: t.isin(ROSE)).alias("row_rose"),
+            F.exists(hit_words, lambda t: within(t, *ROSE)).alias("hit_rose"), F.exists(x["row"], lambda t: within(t, *ROSE)).alias("row_rose"),
         )
 
     def summed(x: Column) -> Column:
-        of = lambda t: F.when(t["t"].isin(GRAPES) & ~x["grape"], 0.3).otherwise(t["w"])
+        of = lambda t: F.when(within(t["t"], *GRAPES) & ~x["grape"], 0.3).otherwise(t["w"])
         total = lambda test: F.aggregate(F.filter(x["name"], test), F.lit(0.0), lambda s, t: s + of(t))
         count = lambda test: F.size(F.filter(x["name"], test))
-        cuvee = lambda t: (of(t) >= 0.3) & ~t["t"].isin(CLASSES)
+        cuvee = lambda t: (of(t) >= 0.3) & ~within(t["t"], *CLASSES)
         everywhere = F.forall(x["name"], lambda t: t["w"] <= 0.1)
         whole = total(lambda t: F.lit(True))
-        matched = F.transform(F.filter(x["name"], lambda t: (t["w"] == 1) & ~t["t"].isin(GRAPES) & t["in_row"]), lambda t: t["t"])
+        matched = F.transform(F.filter(x["name"], lambda t: (t["w"] == 1) & ~within(t["t"], *GRAPES) & t["in_row"]), lambda t: t["t"])
         return F.struct(
-            x.alias("x"), F.when((whole > 0) & ~everywhere, total(lambda t: t["found"]) / whole).otherwise(1.0).alias("name"), count(lambda t: ~t["found"] & (of(t) == 1) & ~t["t"].isin(GRAPES)).alias("missing"),
+            x.alias("x"), F.when((whole > 0) & ~everywhere, total(lambda t: t["found"]) / whole).otherwise(1.0).alias("name"), count(lambda t: ~t["found"] & (of(t) == 1) & ~within(t["t"], *GRAPES)).alias("missing"),
             count(cuvee).alias("cuvees"), count(lambda t: cuvee(t) & t["found"]).alias("cuvees_found"), matched.alias("matched"), (everywhere & (F.size(x["name"]) > 0) & ~F.exists(x["name"], lambda t: t["in_row"])).alias("guess"),
         )
 
@@ -213,7 +225,7 @@ def bonus_of_words(row: Column, winery: Column, name: Column) -> Column:
 
     def of(x: Column) -> Column:
         names = F.array_distinct(F.filter(x["name"], lambda t: ~F.array_contains(x["winery"], t)))
-        own = F.filter(x["row"], lambda t: (weight(t, "candidate") == 1) & ~t.isin(GRAPES) & ~has_word(x["winery"], t))
+        own = F.filter(x["row"], lambda t: (weight(t, "candidate") == 1) & ~within(t, *GRAPES) & ~has_word(x["winery"], t))
         named = F.exists(own, lambda t: has_word(names, t))
         extra = F.size(F.filter(names, lambda t: ~has_word(x["row"], t)))
         return F.when(named, 0.025).otherwise(0.0) - F.least(F.lit(0.01), extra * 0.002)
@@ -222,22 +234,22 @@ def bonus_of_words(row: Column, winery: Column, name: Column) -> Column:
 
 def search_words(text: Column) -> Column:
     """Words worth looking up: names, no places, classes or kinds of producer."""
-    return F.array_distinct(F.filter(identity_words(text, False), lambda t: ~t.isin([*PLACES, *CLASSES, *PRODUCER_KINDS, *GRAPES, "years"])))
+    return F.array_distinct(F.filter(identity_words(text, False), lambda t: ~within(t, *PLACES, *CLASSES, *PRODUCER_KINDS, *GRAPES, "years")))
 
 
 def search_plan(row: dict[str, Column]) -> Column:
     """Up to three lists of words to look a row (raw_text, producer, label, region) up by, the most specific first."""
-    worth = lambda t: F.filter(identity_words(t, False), lambda w: ~w.isin([*PLACES, *CLASSES, *PRODUCER_KINDS, "years"]))
+    worth = lambda t: F.filter(identity_words(t, False), lambda w: ~within(w, *PLACES, *CLASSES, *PRODUCER_KINDS, "years"))
     base = F.struct(worth(row["producer"]).alias("producer"), worth(row["label"]).alias("label"), worth(row["raw_text"]).alias("raw"), identity_words(row["region"]).alias("region"), quoted_words(row["raw_text"]).alias("quoted"))
 
     def named(x: Column) -> Column:
         outside = lambda a: F.filter(a, lambda w: ~F.array_contains(x["region"], w))
         spoken = outside(F.concat(x["producer"], x["label"]))
         said = F.when(F.size(spoken) > 0, spoken).otherwise(outside(x["raw"]))
-        return F.struct(F.array_distinct(said).alias("said"), F.filter(outside(x["producer"]), lambda w: ~w.isin(GRAPES)).alias("producer"), x["quoted"].alias("quoted"))
+        return F.struct(F.array_distinct(said).alias("said"), F.filter(outside(x["producer"]), lambda w: ~within(w, *GRAPES)).alias("producer"), x["quoted"].alias("quoted"))
 
     def planned(x: Column) -> Column:
-        names, grape = F.filter(x["said"], lambda w: ~w.isin(GRAPES)), F.filter(x["said"], lambda w: w.isin(GRAPES))
+        names, grape = F.filter(x["said"], lambda w: ~within(w, *GRAPES)), F.filter(x["said"], lambda w: within(w, *GRAPES))
         first = lambda a, n: F.slice(F.array_distinct(a), 1, n)
         maker = F.slice(F.filter(x["producer"], lambda w: ~F.array_contains(x["quoted"], w)), 1, 2)
         plans = F.array(first(names, 4), F.when((F.size(x["quoted"]) > 0) & (F.size(maker) > 0), first(F.concat(maker, x["quoted"]), 4)), first(names, 2), F.when((F.size(names) <= 2) & (F.size(grape) > 0), first(F.concat(names, F.slice(grape, 1, 1)), 3)), first(x["producer"], 3))

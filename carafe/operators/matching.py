@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import CLASSES, GIVEN_NAMES, GRAPE_PARTS, GRAPES, PLACES, PRODUCER_KINDS, ROSE, bonus_of_words, compare_evidence, compare_named_grapes, grapes, has_word, hit_words, identity_words, menu_identity_text, row_grapes, row_words, same_word, score_of_words, search_plan, vintage_evidence
+from ..functions.identity import CLASSES, GIVEN_NAMES, GRAPE_PARTS, GRAPES, PLACES, PRODUCER_KINDS, ROSE, bonus_of_words, compare_evidence, compare_named_grapes, grapes, has_word, hit_words, identity_words, menu_identity_text, row_grapes, row_words, same_word, score_of_words, search_plan, vintage_evidence, within
 from ..functions.profile import name_for
 from ..functions.style import RED_STYLES, WHITE_STYLES
 from ..functions.taste import match_scale, status_of
@@ -74,7 +74,7 @@ def with_colours(candidates: DataFrame, catalogue: DataFrame, entries: DataFrame
     """Both tables with ``_colour``: red or white by the style of the row's text or the entry's name, null if neither is said."""
     texts = candidates.select(F.col("raw_text").alias("text")).unionByName(catalogue.select(F.col("name").alias("text")))
     key = F.col("key")
-    known = styles_of(texts, entries).select("text", F.when(key.isin(RED_STYLES), "red").when(key.isin(WHITE_STYLES), "white").alias("_colour"))
+    known = cut(styles_of(texts, entries).select("text", F.when(key.isin(RED_STYLES), "red").when(key.isin(WHITE_STYLES), "white").alias("_colour")))
     of = lambda df, name: df.join(known, F.col(name) == F.col("text"), "left").drop("text")
     return of(candidates, "raw_text"), of(catalogue, "name")
 
@@ -132,7 +132,7 @@ def _kinds(texts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = F.concat("_words.winery", "_words.all_name", "_words.region")
     each = texts.select("_text", F.explode(F.array_distinct(F.concat(every, "_has"))).alias("word"))
     words = each.select("word").distinct()
-    known = heard(words, spoken).unionByName(words.where(F.col("word").isin(_TELLING))).distinct()
+    known = heard(words, spoken).unionByName(words.where(within(F.col("word"), *_TELLING))).distinct()
     told = texts.join(each.join(known, "word", "left_semi").groupBy("_text").agg(F.collect_set("word").alias("_told")), "_text", "left").withColumn("_told", F.coalesce("_told", F.array().cast("array<string>")))
     # a word that is not told keeps only its first place, so that equal ones stay equal
     plain = lambda a: F.transform(a, lambda t: F.when(F.array_contains("_told", t), t).otherwise(F.concat(F.lit("~"), F.array_position(every, t).cast("string"))))
@@ -158,14 +158,19 @@ def _wines(listed: DataFrame, kind_of: DataFrame) -> tuple[DataFrame, DataFrame]
 _ENOUGH = "judged.score >= {0} or (judged.without_producer and judged.score >= {1})".format(DECISIVE, CONFIDENT)
 
 
-def _judged(rows: DataFrame, kinds: DataFrame, limit: int, searches: int) -> DataFrame:
+def _pair() -> tuple[Column, Column, Column]:
+    """Whether a row ``c`` and a kind ``w`` contradict in neither grapes nor colour, the bonus and the score. Built once, since building takes seconds."""
+    fits = (compare_named_grapes(F.col("c._grapes"), F.col("w._grapes")) != "conflict") & F.coalesce(F.col("c._colour") == F.col("w._colour"), F.lit(True))
+    return fits, bonus_of_words(F.col("c._words.raw"), F.col("w._words.winery"), F.col("w._words.all_name")), score_of_words(F.col("c._words"), F.col("w._words"))
+
+
+def _judged(rows: DataFrame, kinds: DataFrame, limit: int, searches: int, pair: tuple[Column, Column, Column]) -> DataFrame:
     """row, _nth, plan, kind, bonus, judged: every kind found that contradicts neither grapes nor colour."""
     found = _found(rows, kinds.select(F.col("kind").alias("set"), F.col("_has").alias("words")), limit, searches)
     c, w, p = rows.alias("c"), kinds.alias("w"), found.alias("p")
-    pairs = p.join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, F.col("p.set") == F.col("w.kind"))
-    pairs = pairs.where((compare_named_grapes(F.col("c._grapes"), F.col("w._grapes")) != "conflict") & F.coalesce(F.col("c._colour") == F.col("w._colour"), F.lit(True)))
-    bonus = bonus_of_words(F.col("c._words.raw"), F.col("w._words.winery"), F.col("w._words.all_name"))
-    return pairs.select(F.col("c.candidate_id").alias("row"), "c._nth", (F.col("c._year") != "unknown").alias("_dated"), "p.plan", "w.kind", bonus.alias("bonus"), score_of_words(F.col("c._words"), F.col("w._words")).alias("judged"))
+    fits, bonus, score = pair
+    pairs = p.join(c, F.col("p.candidate_id") == F.col("c.candidate_id")).join(w, F.col("p.set") == F.col("w.kind")).where(fits)
+    return pairs.select(F.col("c.candidate_id").alias("row"), "c._nth", (F.col("c._year") != "unknown").alias("_dated"), "p.plan", "w.kind", bonus.alias("bonus"), score.alias("judged"))
 
 
 def _in_groups(judged: DataFrame, groups: DataFrame) -> DataFrame:
@@ -196,10 +201,11 @@ def _worth(groups: DataFrame) -> DataFrame:
 def _searched(people: DataFrame, rows: DataFrame, listed: DataFrame, kinds: DataFrame, wines: DataFrame, more: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """``_kept`` of the wines that may come first, with ``row``; and ``_worth`` of all. A row for which the first search finds enough has no use for what the others find."""
     groups = wines.select("group", "_many", "_winery", "_n", F.explode("_kinds").alias("kind")).distinct()
-    first = cut(_judged(rows, kinds, limit, 1))
+    pair = _pair()
+    first = cut(_judged(rows, kinds, limit, 1, pair))
     done = cut(_in_groups(first, groups).where("_enough").select("row").distinct())
     rest = cut(rows.join(done, F.col("candidate_id") == F.col("row"), "left_anti"))
-    judged = cut(first.join(done, "row", "left_semi").unionByName(_judged(rest, kinds, limit, MOST_SEARCHES)))
+    judged = cut(first.join(done, "row", "left_semi").unionByName(_judged(rest, kinds, limit, MOST_SEARCHES, pair)))
     worth = cut(_worth(_in_groups(judged, groups)))
     # from groups to their wines, from those to their vintages, and from rows to candidates
     chosen = worth.where("_open").select("row", "group", "_until").join(wines.select("group", "wine_id"), "group").alias("g")
@@ -239,8 +245,8 @@ def best_matches(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT
     catalogue has no second producer of it.
     """
     alike = cut(_alike(candidates))
-    firsts = candidates.join(alike.where("candidate_id = _as").select("candidate_id"), "candidate_id", "left_semi")
-    listed = catalogue.withColumns({f: F.coalesce(f, F.lit("")) for f in ("winery", "name")}).distinct()
+    firsts = cut(candidates.join(alike.where("candidate_id = _as").select("candidate_id"), "candidate_id", "left_semi"))
+    listed = cut(catalogue.withColumns({f: F.coalesce(f, F.lit("")) for f in ("winery", "name")}).distinct())
     people, texts = _read(firsts, listed, entries)
     people = _same_words(people)
     rows = people.where("candidate_id = row").select("candidate_id", "_nth", "_said.*").distinct()
@@ -259,11 +265,12 @@ def best_matches(candidates: DataFrame, catalogue: DataFrame, limit: int = LIMIT
     order = F.struct(F.col("identity") + F.when(F.col("hit.vintage") == "exact", EXACT_BONUS).otherwise(0.0) + F.col("hit.bonus"), -F.col("wine_id"))
     best = cut(known.groupBy("candidate_id").agg(F.max_by(F.struct("wine_id", "identity", "hit", "judged", "row", "upto"), order).alias("_b")).select("candidate_id", "_b.*"))
     doubtful = best.where(F.col("judged.without_producer") & (F.col("identity") >= LEAST)).select("candidate_id", "row", "upto", F.col("judged.cuvee").alias("cuvee"))
-    words = texts.select(F.struct("winery", "name").alias("set"), F.col("_has").alias("words")).distinct()
-    by_cuvee = contained(doubtful.select(F.struct("candidate_id", "cuvee").alias("search"), F.col("cuvee").alias("words")), words, limit).select("search.candidate_id", "search.cuvee", "set.winery", "set.name")
+    # the words of a cuvée are said by a row, so kinds have them
+    by_cuvee = contained(doubtful.select(F.struct("candidate_id", "cuvee").alias("search"), F.col("cuvee").alias("words")), kinds.select(F.col("kind").alias("set"), F.col("_has").alias("words")), limit)
+    by_cuvee = by_cuvee.join(kind_of, F.col("set") == F.col("kind")).select("search.candidate_id", "search.cuvee", "winery", "name")
     looked_at = doubtful.join(kept.select("candidate_id", "hit.winery", "hit.name"), "candidate_id").select("candidate_id", "cuvee", "winery", "name")
     not_looked_at = doubtful.join(aside, "row").where("plan <= upto").join(wines.select("group", "_entry"), "group").select("candidate_id", "cuvee", "_entry.winery", "_entry.name")
-    makers = by_cuvee.unionByName(looked_at).unionByName(not_looked_at)
+    makers = by_cuvee.unionByName(looked_at).unionByName(not_looked_at).distinct()
     shared = producers_with_cuvee(makers, ["candidate_id", "cuvee"], "cuvee").where("n_producers > 1")
     sure = best.join(shared.select("candidate_id"), "candidate_id", "left_anti").select(F.col("candidate_id").alias("_as"), "wine_id", "identity", "hit")
     return alike.join(sure, "_as").select("candidate_id", "wine_id", "identity", "hit")
